@@ -9,38 +9,45 @@ from ..constants import IN_PROGRESS, IN_PROGRESS_ORDER, STAGES
 from .text import col, fold
 
 
-def stage_from_game(phase: Column | str, round_: Column | str) -> Column:
-    """Postseason stage named by phase and round; NULL in the regular season.
+def stage_of_text(text: Column | str) -> Column:
+    """Postseason stage named by a folded text; NULL in the regular season.
 
     The narrower words win, so that ``Quartas de final`` is not a final.
     """
-    text = F.concat_ws(" ", fold(phase), fold(round_))
-    has = text.contains
+    has = col(text).contains
     return (
         F.when(has("final") & ~has("semi") & ~has("quarta") & ~has("oitava"), F.lit("final"))
         .when(has("semi"), F.lit("semifinal"))
         .when(has("quarta"), F.lit("quartas"))
         .when(has("oitava"), F.lit("oitavas"))
-        .when(has("playoff") | text.rlike("mata[ -]mata"), F.lit("playoffs"))
+        .when(has("playoff") | has("mata mata") | has("mata-mata"), F.lit("playoffs"))
     )
 
 
+def stage_text(phase: Column | str, round_: Column | str) -> Column:
+    return F.concat_ws(" ", fold(phase), fold(round_))
+
+
+def stage_from_game(phase: Column | str, round_: Column | str) -> Column:
+    """Stage by phase and round.  On large tables materialise ``stage_text`` as a
+    column first (as ``with_stage`` does): the rule reads the text several times."""
+    return stage_of_text(stage_text(phase, round_))
+
+
+def _look_up(table: dict, key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[key]
+
+
 def stage_order(stage: Column | str) -> Column:
     """Rank of a stage key; a finalist counts as runner-up until a champion is known."""
-    stage = col(stage)
-    order = F.when(stage == "final", F.lit(STAGES["vice_campeao"][0]))
-    for key, (rank, _) in STAGES.items():
-        order = order.when(stage == key, F.lit(rank))
-    return order.cast("bigint")
+    ranks = {key: rank for key, (rank, _) in STAGES.items()} | {"final": STAGES["vice_campeao"][0]}
+    return _look_up(ranks, col(stage)).cast("bigint")
 
 
 def stage_label(order: Column | str) -> Column:
     """Label of a stage rank; NULL rank means nothing is known yet."""
-    order = col(order)
-    label = F.when(order == IN_PROGRESS_ORDER, F.lit(IN_PROGRESS))
-    for rank, text in STAGES.values():
-        label = label.when(order == rank, F.lit(text))
-    return label
+    labels = {rank: label for rank, label in STAGES.values()} | {IN_PROGRESS_ORDER: IN_PROGRESS}
+    return _look_up(labels, col(order).cast("int"))
 
 
 def winner(home, away, home_score, away_score, stored=None) -> Column:

@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import METRIC_WORDS
 
@@ -66,7 +67,7 @@ def strip_accents(c: Column | str) -> Column:
     ).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents_exact(values: pd.Series) -> pd.Series:
     """Full compatibility decomposition, including ligatures and fractions."""
     return values.map(_folded, na_action="ignore")
@@ -219,10 +220,15 @@ def metric_words() -> list[tuple[str, str]]:
 
 
 def metric_from_text(c: Column | str) -> Column:
-    """The metric named by a text: the longest listed word found as a whole word."""
-    text = fold(c)
-    edge_l, edge_r = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-    found = F.lit(None).cast("string")
-    for word, metric in reversed(metric_words()):
-        found = F.when(text.rlike(edge_l + word + edge_r), F.lit(metric)).otherwise(found)
-    return found
+    """The metric named by a text: the longest listed word found as a whole word.
+
+    All listed words are found in one pass; the one that ranks first decides.
+    """
+    ranked = metric_words()
+    words = "|".join(word for word, _ in ranked)
+    found = F.regexp_extract_all(
+        fold(c), F.lit(rf"(?<![\p{{L}}\p{{N}}_])({words})(?![\p{{L}}\p{{N}}_])"), F.lit(1)
+    )
+    rank = F.create_map(*[F.lit(x) for i, (word, _) in enumerate(ranked) for x in (word, i)])
+    best = F.array_min(F.transform(found, lambda w: rank[w]))
+    return F.get(F.array(*[F.lit(metric) for _, metric in ranked]), best)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_COMPETITION, IN_PROGRESS_ORDER, STAGES
-from ..functions.games import is_finished, stage_from_game, stage_label, stage_order, winner
+from ..functions.games import is_finished, stage_label, stage_of_text, stage_order, stage_text, winner
 from ..functions.stats import record_text, win_pct
 from ..functions.text import blank_to_null
 
@@ -22,7 +22,8 @@ def finished_games(games: DataFrame) -> DataFrame:
 
 
 def with_stage(games: DataFrame) -> DataFrame:
-    return games.withColumn("stage", stage_from_game(_optional(games, "phase"), _optional(games, "round")))
+    text = stage_text(_optional(games, "phase"), _optional(games, "round"))
+    return games.withColumn("__text", text).withColumn("stage", stage_of_text("__text")).drop("__text")
 
 
 def regular_season_games(games: DataFrame) -> DataFrame:
