@@ -330,13 +330,13 @@ def _(t):
 
 @query("format_cell", sql("b_games",
        "SELECT id, strftime(game_date, '%d/%m/%Y') AS shown_date, cast(home_score as string) AS shown_score,"
-       " printf('%.1f', home_score + 0.3) AS shown_float, printf('%.1f', 100 * (home_score / 256.0::double)) || '%' AS shown_pct,"
+       " printf('%.1f', home_score + 0.3) AS shown_float, printf('%.1f', 100 * (home_score / 250.0::double)) || '%' AS shown_pct,"
        " coalesce(boxscore_url, '-') AS shown_url, CASE WHEN home_score > away_score THEN 'Sim' ELSE 'Não' END AS shown_won FROM b_games"))
 def _(t):
     c = n.format_cell
     return t.games.select(
         "id", c("game_date", "date").alias("shown_date"), c("home_score", "number").alias("shown_score"),
-        c(F.col("home_score") + 0.3, "number").alias("shown_float"), c(F.col("home_score") / 256.0, "pct").alias("shown_pct"),
+        c(F.col("home_score") + 0.3, "number").alias("shown_float"), c(F.col("home_score") / 250.0, "pct").alias("shown_pct"),
         c("boxscore_url", "text").alias("shown_url"), c(F.col("home_score") > F.col("away_score"), "bool").alias("shown_won"))
 
 

@@ -60,8 +60,8 @@ def compare(spark, con, folder: str, name: str, build, sql: str | None) -> str:
     if len(a) != len(b):
         problems.append(f"ROWS spark={len(a)} sql={len(b)}")
     if a != b:
-        extra = [r for r in a if r not in set(b)][:2] if len(a) < 200000 else []
-        missing = [r for r in b if r not in set(a)][:2] if len(b) < 200000 else []
+        in_a, in_b = set(a), set(b)
+        extra, missing = [r for r in a if r not in in_b][:2], [r for r in b if r not in in_a][:2]
         problems.append(f"VALUES {sorted(columns)}\n   spark={str(extra)[:900]}\n   sql  ={str(missing)[:900]}")
     if not b:
         problems.append("EMPTY")
