@@ -108,15 +108,18 @@ NICKNAMES = {
 
 # --- the resolution pool: parts as players, their brand and size as context -------------
 BRAND = "cast(replace(p_brand, 'Brand#', '') as bigint)"
+# three neighbouring parts share a surname, so some of them share the whole name
+SURNAME = "substr(md5(cast(cast(floor(p_partkey / 3) as bigint) as string)), 1, 8)"
+FIRST = "split_part(p_name, ' ', 1)"
 POOL_PLAYERS = {
     "id": "p_partkey",
-    "full_name": "p_name || ' ' || lower(p_type) || ' ' || cast(p_size % 10 as string)",
-    "display_name": "case when p_size % 4 = 0 then p_name || ' ' || lower(p_type) else null end",
+    "full_name": f"{FIRST} || ' ' || {SURNAME}",
+    "display_name": f"case when p_size % 4 = 0 then {FIRST} || ' ' || {SURNAME} || ' jr' else null end",
 }
 POOL_ALIASES = {
     "id": "p_partkey",
     "player_id": "p_partkey",
-    "alias": "p_name || ' ' || lower(p_type) || ' ' || cast(p_size % 10 as string)",
+    "alias": f"{FIRST} || ' ' || {SURNAME}",
     "season_id": "1992 + cast(p_size % 7 as bigint)",
     "team_id": f"nullif({BRAND} % 6, 0)",
     "jersey_number": "case when p_size % 5 = 0 then null else cast(p_size % 8 as string) end",
@@ -129,11 +132,11 @@ OPEN_LINES = {
     "game_id": "l_orderkey",
     "season_id": "1992 + l_suppkey % 7",
     "team_id": "nullif(l_orderkey % 6, 0)",
-    "player_name_raw": "case when l_linenumber = 1 then '   ' when l_linenumber = 2 then 'Zé ' || p_name"
-                       " when l_linenumber = 3 then upper(p_name) || ' (T) ' || p_type || ' ' || cast(p_size % 10 as string)"
-                       " when l_linenumber = 4 then replace(p_name, 'e', 'é') || '  ' || p_type || '-' || cast(p_size % 10 as string)"
-                       " when l_linenumber = 5 then p_name || ' ' || lower(p_type) || 's ' || cast(p_size % 10 as string)"
-                       " else p_name || ' ' || lower(p_type) || ' ' || cast(p_size % 10 as string) end",
+    "player_name_raw": f"case when l_linenumber = 1 then '   ' when l_linenumber = 2 then 'Zé ' || {SURNAME}"
+                       f" when l_linenumber = 3 then upper({FIRST}) || ' (T) ' || {SURNAME}"
+                       f" when l_linenumber = 4 then replace({FIRST}, 'e', 'é') || '-' || {SURNAME}"
+                       f" when l_linenumber = 5 then {FIRST} || 's ' || {SURNAME} when l_linenumber = 6 then upper({SURNAME})"
+                       f" else {FIRST} || ' ' || {SURNAME} end",
     "jersey_number": "case when l_linenumber = 7 then null else cast(cast(l_quantity as bigint) % 8 as string) end",
     "points": Q,
 }
@@ -241,7 +244,7 @@ class League:
 
     @cached_property
     def open_lines(self) -> DataFrame:
-        parts = self.raw("part").select("p_partkey", "p_name", "p_type", "p_size")
+        parts = self.raw("part").select("p_partkey", "p_name")
         lines = self.raw("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
         return _select(lines, OPEN_LINES).withColumn("player_id", F.lit(None).cast("bigint"))
 

@@ -176,8 +176,8 @@ def _(t):
     return rollups.skipped_rows(lines)
 
 
-@query("most_common", "SELECT c_mktsegment, nation FROM (SELECT c_mktsegment, n_name AS nation, row_number() OVER (PARTITION BY c_mktsegment ORDER BY count(*) DESC, n_name) AS rn"
-       " FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) WHERE rn = 1")
+@query("most_common", "SELECT c_mktsegment, nation FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, nation) AS rn FROM (SELECT c_mktsegment, n_name AS nation, count(*) AS n"
+       " FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)) WHERE rn = 1")
 def _(t):
     rows = t.raw("customer").join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rollups.most_common(rows, ["c_mktsegment"], "n_name", "nation")

@@ -91,7 +91,7 @@ def write_table(df: DataFrame, path: str, fields: list[str] | None = None,
     out = df.select(*fields) if fields else df
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
