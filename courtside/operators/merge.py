@@ -27,8 +27,11 @@ def _key(expressions: list[Column]) -> Column:
 
 
 def latest_per_key(df: DataFrame, key: Column, order: list) -> DataFrame:
-    """The last row of each key in the stated order, as the last write would win."""
-    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    """The last row of each key in the stated order, as the last write would win.
+
+    Rows that agree in the order are told apart by all their values.
+    """
+    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], F.struct(*df.columns))
     return df.groupBy(key.alias("__key")).agg(F.max_by(F.struct(*df.columns), rank).alias("row")) \
         .select("__key", "row.*")
 
@@ -46,14 +49,14 @@ def upsert(current: DataFrame, incoming: DataFrame, key, order: list, keep_old_i
     new = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).alias(c) for c in fields], *[
         c for c in order if isinstance(c, str) and c not in fields])
     if keep_old_if_blank or combine:
-        rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+        ordered = [F.col(c) if isinstance(c, str) else c for c in order]
         values = []
         for c in fields:
             if c in combine:
                 values.append((F.min if combine[c] == "least" else F.max)(c).alias(c))
             else:
                 present = blank_to_null(c).isNotNull()
-                values.append(F.max_by(F.when(present, F.col(c)), F.when(present, rank)).alias(c))
+                values.append(F.max_by(F.when(present, F.col(c)), F.when(present, F.struct(*ordered, F.col(c)))).alias(c))
         new = new.groupBy(_key(key(new)).alias("__key")).agg(*values)
     else:
         new = latest_per_key(new, _key(key(new)), order).select("__key", *fields)

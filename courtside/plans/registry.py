@@ -28,7 +28,7 @@ def query(name: str, oracle: str | None = None):
 
 def _load() -> None:
     from . import (  # noqa: F401
-        on_functions, on_rollups, on_lists, on_quality, on_sources, on_resolution,
+        on_functions, on_rollups, on_lists, on_quality, on_sources, on_resolution, on_merges, on_pages, on_questions,
     )
 
 
