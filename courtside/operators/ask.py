@@ -79,7 +79,7 @@ def question_intent(questions: DataFrame) -> DataFrame:
 
     name = strip(F.col("plain"))
     for prefix in PREFIXES:
-        name = F.when(name.startswith(prefix), F.btrim(F.substr(name, F.lit(len(prefix) + 1)))).otherwise(name)
+        name = F.regexp_replace(name, f"^{prefix} *", "")
     df = df.withColumn("name", name)
 
     intent = (

@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,137 +28,161 @@ from .positions import first_per_group
 
 # --- HTML to cells -----------------------------------------------------------------------
 
-ITEM = "struct<ord:int,last:int,tag:string,cls:string,text:string,link:string,alt:string>"
-CELL = f"struct<tag:string,cls:string,label:string,real_id:string,text:string,items:array<{ITEM}>>"
-ROWS_SCHEMA = (
+ITEM = pa.struct([("ord", pa.int32()), ("last", pa.int32()), *[(n, pa.string()) for n in ("tag", "cls", "text", "link", "alt")]])
+CELL = pa.struct([*[(n, pa.string()) for n in ("tag", "cls", "label", "real_id", "text")], ("items", pa.list_(ITEM))])
+ROWS = pa.schema([
+    ("page_id", pa.int64()), ("kind", pa.string()), ("table_no", pa.int32()), ("table_cls", pa.string()),
+    ("idq", pa.string()), ("idx", pa.string()), ("around", pa.string()), ("header", pa.list_(pa.string())),
+    ("section", pa.string()), ("row_no", pa.int32()), ("cells", pa.list_(CELL)),
+])
+_ITEM_SQL = "struct<ord:int,last:int,tag:string,cls:string,text:string,link:string,alt:string>"
+ROWS_SQL = (
     "page_id bigint, kind string, table_no int, table_cls string, idq string, idx string, around string, "
-    f"header array<string>, section string, row_no int, cells array<{CELL}>"
+    "header array<string>, section string, row_no int, "
+    f"cells array<struct<tag:string,cls:string,label:string,real_id:string,text:string,items:array<{_ITEM_SQL}>>>"
 )
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_TAG = re.compile(
+    r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S
+)
+_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in ("script", "style")}
 _VOID = {"img", "br", "hr", "input", "meta", "link", "source", "wbr", "col", "area", "base", "embed"}
-_CLOSED_BY = {            # an opening tag ends these open ones, up to the enclosing table
-    "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"},
-    "thead": {"td", "th", "tr", "thead", "tbody", "tfoot"}, "tbody": {"td", "th", "tr", "thead", "tbody", "tfoot"},
-    "tfoot": {"td", "th", "tr", "thead", "tbody", "tfoot"},
-}
+_SECTIONS = {"thead", "tbody", "tfoot"}
+_CELLS = {"td", "th"}
+_IN_TABLE = {"td", "th", "tr"}
+_NO_TEXT = {"table", "tbody", "thead", "tfoot", "tr", "html", "body", "div"}
 
 
 class _Open:
-    """An element that has not been closed yet."""
+    """An element that has not been closed yet; ``cell`` is the cell it lies in."""
 
-    def __init__(self, tag: str, attrs: dict, ord_: int):
-        self.tag, self.attrs, self.ord, self.parts, self.items, self.rows = tag, attrs, ord_, [], [], []
+    __slots__ = ("tag", "attrs", "ord", "cell", "parts", "items", "rows")
 
-    def text(self) -> str:
-        return " ".join(" ".join(self.parts).split())
+    def __init__(self, tag: str, attrs: dict, ord_: int, cell):
+        self.tag, self.attrs, self.ord, self.cell = tag, attrs, ord_, cell
+        self.parts, self.items, self.rows = [], [], []
 
-    def as_item(self, last: int) -> dict:
+    def item(self, last: int, text: str) -> dict:
         a = self.attrs
-        return {"ord": self.ord, "last": last, "tag": self.tag, "cls": a.get("class", ""), "text": self.text(),
+        return {"ord": self.ord, "last": last, "tag": self.tag, "cls": a.get("class", ""), "text": text,
                 "link": a.get("src") or a.get("href") or "", "alt": a.get("alt", "")}
 
 
-def _page_records(page: str) -> Iterator[dict]:
+def _attributes(raw: str) -> dict:
+    if "=" not in raw:
+        return {}
+    pairs = {name.lower(): a or b or c for name, a, b, c in _ATTR.findall(raw)}
+    return {k: html_lib.unescape(v) for k, v in pairs.items()} if "&" in raw else pairs
+
+
+def _enclosing(stack: list[_Open], with_ids: bool) -> str:
+    marks = [f".{c}" for e in stack if "class" in e.attrs for c in e.attrs["class"].split()]
+    if with_ids:
+        marks += [f"#{e.attrs['id']}" for e in stack if "id" in e.attrs]
+    return f" {' '.join(marks)} "
+
+
+def _close(stack: list[_Open], found: list[dict], count: int) -> None:
+    """Close the innermost element and hand its content to what encloses it."""
+    el = stack.pop()
+    tag = el.tag
+    text = " ".join(" ".join(el.parts).split()) if el.parts else ""
+    if tag in _CELLS:
+        row = stack[-1] if stack and stack[-1].tag == "tr" else None
+        if row is not None:
+            a = el.attrs
+            items = [el.item(count, text)]
+            if el.items:
+                items += sorted(el.items, key=lambda i: i["ord"])
+            row.items.append({"tag": tag, "cls": a.get("class", ""), "label": a.get("data-label", ""),
+                              "real_id": a.get("data-real-id", ""), "text": text, "items": items})
+    elif tag == "tr":
+        section = ""
+        for outer in reversed(stack):
+            if outer.tag in _SECTIONS:
+                section = outer.tag
+            elif outer.tag == "table":
+                if el.items:
+                    outer.rows.append((section, el.items))
+                break
+    elif tag == "table":
+        a = el.attrs
+        heads = [c["text"] for s, cells in el.rows if s == "thead" for c in cells if c["tag"] == "th" and c["text"]]
+        header = heads or [c["text"] for c in (el.rows[0][1] if el.rows else [])]
+        common = {"kind": "row", "table_no": el.ord, "table_cls": a.get("class", ""), "idq": a.get("idq", ""),
+                  "idx": a.get("idx", ""), "around": _enclosing(stack, True), "header": header}
+        found.extend({**common, "section": section, "row_no": n, "cells": cells} for n, (section, cells) in enumerate(el.rows))
+    elif el.cell is not None:
+        el.cell.items.append(el.item(count, text))
+    elif tag == "h1" or tag == "img":
+        item = el.item(count, text)
+        cell = {"tag": tag, "cls": item["cls"], "label": "", "real_id": "", "text": text, "items": [item]}
+        found.append({"kind": tag, "table_no": el.ord, "table_cls": "", "idq": "", "idx": "", "around": _enclosing(stack, False),
+                      "header": [], "section": "", "row_no": 0, "cells": [cell]})
+
+
+def _page_records(page: str) -> list[dict]:
     """Rows of all tables, then headings and images outside of tables."""
     stack: list[_Open] = []
     found: list[dict] = []
-    count = tables = 0
-
-    def close(index: int) -> None:
-        while len(stack) > index:
-            el = stack.pop()
-            cell = next((e for e in reversed(stack) if e.tag in ("td", "th")), None)
-            if el.tag in ("td", "th"):
-                row = next((e for e in reversed(stack) if e.tag in ("tr", "table")), None)
-                el.items.append(el.as_item(count))
-                if row is not None and row.tag == "tr":
-                    row.items.append({
-                        "tag": el.tag, "cls": el.attrs.get("class", ""), "label": el.attrs.get("data-label", ""),
-                        "real_id": el.attrs.get("data-real-id", ""), "text": el.text(),
-                        "items": sorted(el.items, key=lambda i: i["ord"]),
-                    })
-            elif el.tag == "tr":
-                table = next((e for e in reversed(stack) if e.tag == "table"), None)
-                section = next((e.tag for e in reversed(stack) if e.tag in ("thead", "tbody", "tfoot", "table")), "table")
-                if table is not None and el.items:
-                    table.rows.append((section if section != "table" else "", el.items))
-            elif el.tag == "table":
-                a = el.attrs
-                heads = [c["text"] for s, cells in el.rows if s == "thead" for c in cells if c["tag"] == "th" and c["text"]]
-                header = heads or [c["text"] for c in (el.rows[0][1] if el.rows else [])]
-                around = " ".join(
-                    [f".{c}" for e in stack for c in e.attrs.get("class", "").split()]
-                    + [f"#{e.attrs['id']}" for e in stack if e.attrs.get("id")]
-                )
-                found.extend(
-                    {"kind": "row", "table_no": el.ord, "table_cls": a.get("class", ""), "idq": a.get("idq", ""),
-                     "idx": a.get("idx", ""), "around": f" {around} ", "header": header, "section": section,
-                     "row_no": n, "cells": cells}
-                    for n, (section, cells) in enumerate(el.rows)
-                )
-            elif cell is not None:
-                cell.items.append(el.as_item(count))
-            elif el.tag in ("h1", "img"):
-                around = " ".join(f".{c}" for e in stack for c in e.attrs.get("class", "").split())
-                item = el.as_item(count)
-                found.append({"kind": el.tag, "table_no": el.ord, "table_cls": "", "idq": "", "idx": "",
-                              "around": f" {around} ", "header": [], "section": "", "row_no": 0,
-                              "cells": [{"tag": el.tag, "cls": item["cls"], "label": "", "real_id": "",
-                                         "text": item["text"], "items": [item]}]})
-
-    def add_text(raw: str) -> None:
-        text = html_lib.unescape(raw).strip()
-        if text:
-            for el in stack:
-                if el.tag not in ("table", "tbody", "thead", "tfoot", "tr", "html", "body"):
-                    el.parts.append(text)
-
-    at = 0
+    count = at = 0
     for match in _TAG.finditer(page):
-        if match.start() < at:
+        begin = match.start()
+        if begin < at:
             continue
-        add_text(page[at:match.start()])
+        if begin > at:
+            text = page[at:begin].strip()
+            if text:
+                if "&" in text:
+                    text = html_lib.unescape(text)
+                for el in stack:
+                    if el.tag not in _NO_TEXT or el.cell is not None:
+                        el.parts.append(text)
         at = match.end()
-        if match.group(2) is None:
+        closing, tag, raw = match.groups()
+        if tag is None:
             continue
-        closing, tag = match.group(1), match.group(2).lower()
+        tag = tag.lower()
         if closing:
-            index = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
-            if index is not None:
-                close(index)
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i].tag == tag:
+                    while len(stack) > i:
+                        _close(stack, found, count)
+                    break
             continue
         count += 1
-        attrs = {k.lower(): html_lib.unescape(v.strip("\"'")) for k, v in _ATTR.findall(match.group(3))}
-        if tag in ("script", "style"):
-            end = page.lower().find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
+        if tag in _RAW_END:
+            end = _RAW_END[tag].search(page, at)
+            at = end.start() if end else len(page)
             continue
-        if tag in _CLOSED_BY:
+        # a new cell, row or section ends the open one of the same table
+        ends = _CELLS if tag in _CELLS else _IN_TABLE if tag == "tr" else _IN_TABLE | _SECTIONS if tag in _SECTIONS else None
+        if ends:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == "table":
+                open_tag = stack[i].tag
+                if open_tag == "table":
                     break
-                if stack[i].tag in _CLOSED_BY[tag]:
-                    close(i)
-        if tag == "table":
-            tables += 1
-        stack.append(_Open(tag, attrs, count))
-        if tag in _VOID or match.group(3).endswith("/"):
-            close(len(stack) - 1)
-    add_text(page[at:])
-    close(0)
-    yield from found
-
-
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in re.split(r", (?=\w+ )", ROWS_SCHEMA)]
+                if open_tag in ends:
+                    while len(stack) > i:
+                        _close(stack, found, count)
+        cell = None
+        if stack and tag != "table":
+            above = stack[-1]
+            cell = above if above.tag in _CELLS else above.cell
+        stack.append(_Open(tag, _attributes(raw), count, cell))
+        if tag in _VOID or raw.endswith("/"):
+            _close(stack, found, count)
+    while stack:
+        _close(stack, found, count)
+    return found
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [
-            {"page_id": page_id, **record}
-            for page_id, page in zip(batch["page_id"], batch["html"]) for record in _page_records(page)
-        ]
-        yield pd.DataFrame(rows, columns=columns)
+        pages = zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())
+        rows = [{"page_id": page_id, **record} for page_id, page in pages for record in _page_records(page)]
+        yield pa.RecordBatch.from_pylist(rows, schema=ROWS)
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -168,7 +192,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
     in page order; an item contains those numbered up to its ``last``.
     """
     useful = pages.filter(F.col("html").rlike(r"(?i)<(table|h1)[\s>]")).select("page_id", "html")
-    return useful.mapInPandas(_parse_batches, ROWS_SCHEMA)
+    return useful.mapInArrow(_parse_batches, ROWS_SQL)
 
 
 # --- reading cells ---------------------------------------------------------------------------
@@ -502,16 +526,19 @@ def boxscore_player_lines(rows: DataFrame) -> DataFrame:
 
 def printed_team_lines(rows: DataFrame) -> DataFrame:
     """Total rows as printed, with the rebounds credited to the team as such."""
-    lines = _boxscore_rows(rows)
-    totals = lines.filter((F.col("row_kind") == "team_total") & (F.size("texts") >= 17)) \
-        .groupBy("page_id", "side").agg(F.max_by(F.struct("parse_model", "has_games", "texts"), "row_no").alias("t")) \
-        .select("page_id", "side", "t.*")
     rebounds = parse_rebounds(F.get("texts", F.when(F.col("has_games"), 4).otherwise(7)))
-    collective = lines.filter("row_kind = 'collective'").groupBy("page_id", "side").agg(
-        F.max_by(rebounds, "row_no").alias("c")
-    ).select("page_id", "side", *[F.col(f"c.{p}").alias(f"collective_{p}_rebounds") for p in ("offensive", "defensive", "total")])
+    is_total = (F.col("row_kind") == "team_total") & (F.size("texts") >= 17)
+    is_collective = F.col("row_kind") == "collective"
+    last = lambda value, condition: F.max_by(F.when(condition, value), F.when(condition, F.col("row_no")))
+    sides = _boxscore_rows(rows).filter(is_total | is_collective).groupBy("page_id", "side").agg(
+        last(F.struct("parse_model", "has_games", "texts"), is_total).alias("t"), last(rebounds, is_collective).alias("c")
+    ).filter("t IS NOT NULL").select(
+        "page_id", "side", "t.*",
+        *[F.col(f"c.{p}").alias(f"collective_{p}_rebounds") for p in ("offensive", "defensive", "total")],
+    )
+    collective = [f"collective_{p}_rebounds" for p in ("offensive", "defensive", "total")]
     keep = ["page_id", "side", "parse_model"]
-    return _numbers(totals, keep, 2, False).join(collective, ["page_id", "side"], "left")
+    return _numbers(sides, [*keep, *collective], 2, False)
 
 
 def team_totals_from_players(players: DataFrame, printed: DataFrame) -> DataFrame:

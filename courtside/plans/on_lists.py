@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import query as q
 from ..operators import rollups
+from . import on_rollups  # noqa: F401  (defines shared views)
 from .bindings import add_view, sql
 from .registry import query
 

@@ -7,6 +7,7 @@ team lines those of returned or accepted items, failures are urgent orders.
 from pyspark.sql import functions as F
 
 from ..operators import quality
+from . import on_rollups  # noqa: F401  (defines shared views)
 from .bindings import add_view, sql
 from .registry import query
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import resolve, similar
+from . import on_rollups  # noqa: F401  (defines shared views)
 from .bindings import add_view, sql
 from .on_functions import s_key, s_norm, s_slug
 from .registry import query

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import standings
 from ..session import scratch_path
 from ..sources import catalog, pages, tables
+from . import on_rollups  # noqa: F401  (defines shared views)
 from .bindings import sql
 from .registry import query
 
