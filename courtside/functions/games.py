@@ -9,29 +9,20 @@ from ..constants import IN_PROGRESS, IN_PROGRESS_ORDER, STAGES
 from .text import col, fold
 
 
-def stage_of_text(text: Column | str) -> Column:
-    """Postseason stage named by a folded text; NULL in the regular season.
-
-    The narrower words win, so that ``Quartas de final`` is not a final.
-    """
-    has = col(text).contains
-    return (
-        F.when(has("final") & ~has("semi") & ~has("quarta") & ~has("oitava"), F.lit("final"))
-        .when(has("semi"), F.lit("semifinal"))
-        .when(has("quarta"), F.lit("quartas"))
-        .when(has("oitava"), F.lit("oitavas"))
-        .when(has("playoff") | has("mata mata") | has("mata-mata"), F.lit("playoffs"))
-    )
-
-
-def stage_text(phase: Column | str, round_: Column | str) -> Column:
-    return F.concat_ws(" ", fold(phase), fold(round_))
+# words that name a stage, narrowest first; "Quartas de final" is not a final
+_STAGE_WORDS = {"semi": "semifinal", "quar": "quartas", "oita": "oitavas", "fina": "final", "play": "playoffs", "mata": "playoffs"}
 
 
 def stage_from_game(phase: Column | str, round_: Column | str) -> Column:
-    """Stage by phase and round.  On large tables materialise ``stage_text`` as a
-    column first (as ``with_stage`` does): the rule reads the text several times."""
-    return stage_of_text(stage_text(phase, round_))
+    """Postseason stage named by phase and round; NULL in the regular season.
+
+    All stage words are found in one pass over the text; the narrowest decides.
+    """
+    text = F.concat_ws(" ", fold(phase), fold(round_))
+    words = F.regexp_extract_all(text, F.lit("(semi|quarta|oitava|final|playoff|mata[ -]mata)"), F.lit(1))
+    rank = F.create_map(*[F.lit(x) for i, start in enumerate(_STAGE_WORDS) for x in (start, i)])
+    narrowest = F.array_min(F.transform(words, lambda w: rank[F.substring(w, 1, 4)]))
+    return F.get(F.array(*[F.lit(s) for s in _STAGE_WORDS.values()]), narrowest)
 
 
 def _look_up(table: dict, key: Column) -> Column:

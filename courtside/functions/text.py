@@ -59,12 +59,9 @@ def _fold_table() -> tuple[str, str]:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Base letters without marks; plain ASCII text is passed through untouched."""
+    """Base letters without marks, for all letters whose base form is one character."""
     source, target = _fold_table()
-    c = col(c)
-    return F.when(
-        c.rlike(r"[^\x00-\x7f]"), F.translate(c, source, target)
-    ).otherwise(c)
+    return F.translate(col(c), source, target)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,7 +1,8 @@
 """Templated questions in batch: a table of questions in, intents and answers out.
 
 ``parsed`` tables have question_id, question, intent, player_1, player_2,
-last_n_games, ranking_target, metric, top_n.
+last_n_games, ranking_target, metric, top_n.  Parsing is a wide set of expressions, and
+the answers read its result several times: write it out (or checkpoint it) in between.
 """
 
 from __future__ import annotations

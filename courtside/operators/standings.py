@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_COMPETITION, IN_PROGRESS_ORDER, STAGES
-from ..functions.games import is_finished, stage_label, stage_of_text, stage_order, stage_text, winner
+from ..functions.games import is_finished, stage_from_game, stage_label, stage_order, winner
 from ..functions.stats import record_text, win_pct
 from ..functions.text import blank_to_null
 
@@ -22,8 +22,7 @@ def finished_games(games: DataFrame) -> DataFrame:
 
 
 def with_stage(games: DataFrame) -> DataFrame:
-    text = stage_text(_optional(games, "phase"), _optional(games, "round"))
-    return games.withColumn("__text", text).withColumn("stage", stage_of_text("__text")).drop("__text")
+    return games.withColumn("stage", stage_from_game(_optional(games, "phase"), _optional(games, "round")))
 
 
 def regular_season_games(games: DataFrame) -> DataFrame:
@@ -53,38 +52,48 @@ def _team_sides(games: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-def regular_season_table(games: DataFrame) -> DataFrame:
-    """Wins, losses and points per team; equal scores count as a loss for both.
+def _count(condition):
+    return F.sum(condition.cast("bigint"))
 
-    Aggregated first by abbreviation as well, so the most frequent abbreviation
-    falls out of the second, small aggregation.
-    """
-    won = F.col("scored") > F.col("allowed")
-    home = F.col("is_home") == 1
-    count = lambda condition: F.sum(condition.cast("bigint"))
-    by_abbr = _team_sides(regular_season_games(games)).groupBy(*TABLE_KEY, "team_abbr").agg(
-        F.count("*").alias("games_played"),
-        count(won).alias("wins"),
-        count(home & won).alias("home_wins"),
-        count(home & ~won).alias("home_losses"),
-        count(~home & won).alias("away_wins"),
-        count(~home & ~won).alias("away_losses"),
-        F.sum("scored").alias("points_for"),
-        F.sum("allowed").alias("points_against"),
-    )
-    summed = ["games_played", "wins", "home_wins", "home_losses", "away_wins", "away_losses",
-              "points_for", "points_against"]
-    most_used = F.min(
-        F.when(F.col("team_abbr").isNotNull(), F.struct((-F.col("games_played")).alias("n"), "team_abbr"))
-    )
+
+def _regular_sums(regular=None) -> list:
+    """Sums of one team's games, counting only those that are ``regular``."""
+    regular = F.lit(True) if regular is None else regular
+    won, home = F.col("scored") > F.col("allowed"), F.col("is_home") == 1
+    points = lambda c: F.sum(F.when(regular, F.col(c)).otherwise(0))
+    return [
+        _count(regular).alias("games_played"), _count(regular & won).alias("wins"),
+        _count(regular & home & won).alias("home_wins"), _count(regular & home & ~won).alias("home_losses"),
+        _count(regular & ~home & won).alias("away_wins"), _count(regular & ~home & ~won).alias("away_losses"),
+        points("scored").alias("points_for"), points("allowed").alias("points_against"),
+    ]
+
+
+SUMMED = ("games_played", "wins", "home_wins", "home_losses", "away_wins", "away_losses", "points_for", "points_against")
+
+
+def _over_abbreviations(by_abbr: DataFrame, *more) -> DataFrame:
+    """Totals per team with the most frequent abbreviation (the smallest on a tie)."""
+    counted = F.col("team_abbr").isNotNull() & (F.col("games_played") > 0)
+    most_used = F.min(F.when(counted, F.struct((-F.col("games_played")).alias("n"), "team_abbr")))
     return (
         by_abbr.groupBy(*TABLE_KEY)
-        .agg(*[F.sum(c).alias(c) for c in summed], most_used.getField("team_abbr").alias("team_abbr"))
+        .agg(*[F.sum(c).alias(c) for c in SUMMED], most_used.getField("team_abbr").alias("team_abbr"), *more)
         .withColumn("losses", F.col("games_played") - F.col("wins"))
         .withColumn("point_diff", F.col("points_for") - F.col("points_against"))
     )
 
 
+def regular_season_table(games: DataFrame) -> DataFrame:
+    """Wins, losses and points per team; equal scores count as a loss for both.
+
+    Aggregated first by abbreviation as well, so the most frequent abbreviation
+    falls out of the second, small aggregation.
+    """
+    sides = _team_sides(regular_season_games(games))
+    return _over_abbreviations(sides.groupBy(*TABLE_KEY, "team_abbr").agg(*_regular_sums()))
+
+
 def season_champion(games: DataFrame) -> DataFrame:
     """The team with most final wins, where no other team has as many."""
     competition = F.coalesce(blank_to_null(_optional(games, "competition")), F.lit(DEFAULT_COMPETITION))
@@ -141,11 +150,33 @@ def team_names(teams: DataFrame) -> DataFrame:
     )
 
 
+def _table_with_finish(games: DataFrame) -> DataFrame:
+    """``regular_season_table`` and ``postseason_finish`` from one pass over the games."""
+    staged = with_stage(finished_games(games))
+    stored = [F.col("winner_team_id")] if "winner_team_id" in games.columns else []
+    won_by = winner("home_team_id", "away_team_id", "home_score", "away_score", *stored)
+    sides = _team_sides(staged.withColumn("won_by", won_by), "stage", "won_by")
+    final_win = (F.col("stage") == "final") & (F.col("won_by") == F.col("team_id"))
+    by_abbr = sides.groupBy(*TABLE_KEY, "team_abbr").agg(
+        *_regular_sums(F.col("stage").isNull()), F.max(stage_order("stage")).alias("reached"),
+        F.count_if(final_win).alias("final_wins"),
+    )
+    table = _over_abbreviations(by_abbr, F.max("reached").alias("reached"), F.sum("final_wins").alias("final_wins"))
+    # teams of one season and competition, one row each
+    season = Window.partitionBy("season_id", "competition")
+    level = Window.partitionBy("season_id", "competition", "final_wins")
+    champion = (
+        (F.col("final_wins") > 0) & (F.col("final_wins") == F.max("final_wins").over(season))
+        & (F.count("*").over(level) == 1)
+    )
+    order = F.when(champion, F.lit(STAGES["campeao"][0]).cast("bigint")).otherwise(F.col("reached"))
+    return table.withColumn("finish_stage_order", order).filter("games_played > 0")
+
+
 def standings(games: DataFrame, teams: DataFrame, seasons: DataFrame) -> DataFrame:
     """One row per season, competition and team, with place and final stage."""
     table = (
-        regular_season_table(games)
-        .join(postseason_finish(games).select(*TABLE_KEY, "finish_stage_order"), TABLE_KEY, "left")
+        _table_with_finish(games)
         .join(team_names(teams), "team_id", "left")
         .join(seasons.select(F.col("id").alias("season_id"), F.col("name").alias("season_name"),
                              F.col("is_current").cast("bigint").alias("is_current")), "season_id", "left")

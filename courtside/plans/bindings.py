@@ -17,6 +17,7 @@ from ..constants import STAT_INPUTS
 from ..operators import ask as ask_ops
 from ..operators import resolve as resolve_ops
 from ..operators import rollups, standings
+from ..session import cut_lineage
 
 GAMES = {
     "id": "o_orderkey",
@@ -248,6 +249,15 @@ class League:
         lines = self.raw("lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
         return _select(lines, OPEN_LINES).withColumn("player_id", F.lit(None).cast("bigint"))
 
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Open lines by request, written out once: matching reads them several times."""
+        return cut_lineage(resolve_ops.unresolved_groups(self.open_lines, ["game_id"]))
+
+    @cached_property
+    def stored_records(self) -> DataFrame:
+        return cut_lineage(self.records)
+
     @cached_property
     def questions(self) -> DataFrame:
         texts = ", ".join(QUESTIONS)
@@ -257,11 +267,12 @@ class League:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return ask_ops.question_intent(self.questions)
+        """Parsed questions, written out once: every answer reads them several times."""
+        return cut_lineage(ask_ops.question_intent(self.questions))
 
     @cached_property
     def named(self) -> DataFrame:
-        return ask_ops.named_players(self.parsed, self.players, self.nicknames)
+        return cut_lineage(ask_ops.named_players(self.parsed, self.players, self.nicknames))
 
 
 # --- the same tables as SQL -----------------------------------------------------------------
@@ -299,6 +310,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+COMPUTE_ONCE = ("b_parsed", "b_found", "b_named", "b_groups", "b_pairs", "b_review_pairs")
+
+
 def add_view(name: str, needs: tuple[str, ...], text: str) -> None:
     VIEWS[name] = (needs, text)
 
@@ -315,5 +329,5 @@ def sql(needs: tuple[str, ...] | str, body: str) -> str:
 
     for name in (needs,) if isinstance(needs, str) else needs:
         visit(name)
-    ctes = ", ".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
+    ctes = ", ".join(f"{n} AS {'MATERIALIZED ' if n in COMPUTE_ONCE else ''}({VIEWS[n][1]})" for n in ordered)
     return f"WITH {ctes} {body}" if ctes else body

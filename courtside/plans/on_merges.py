@@ -289,7 +289,7 @@ add_view("b_applied_best", ("b_applied_hits",),
        f" CASE WHEN {s_key('l.player_name_raw')} IS NULL THEN 'empty_player_name' WHEN d.n IS NULL THEN 'no_alias_match' WHEN d.strategy = 7 THEN 'no_safe_match' WHEN d.n = 1 THEN 'resolved' ELSE 'ambiguous_match' END AS reason"
        f" FROM b_open_lines l LEFT JOIN b_applied_best d ON {SAME.format(a='l', b='d')}"))
 def _(t):
-    suggestions = similar.unique_jersey(_groups(t), t.records, t.pool_players).withColumnRenamed("resolved_player_id", "suggested_player_id") \
+    suggestions = similar.unique_jersey(_groups(t), t.stored_records, t.pool_players).withColumnRenamed("resolved_player_id", "suggested_player_id") \
         .withColumn("approved", F.lit(None).cast("string"))
     selected = merge.select_suggestions(suggestions, auto=True, reviewed=False)
     lines = t.open_lines.select("game_id", "points", *resolve.REQUEST, "player_id")

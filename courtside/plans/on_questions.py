@@ -56,7 +56,7 @@ add_view("b_parsed", ("b_questions",), _s_parse("b_questions"))
 
 @query("question_intent", sql("b_parsed", "SELECT * FROM b_parsed"))
 def _(t):
-    return t.parsed
+    return ask.question_intent(t.questions)
 
 
 add_view("b_turns", (), "SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations")

@@ -140,17 +140,17 @@ add_view("b_review_pairs", ("b_left", "b_right"), f"SELECT a, b, similarity FROM
 
 
 def _groups(t):
-    return resolve.unresolved_groups(t.open_lines, ["game_id"])
+    return t.groups
 
 
 @query("similar_names", sql("b_pairs", "SELECT * FROM b_pairs"))
 def _(t):
-    return similar._name_pairs(_groups(t), t.records, 720, False)
+    return similar._name_pairs(_groups(t), t.stored_records, 720, False)
 
 
 @query("similar_names_for_review", sql("b_review_pairs", "SELECT * FROM b_review_pairs"))
 def _(t):
-    return similar._name_pairs(_groups(t), t.records, 650, True)
+    return similar._name_pairs(_groups(t), t.stored_records, 650, True)
 
 
 TIE = "player_id, candidate_name, rs NULLS FIRST, rt NULLS FIRST, rj NULLS FIRST, source"
@@ -171,7 +171,7 @@ _HIGH = f"(f.score >= 130 AND {_MARGIN} >= 12 AND {_CONTEXT})"
        " f.player_id AS suggested_player_id, f.candidate_name AS matched_alias, f.similarity, f.score, CASE WHEN f.player_id IS NOT NULL THEN coalesce(s.score, 0.0::double) END AS second_score, f.source"
        f" FROM b_groups g LEFT JOIN (SELECT * FROM b_scored WHERE rn = 1) f ON {SAME.format(a='g', b='f')} LEFT JOIN (SELECT * FROM b_scored WHERE rn = 2) s ON {SAME.format(a='g', b='s')}"))
 def _(t):
-    return similar.fuzzy_candidates(_groups(t), t.records)
+    return similar.fuzzy_candidates(_groups(t), t.stored_records)
 
 
 add_view("b_review", ("b_groups", "b_review_pairs", "b_normed"),
@@ -190,7 +190,7 @@ def _s_signal(r, q, word):
        f" {_s_signal('rj', 'jersey_number', 'jersey')}, CASE WHEN similarity >= 0.90 THEN 'strong_name' WHEN similarity >= 0.75 THEN 'medium_name' ELSE 'weak_name' END) AS signals, source"
        " FROM b_review WHERE rn <= 8 AND score >= 65"))
 def _(t):
-    return similar.top_candidates(_groups(t), t.records)
+    return similar.top_candidates(_groups(t), t.stored_records)
 
 
 # --- one player per jersey ----------------------------------------------------------------------------------
@@ -214,4 +214,4 @@ add_view("b_fit", ("b_groups", "b_seat_names"),
        " coalesce(s.candidates, 0) AS candidates, CASE WHEN s.candidates = 1 THEN s.player_id END AS resolved_player_id, f.fit AS name_score, f.known AS matched_name"
        f" FROM b_groups g LEFT JOIN b_seat s USING (season_id, team_id, jersey_number) LEFT JOIN b_fit f ON {SAME.format(a='g', b='f')}"))
 def _(t):
-    return similar.unique_jersey(_groups(t), t.records, t.pool_players)
+    return similar.unique_jersey(_groups(t), t.stored_records, t.pool_players)
