@@ -21,14 +21,12 @@ def player_records(stats: DataFrame, games: DataFrame, players: DataFrame, teams
     the values, and both scopes are read from that one reduced table.
     """
     lines = stats.filter(F.col("player_id").isNotNull()).join(
-        games.select(F.col("id").alias("game_id"), "game_date", "home_team_id", "away_team_id",
-                     "home_score", "away_score"),
-        "game_id", "left",
+        games.select(F.col("id").alias("game_id"), "game_date"), "game_id", "left"
     )
     numeric = dict(stats.dtypes)
     value = lambda s: to_float(s) if numeric[s] == "string" else F.coalesce(F.col(s).cast("double"), F.lit(0.0))
     entries = F.array(*[F.struct(F.lit(s).alias("record_type"), value(s).alias("value")) for s, _ in RECORD_STATS])
-    game = F.struct("game_date", "game_id", "team_id", "home_team_id", "away_team_id", "home_score", "away_score")
+    game = F.struct("game_date", "game_id", "team_id")
 
     per_value = lines.select("player_id", "season_id", game.alias("game"), F.inline(entries)) \
         .groupBy("player_id", "season_id", "record_type", "value") \
@@ -47,15 +45,19 @@ def player_records(stats: DataFrame, games: DataFrame, players: DataFrame, teams
     )
 
     labels = F.create_map(*[F.lit(x) for pair in RECORD_STATS for x in pair])
-    view = side_and_opponent("best.game.team_id", "best.game.home_team_id", "best.game.away_team_id",
-                             "best.game.home_score", "best.game.away_score")
-    rows = best.select(
+    chosen = best.select(
         "player_id", "scope", F.col("scope_season").alias("season_id"), "record_type",
         labels[F.col("record_type")].alias("record_label"),
         F.col("best.value").alias("value"), F.col("best.n").alias("tie_count"),
         F.col("best.game.game_id").alias("game_id"), F.col("best.game.game_date").alias("game_date"),
-        F.col("best.game.team_id").alias("team_id"), view.alias("view"),
-    ).select("*", "view.*").drop("view")
+        F.col("best.game.team_id").alias("team_id"),
+    )
+    # scores and sides are looked up for the chosen games only
+    sides = games.select(F.col("id").alias("game_id"), "home_team_id", "away_team_id", "home_score", "away_score")
+    view = side_and_opponent("team_id", "home_team_id", "away_team_id", "home_score", "away_score")
+    rows = chosen.join(sides, "game_id", "left").select(*chosen.columns, view.alias("view")).select(
+        *chosen.columns, "view.*"
+    )
     opponents = team_names(teams).select(
         F.col("team_id").alias("opponent_team_id"), F.col("team_name").alias("opponent_team_name")
     )

@@ -182,10 +182,16 @@ def resolve_requests(requests: DataFrame, records: DataFrame) -> DataFrame:
         F.col("season_id").cast("bigint").alias("season_id"), F.col("team_id").cast("bigint").alias("team_id"),
         "player_name_raw", blank_to_null("jersey_number").alias("jersey_number"),
     ).distinct().withColumn("name_key", identity_key("player_name_raw"))
-    attempts = distinct.filter("name_key IS NOT NULL").select("*", F.inline(_strategy_keys(False)))
-    found = attempts.join(player_lookup(records), _LOOKUP_KEY)
+    # names that no record has need no attempts; they keep one row that finds nothing
+    known = records.select(identity_key("name").alias("name_key"), F.lit(True).alias("known")).distinct()
+    marked = distinct.join(known, "name_key", "left")
+    nothing = F.slice(_strategy_keys(False), 1, 1)
+    attempts = marked.select("*", F.inline(F.when(F.col("known"), _strategy_keys(False)).otherwise(nothing)))
+    found = attempts.join(player_lookup(records), _LOOKUP_KEY, "left")
+    hit = F.col("candidates").isNotNull()
     best = found.groupBy(*REQUEST).agg(
-        F.min(F.struct("strategy", "candidates", "player_id")).alias("best")
+        F.min(F.when(hit, F.struct("strategy", "candidates", "player_id"))).alias("best"),
+        F.max("name_key").alias("name_key"),
     )
     safe = F.col("best.strategy") < _ANY
     reason = (
@@ -195,8 +201,7 @@ def resolve_requests(requests: DataFrame, records: DataFrame) -> DataFrame:
         .when(F.col("best.candidates") == 1, "resolved")
         .otherwise("ambiguous_match")
     )
-    joined = _join_null_safe(distinct, best, REQUEST)
-    return joined.select(
+    return best.select(
         *REQUEST, reason.alias("reason"),
         F.when(safe & (F.col("best.candidates") == 1), F.col("best.player_id")).alias("player_id"),
         F.when(safe, F.col("best.strategy") + 1).cast("bigint").alias("strategy"),

@@ -70,7 +70,7 @@ def test_stages_and_results(values):
 
 def test_metric_words(values):
     m = x.metric_from_text
-    assert values(m(lit("mais Pontuação na história")), m(lit("vitórias em jogos")), m(lit("minha opinião")), m(lit("jogos e erros"))) == ("points", "wins", None, "games")
+    assert values(m(lit("mais Pontuação na história")), m(lit("vitórias em jogos")), m(lit("minha opinião")), m(lit("jogos e erros"))) == ("points", "wins", None, "turnovers")
 
 
 def test_display(values):
