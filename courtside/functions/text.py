@@ -17,10 +17,8 @@ from pyspark.sql import types as T
 
 from ..constants import METRIC_WORDS
 
-# what counts as white space; Java's \s alone knows only the ASCII part
-SPACES = (
-    r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-)
+# white space by Unicode, which Java's \s alone does not know, and the separators 1C-1F
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def col(c: Column | str) -> Column:
