@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secrets, url_rules
+from . import decontaminate, exact_dedup, mixing, secrets, substring_dedup, url_rules
 
 #: The rules of the URL query: host, path, action.
 URL_RULES = (
@@ -50,5 +50,11 @@ def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, mixing.ranked_weights(docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing)}
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, folder, "documents")).drop("kept_text")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing, op6_substring_dedup,
+)}
 ORACLES: dict[str, str] = {}
