@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -23,11 +24,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 
     Later steps read the files, so a lost executor costs no earlier step, and no step
-    runs twice.
+    runs twice.  The shuffle files behind the table go as soon as it is written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ hashed only at positions that are, modulo 31, in a difference cover: for any two
 there is a step of less than 31 words after which both are in the cover.  So two documents
 that share 50 words share a hashed window of 20 words that both have sampled (20 + 31 - 1 =
 50), and documents without a shared anchor are done.  Around shared anchors the matches are
-extended: all windows of 50 words that hold one are hashed with 128 bits, and the smallest
+extended: all windows of 50 words that hold one are hashed with 96 bits, and the smallest
 document of each is found.  Every step groups by a hash with partial sums; no pairs are
 formed, however many documents share a passage.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .hashing import Poly, Words, slices
 
 #: A difference cover: every difference modulo the period is one of two members.
@@ -62,7 +63,7 @@ def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """128-bit hash, document and position of all windows that hold a shared anchor."""
+    """A hash of 96 bits, document and position of all windows that hold a shared anchor."""
     size = window - PERIOD + 1
     for batch in batches:
         ids, places = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("places")
@@ -78,8 +79,8 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             place = np.arange(len(text)) - words.first[text]
             here = np.flatnonzero((np.cumsum(opened)[:-1] > 0) & (place + window <= words.counts[text]))
             one = _WIDE_A.ranges(words.hashes(_WORD_A), here, here + window)
-            two = _WIDE_B.ranges(words.hashes(_WORD_B), here, here + window)
-            yield pa.record_batch([_column(one), _column(two), _column(ids[at:to][text[here]]), pa.array(place[here].astype(np.int32))],
+            two = _WIDE_B.ranges(words.hashes(_WORD_B), here, here + window).astype(np.uint32).view(np.int32)
+            yield pa.record_batch([_column(one), pa.array(two), _column(ids[at:to][text[here]]), pa.array(place[here].astype(np.int32))],
                                   names=["one", "two", "doc_id", "place"])
 
 
@@ -128,13 +129,16 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     wholes = named.mapInArrow(_wholes, "doc_id long, one long, two long, n long").where(F.col("n") >= window)
     first = wholes.groupBy("one", "two", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     copied = wholes.join(first, ["one", "two", "n"]).where("doc_id > low").select("doc_id", F.lit(None).cast("int").alias("place"), F.lit(True).alias("copy"))
-    marks = marked.unionAll(copied).groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.max("copy").alias("copy"))
-    # both joins with the texts read one shuffle of them
-    found = rows.join(marks, "doc_id").where("not copy").select("doc_id", "text", "places")
-    windows = found.mapInArrow(partial(_windows, window=window), "one long, two long, doc_id long, place int")
-    source = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    # written tables end a step each, and with it the disk that its shuffles take
+    copied = stored(copied, "repeats-copies")
+    marks = stored(marked.unionAll(copied).groupBy("doc_id").agg(
+        F.collect_list("place").alias("places"), F.max("copy").alias("copy")).where("not copy"), "repeats-marks")
+    found = rows.join(marks, "doc_id").select("doc_id", "text", "places")
+    windows = found.mapInArrow(partial(_windows, window=window), "one long, two int, doc_id long, place int")
+    source = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"))
     again = windows.join(source, ["one", "two"]).where("doc_id > low").select("doc_id", "place", F.lit(False).alias("copy"))
-    gone = again.unionAll(copied).groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.max("copy").alias("copy"))
+    gone = stored(again.unionAll(copied).groupBy("doc_id").agg(
+        F.collect_list("place").alias("places"), F.max("copy").alias("copy")), "repeats-gone")
     left = rows.join(gone, "doc_id", "left").select("doc_id", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy"))
     return left.mapInArrow(partial(_rest, window=window),
                            "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
