@@ -121,21 +121,23 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     if window <= PERIOD:
         raise ValueError(f"window must exceed {PERIOD} words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a written table ends each step, and with it the disk that its shuffles take
     named = rows.where("doc_id is not null")
     anchors = named.mapInArrow(partial(_anchors, window=window), "h long, doc_id long, place int")
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    marked = anchors.join(shared.select("h"), "h").select("doc_id", "place", F.lit(False).alias("copy"))
+    # what recurs is written before the rows look it up: a join of plain shuffles can be split where one hash is hot
+    marked = anchors.join(stored(shared.select("h"), "repeats-anchors"), "h").select("doc_id", "place", F.lit(False).alias("copy"))
     # a whole copy of a smaller document loses every word and has nothing to add
     wholes = named.mapInArrow(_wholes, "doc_id long, one long, two long, n long").where(F.col("n") >= window)
-    first = wholes.groupBy("one", "two", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copied = wholes.join(first, ["one", "two", "n"]).where("doc_id > low").select("doc_id", F.lit(None).cast("int").alias("place"), F.lit(True).alias("copy"))
-    # written tables end a step each, and with it the disk that its shuffles take
+    first = wholes.groupBy("one", "two", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+    copied = wholes.join(stored(first, "repeats-wholes"), ["one", "two", "n"]).where("doc_id > low").select("doc_id", F.lit(None).cast("int").alias("place"), F.lit(True).alias("copy"))
     copied = stored(copied, "repeats-copies")
     marks = stored(marked.unionAll(copied).groupBy("doc_id").agg(
         F.collect_list("place").alias("places"), F.max("copy").alias("copy")).where("not copy"), "repeats-marks")
     found = rows.join(marks, "doc_id").select("doc_id", "text", "places")
     windows = found.mapInArrow(partial(_windows, window=window), "one long, two int, doc_id long, place int")
-    source = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"))
+    source = windows.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    source = stored(source.drop("high"), "repeats-windows")
     again = windows.join(source, ["one", "two"]).where("doc_id > low").select("doc_id", "place", F.lit(False).alias("copy"))
     gone = stored(again.unionAll(copied).groupBy("doc_id").agg(
         F.collect_list("place").alias("places"), F.max("copy").alias("copy")), "repeats-gone")
