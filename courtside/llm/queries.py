@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, secrets, substring_dedup, url_rules
+from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, substring_dedup, url_rules
 
 #: The rules of the URL query: host, path, action.
 URL_RULES = (
@@ -54,7 +54,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(_table(spark, folder, "documents"), size=4)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing, op6_substring_dedup,
+    op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing, op6_substring_dedup, op10_near_dedup,
 )}
 ORACLES: dict[str, str] = {}
