@@ -7,11 +7,12 @@ sets overlap.  Bands of registers find candidates; before any set is read, the l
 of all registers together with the known set sizes estimates the overlap; what may reach
 the threshold is verified on the full sets.
 
-Equal sets are one class from the start, so copies cost nothing further.  In a bucket, the
-member with the smallest id is compared with all others; then connected members need no
-comparison, and buckets that still hold several components go on with the next one, two,
-four ... members, until every pair of members was compared or is connected.  So each
-bucket's pairs are all decided, without writing them all.
+Equal sets are one class from the start, so copies cost nothing further.  In a bucket, one
+member is compared with all others: the one that meets most others over all bands, which
+in a group of edited copies is the text they come from.  Where members of a bucket are
+still in several components after that, these members are joined exactly, by the prefix and
+position of their rarest shingles.  So every two members of a bucket are compared,
+connected, or proven to overlap too little, without writing all pairs of a bucket.
 
 Recall: with a base close to 1, registers agree with a probability of at least the overlap
 J; a pair of J = 0.8 misses all 48 bands of 5 registers with a probability of
@@ -64,31 +65,33 @@ def registers_of(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     low = np.full(n * REGISTERS, np.inf)
     owner = np.repeat(np.arange(n), counts)
     bound = np.where(counts > 0, (np.log(REGISTERS) + 3) / np.maximum(counts, 1), 0.0)
-    # number of points so far and the next point of every shingle
-    drawn = np.zeros(len(sets), np.uint64)
-    point = _gap(sets, drawn)
-    live = np.arange(len(sets))
-    while len(live):
-        act = live[point[live] <= bound[owner[live]]]
+    # number of points so far and the last one of every shingle; points beyond the bound do no harm
+    drawn, last = np.zeros(len(sets), np.uint64), np.zeros(len(sets))
+    act = np.arange(len(sets))
+    while True:
         while len(act):
-            slot = (mixed(sets[act] + drawn[act], 21) % np.uint64(REGISTERS)).astype(np.int64)
-            np.minimum.at(low, owner[act] * REGISTERS + slot, point[act])
-            drawn[act] += np.uint64(1)
-            point[act] += _gap(sets[act], drawn[act])
-            act = act[point[act] <= bound[owner[act]]]
-        need = np.zeros(n, bool)
-        need[np.unique(np.flatnonzero(np.isinf(low)) // REGISTERS)] = True
-        need &= counts > 0
-        bound = np.where(need, bound * 1.7, 0.0)
-        live = np.flatnonzero(need[owner])
+            ahead = np.arange(min(64, max(1, 20_000 // len(act))), dtype=np.uint64)
+            each = (sets[act] + drawn[act])[:, None] + ahead
+            point = last[act][:, None] + np.cumsum(_gap(each), 1)
+            slot = owner[act][:, None] * REGISTERS + (mixed(each, 21) % np.uint64(REGISTERS)).astype(np.int64)
+            np.minimum.at(low, slot.ravel(), point.ravel())
+            drawn[act] += np.uint64(len(ahead))
+            last[act] = point[:, -1]
+            act = act[last[act] <= bound[owner[act]]]
+        # a document is done when all its registers are below its bound
+        need = (low.reshape(n, REGISTERS).max(1) > bound) & (counts > 0)
+        if not need.any():
+            break
+        bound = np.where(need, bound * 1.3, bound)
+        act = np.flatnonzero((last <= bound[owner]) & need[owner])
     with np.errstate(divide="ignore"):
         level = np.floor(1 - np.log(low) / np.log(BASE)) + SHIFT
     return np.clip(np.where(np.isinf(low), 0, level), 0, TOP).astype(np.uint16).reshape(n, REGISTERS)
 
 
-def _gap(sets: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+def _gap(each: np.ndarray) -> np.ndarray:
     """Exponential steps at a rate of one point per register."""
-    uniform = ((mixed(sets + drawn, 22) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    uniform = ((mixed(each, 22) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
     return -np.log(uniform) / REGISTERS
 
 
@@ -204,6 +207,37 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document and shingle."""
+    for batch in batches:
+        for i, blob in enumerate(batch.column("shingles")):
+            hashes = np.frombuffer(blob.as_buffer(), np.int64)
+            own = [pa.array(np.full(len(hashes), batch.column(c)[i].as_py(), np.int64)) for c in ("doc_id", "label")]
+            yield pa.record_batch([*own, pa.array(np.full(len(hashes), len(hashes), np.int64)), pa.array(hashes)],
+                                  names=["doc_id", "label", "n", "shingle"])
+
+
+def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (low, high) of different labels that may reach the threshold: all that do, and few others.
+
+    Every set is ordered by how rare its shingles are.  Two sets that overlap enough share
+    a shingle among the first of both, and at the first one they share, what follows in
+    the shorter rest still suffices; both are exact bounds.
+    """
+    shingles = stored(rest.mapInArrow(_shingles, "doc_id long, label long, n long, shingle long").distinct(), "near-shingles")
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    ordered = shingles.join(stored(often, "near-often"), "shingle", "left").withColumn(
+        "place", F.expr("row_number() over (partition by doc_id, n order by coalesce(often, 1), shingle) - 1"))
+    need = lambda n, parts: F.ceil(n * percent / F.lit(parts))
+    first = stored(ordered.where(F.col("often").isNotNull() & (F.col("place") <= F.col("n") - need(F.col("n"), 100))), "near-prefixes")
+    one, two = (first.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "label", "n", "place")]) for s in ("a", "b"))
+    after = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & (
+        F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (
+        after >= need(F.col("n_a") + F.col("n_b"), 100 + percent))
+    return one.join(two, "shingle").where(may).select(F.col("doc_id_a").alias("low"), F.col("doc_id_b").alias("high")).distinct()
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles (long), component_id (smallest doc_id reachable), kept (boolean).
 
@@ -223,8 +257,12 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     leads = classes.where("n > 0 and lead is not null").select(F.col("lead").alias("doc_id"), "one", "two")
     sketched = stored(sketches.join(leads, ["doc_id", "one", "two"]).dropDuplicates(["doc_id", "one", "two"]).select("doc_id", "n", "registers"), "near-leads")
     bands = sketched.mapInArrow(_bands, "bucket long, doc_id long")
-    buckets = stored(bands.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("bucket", "lead"), "near-buckets")
+    buckets = stored(bands.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "near-buckets")
     held = stored(bands.join(buckets, "bucket"), "near-held")
+    meets = held.groupBy("doc_id").agg(F.sum("members").alias("meets"))
+    leaders = held.join(meets, "doc_id").groupBy("bucket").agg(
+        F.max(F.struct("meets", -F.col("doc_id"))).alias("most")).select("bucket", (-F.col("most.col2")).alias("lead"))
+    held = stored(held.join(stored(leaders, "near-leaders"), "bucket").select("bucket", "doc_id", "lead"), "near-held")
     busy = held.select("doc_id").distinct()
     sets = stored(rows.join(busy, "doc_id").mapInArrow(partial(_full_sets, size=size), "doc_id long, shingles binary"), "near-sets")
     known = stored(sketched.join(busy, "doc_id"), "near-known")
@@ -239,31 +277,17 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return stored(likely.join(full("high", "s_high"), "high").join(full("low", "s_low"), "low").select("low", "high", "s_low", "s_high")
                       .mapInArrow(partial(_linked, percent=percent), "low long, high long").distinct(), "near-links")
 
-    pairs = stored(held.where("doc_id <> lead").select(F.col("lead").alias("low"), F.col("doc_id").alias("high")).distinct(), "near-pairs")
-    tried, links = pairs, verified(pairs)
-    # rows that share an id are linked by the id
-    labels, done = components(links), 1
-    while True:
-        at = stored(held.join(labels, "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label")), "near-at")
-        split = at.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("members")).where(
-            F.col("a") < F.col("b")).where(F.col("members") > done + 1)
-        # places by id in the buckets that still hold several components
-        open_ = stored(at.join(split.select("bucket"), "bucket").withColumn("place", F.expr(
-            "row_number() over (partition by bucket order by doc_id)")), "near-open")
-        centres = open_.where((F.col("place") > done) & (F.col("place") <= 2 * done + 1)).select(
-            "bucket", F.col("doc_id").alias("low"), F.col("label").alias("l_low"))
-        pairs = open_.where(F.col("place") > done).join(centres, "bucket").where(
-            "low < doc_id and label <> l_low").select("low", F.col("doc_id").alias("high")).distinct()
-        pairs = stored(pairs.join(tried, ["low", "high"], "left_anti"), "near-pairs")
-        done = 2 * done + 1
-        if not pairs.isEmpty():
-            found = verified(pairs)
-            tried, links = tried.unionAll(pairs), links.unionAll(found)
-            if not found.isEmpty():
-                labels = components(links)
-        if split.where(F.col("members") > done + 1).isEmpty():
-            break
+    stars = held.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("low"), F.greatest("lead", "doc_id").alias("high"))
+    links = verified(stored(stars.distinct(), "near-pairs"))
+    labels = components(links)
+    # members that their bucket's leader did not bring together
+    at = held.where("doc_id <> lead").join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    at = stored(at, "near-at")
+    split = at.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("two")).where("one < two").select("bucket")
+    rest = stored(at.join(split, "bucket").select("doc_id", "label").distinct(), "near-rest")
+    more = verified(stored(_prefix_pairs(rest.join(sets, "doc_id"), percent), "near-pairs"))
+    if not more.isEmpty():
+        labels = components(links.unionAll(more))
     shared = shared.where("n > 0")
     named = members.join(shared, ["one", "two", "n"], "left").select("doc_id", "n", F.coalesce("lead", "doc_id").alias("lead"))
     found = labels.select(F.col("doc_id").alias("lead"), "label")
