@@ -10,8 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import decontaminate, exact_dedup, mixing
-from courtside.llm.common import stored
+from courtside.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
+from courtside.llm.common import only_ids, stored
+
+
+def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that a model of the labels rejects go; it learns as the registered query does."""
+    held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
+    model = toxicity.fit(docs.where(~held_out), spark.read.parquet(f"{folder}/labels.parquet"))
+    scored = toxicity.score(docs, model)
+    return scored.where(F.col("toxicity") < toxicity.REJECT).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Of documents that are linked by four fifths of their shingles of five words, the smallest id stays."""
+    return only_ids(docs, near_dedup.near_groups(docs).where("not kept").select("doc_id").distinct(), keep=False)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -37,7 +50,9 @@ def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", toxic),
     ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
     ("decontamination", leaked),
     ("mixing", mixture),
 ]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -44,3 +47,12 @@ def only_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     """
     wanted = ids.select(F.col("doc_id").alias("__wanted_id"))
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__wanted_id"]), "left_semi" if keep else "left_anti")
+
+
+def sent(spark: SparkSession, model: object) -> Broadcast:
+    """Broadcast a trained model, whose size is fixed, together with its class."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(model: Broadcast) -> object:
+    return pickle.loads(model.value)

@@ -41,6 +41,14 @@ class Poly:
                 have = getattr(self, name)
                 setattr(self, name, np.concatenate([have, have * np.uint64(pow(base, k, 2**64))]))
 
+    def upto(self, n: int) -> np.ndarray:
+        self._grow(n)
+        return self.powers[:n]
+
+    def undone(self, n: int) -> np.ndarray:
+        self._grow(n)
+        return self.undo[:n]
+
     def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._grow(len(values) + 1)
         sums = np.zeros(len(values) + 1, np.uint64)

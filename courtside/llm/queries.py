@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, mixing, near_dedup, secrets, substring_dedup, url_rules
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, secrets, substring_dedup, toxicity, url_rules, warc
 
 #: The rules of the URL query: host, path, action.
 URL_RULES = (
@@ -54,11 +54,32 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, folder, "documents")).drop("kept_text")
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = toxicity.remainder(F.col("doc_id"), 4) == 2
+    found = language.identify(docs, language.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs.where(~held_out), labels))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"),
+                        (F.col("toxicity") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, folder, "documents"), size=4)
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing, op6_substring_dedup, op10_near_dedup,
+    op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing, op6_substring_dedup,
+    op7_language, op8_warc, op9_toxicity, op10_near_dedup,
 )}
 ORACLES: dict[str, str] = {}
