@@ -144,16 +144,17 @@ def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int =
         for at in sorted(rng.choice(cuts, min(len(cuts), PIECES[int(labels[doc])]), replace=False)):
             pieces.append(" ".join(words[at: at + SEGMENT]).encode())
             of_doc.append(doc)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
-    found, segment, piece = grams(data, offsets)
-    text = np.asarray(of_doc)[piece]
-    rows = np.concatenate([r for _, r in found]).astype(np.int32)
-    owner = np.concatenate([segment[p] for p, _ in found]).astype(np.int32)
-    del found
-    order = np.argsort(owner, kind="stable")
-    rows, owner = rows[order], owner[order]
-    starts = np.searchsorted(owner, np.arange(len(text) + 1))
+    # n-grams in the order of segments, made for a few pieces at a time
+    parts, many, text = [], [], []
+    for at, to, data, offsets in slices(pa.record_batch([pa.array(pieces, pa.binary()).cast(pa.string())], ["text"]), most=1 << 18):
+        found, segment, piece = grams(data, offsets)
+        owner = np.concatenate([segment[p] for p, _ in found])
+        parts.append(np.concatenate([r for _, r in found])[np.argsort(owner, kind="stable")].astype(np.int32))
+        many.append(np.bincount(owner, minlength=len(piece)))
+        text.append(np.asarray(of_doc)[at:to][piece])
+    rows, text = np.concatenate(parts), np.concatenate(text)
+    starts = np.concatenate([[0], np.cumsum(np.concatenate(many))])
+    del parts, pieces
     table = rng.normal(0, 0.1, ((1 << ROWS_BITS) + 1, WIDTH)).astype(np.float32)
     table[-1] = 0
     weight, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -163,7 +164,7 @@ def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int =
     for epoch in range(epochs):
         if epoch:
             value = table @ (weight[:, 1] - weight[:, 0])
-            logits = np.bincount(owner, value[rows], len(text)) / np.maximum(np.diff(starts), 1)
+            logits = np.add.reduceat(np.append(value[rows], np.float32(0)), starts[:-1]) * (np.diff(starts) > 0) / np.maximum(np.diff(starts), 1)
             use = ~toxic
             rank = np.lexsort((-logits, text))
             place = np.empty(len(text), np.int64)
