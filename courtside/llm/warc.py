@@ -240,7 +240,9 @@ def read_archives(files: DataFrame, payloads: bool = True) -> DataFrame:
     payload_bytes of the response it refers to, null if that is not among the files.
     """
     ranges = files.select("path").distinct().mapInArrow(_ranges, "path string, at long, length long")
-    dealt = ranges.repartition("path", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("path", "at")
+    # a number of tasks of its own: ranges are few bytes, but what they name is not
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranges.repartition(tasks, "path", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("path", "at")
     records = dealt.mapInArrow(lambda batches: _records(batches, payloads), RECORD)
     known = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("r_page"), F.col("payload_digest").alias("r_digest")).agg(
         F.max("payload_bytes").alias("r_bytes"))
