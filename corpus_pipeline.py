@@ -18,8 +18,8 @@ def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that a model of the labels rejects go; it learns as the registered query does."""
     held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
     model = toxicity.fit(docs.where(~held_out), spark.read.parquet(f"{folder}/labels.parquet"))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("toxicity") < toxicity.REJECT).select(*docs.columns)
+    scored = toxicity.score(docs, model, "__toxicity")
+    return scored.where(F.col("__toxicity") < toxicity.REJECT).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -12,10 +12,12 @@ per row, so scoring looks up one number per n-gram.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -213,25 +215,31 @@ def remainder(doc_id: Column, by: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model:
     """Train on at most ``rows`` toxic and other documents, the first by a hash of the id.
 
-    ``labels`` has doc_id and toxic.  The sample is bounded, so it goes to the driver.
+    ``labels`` has doc_id and toxic.  The sample is bounded, so one task trains on it.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     order = F.md5(F.col("l_id").cast("string"))
     picked = known.where("toxic = 1").orderBy(order).limit(rows[0]).unionAll(known.where("toxic = 0").orderBy(order).limit(rows[1]))
-    sample = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
     # ids that repeat would exceed the bound
-    got = sorted(sample.dropDuplicates(["doc_id"]).limit(sum(rows)).collect(), key=lambda r: r["doc_id"])
-    return train([r["text"] or "" for r in got], [r["toxic"] for r in got])
+    sample = sample.dropDuplicates(["doc_id"]).limit(sum(rows))
 
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
+        model = train([r["text"] or "" for r in got], [r["toxic"] for r in got])
+        yield pa.record_batch([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with all their columns and ``toxicity`` (double, 0 to 1).
+    return pickle.loads(sample.repartition(1).mapInArrow(trained, "model binary").first()["model"])
+
+
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """The rows of ``docs`` with all their columns and ``column`` (double, 0 to 1).
 
     Null and empty texts score as a segment without n-grams does.  A column of ``docs`` by
     that name is replaced.
     """
     shared = sent(docs.sparkSession, model)
-    rows = docs.drop("toxicity")
+    rows = docs.drop(column)
     if "text" not in rows.columns:
         raise ValueError("docs needs a column text")
 
@@ -239,6 +247,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = received(shared)
         for batch in batches:
             for at, to, data, offsets in slices(batch):
-                yield batch.slice(at, to - at).append_column("toxicity", pa.array(own.scores(data, offsets)))
+                yield batch.slice(at, to - at).append_column(column, pa.array(own.scores(data, offsets)))
 
-    return rows.mapInArrow(scored, StructType([*rows.schema.fields, StructField("toxicity", DoubleType())]))
+    return rows.mapInArrow(scored, StructType([*rows.schema.fields, StructField(column, DoubleType())]))
