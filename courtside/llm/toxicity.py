@@ -12,12 +12,10 @@ per row, so scoring looks up one number per n-gram.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -227,9 +225,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS)
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
         model = train([r["text"] or "" for r in got], [r["toxic"] for r in got])
-        yield pa.record_batch([pa.array([cloudpickle.dumps(model)], pa.binary())], names=["model"])
+        # numbers only: the class would bring its module's tables along
+        yield pa.record_batch([pa.array([model.value.tobytes()], pa.binary()), *[pa.array([x]) for x in (model.bias, model.slope, model.shift)]],
+                              names=["value", "bias", "slope", "shift"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(trained, "model binary").first()["model"])
+    got = sample.repartition(1).mapInArrow(trained, "value binary, bias double, slope double, shift double").first()
+    return Model(np.frombuffer(got["value"], np.float32)[:-1], got["bias"], got["slope"], got["shift"])
 
 
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
