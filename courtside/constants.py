@@ -198,3 +198,14 @@ INTEGER_NAMES = (
 )
 REAL_PARTS = ("pct", "percentage", "percent", "avg", "average", "per_game",
               "rating", "eff", "efficiency", "minutes", "min")
+
+# fixed values: words that name a stage, narrowest first ("Quartas de final" is not a final)
+STAGE_WORDS = (
+    ("semi", "semifinal"),
+    ("quarta", "quartas"),
+    ("oitava", "oitavas"),
+    ("final", "final"),
+    ("playoff", "playoffs"),
+    ("mata mata", "playoffs"),
+    ("mata-mata", "playoffs"),
+)

@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import IN_PROGRESS, IN_PROGRESS_ORDER, STAGES
+from ..constants import IN_PROGRESS, IN_PROGRESS_ORDER, STAGE_WORDS, STAGES
 from .text import col, fold
 
 
-# words that name a stage, narrowest first; "Quartas de final" is not a final
-_STAGE_WORDS = {"semi": "semifinal", "quar": "quartas", "oita": "oitavas", "fina": "final", "play": "playoffs", "mata": "playoffs"}
-
-
 def stage_from_game(phase: Column | str, round_: Column | str) -> Column:
     """Postseason stage named by phase and round; NULL in the regular season.
 
     All stage words are found in one pass over the text; the narrowest decides.
     """
     text = F.concat_ws(" ", fold(phase), fold(round_))
-    words = F.regexp_extract_all(text, F.lit("(semi|quarta|oitava|final|playoff|mata[ -]mata)"), F.lit(1))
-    rank = F.create_map(*[F.lit(x) for i, start in enumerate(_STAGE_WORDS) for x in (start, i)])
-    narrowest = F.array_min(F.transform(words, lambda w: rank[F.substring(w, 1, 4)]))
-    return F.get(F.array(*[F.lit(s) for s in _STAGE_WORDS.values()]), narrowest)
+    words = F.regexp_extract_all(text, F.lit("(" + "|".join(word for word, _ in STAGE_WORDS) + ")"), F.lit(1))
+    rank = F.create_map(*[F.lit(x) for i, (word, _) in enumerate(STAGE_WORDS) for x in (word, i)])
+    narrowest = F.array_min(F.transform(words, lambda w: rank[w]))
+    return F.get(F.array(*[F.lit(stage) for _, stage in STAGE_WORDS]), narrowest)
 
 
 def _look_up(table: dict, key: Column) -> Column:

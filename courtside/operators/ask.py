@@ -33,8 +33,7 @@ TEAM_WORDS = ("time", "equipes")
 HISTORY_WORDS = ("historia", "historico", "carreira", "todos os tempos")
 SEPARATORS = ("vs", "versus", "contra")
 # removed one after the other from the front of a player question
-PREFIXES = ("jogos de", "jogos do", "jogos da", "estatisticas de", "estatisticas de", "stats de",
-            "ultimos jogos de", "ultimos jogos de")
+PREFIXES = ("jogos de", "jogos do", "jogos da", "estatisticas de", "stats de", "ultimos jogos de")
 
 
 def _clamped(text: Column, high: int) -> Column:

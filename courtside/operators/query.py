@@ -89,11 +89,15 @@ def team_games(games: DataFrame, team_id) -> DataFrame:
     return games.filter(reduce(lambda a, b: a | b, [F.col(c) == team_id for c in sides]))
 
 
-def active_in_season(teams: DataFrame, season_id, first: int = 1, last: int = 18) -> DataFrame:
-    """Teams whose first and last season enclose the given one."""
+def active_in_season(teams: DataFrame, season_id, first: int = 1, last: int | None = None) -> DataFrame:
+    """Teams whose first and last season enclose the given one.
+
+    A team without a first season counts from ``first``; one without a last season up to
+    ``last``, or without end.
+    """
     return teams.filter(
         F.lit(season_id).between(
-            F.coalesce("first_seen_season_id", F.lit(first)), F.coalesce("last_seen_season_id", F.lit(last))
+            F.coalesce("first_seen_season_id", F.lit(first)), F.coalesce("last_seen_season_id", F.lit(season_id if last is None else last))
         )
     )
 

@@ -33,7 +33,9 @@ def upsert_stream(pages: DataFrame, table_folder: str, checkpoint: str, empty: D
 
     def write(batch: DataFrame, batch_id: int) -> None:
         before = f"{table_folder}/v{batch_id - 1}"
-        current = spark.read.parquet(before) if batch_id > 0 and path_exists(spark, before) else empty
+        if batch_id > 0 and not path_exists(spark, before):
+            raise RuntimeError(f"{before} is missing: starting again from an empty table would lose all rows")
+        current = spark.read.parquet(before) if batch_id > 0 else empty
         merge(current, batch).write.mode("overwrite").parquet(f"{table_folder}/v{batch_id}")
 
     return (
