@@ -34,6 +34,9 @@ TRAIN_ROWS = (1500, 4500)
 #: Segments that a training text gives at most, by its label; scores always read whole texts.
 PIECES = (6, 24)
 
+#: The logit of a segment without n-grams: nothing there is toxic.
+NOTHING = -1e6
+
 # a byte's class: letters and digits as they are, lower-cased, everything else a space
 _PLAIN = np.full(256, 32, np.uint8)
 for _b in (*range(48, 58), *range(97, 123), *range(128, 256)):
@@ -115,6 +118,10 @@ class Model:
     def highest(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         found, segment, text = grams(data, offsets)
         logits = _segment_logits(found, segment, len(text), self.value) + self.bias
+        filled = np.zeros(len(text), bool)
+        for places, _ in found:
+            filled[segment[places]] = True
+        logits = np.where(filled, logits, NOTHING)
         best = np.full(len(offsets) - 1, -np.inf)
         np.maximum.at(best, text, logits)
         return best
@@ -195,6 +202,9 @@ def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int =
                 x[at] -= rate * decay * x[at] * (x is table) + rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)
     model = Model((table @ (weight[:, 1] - weight[:, 0]))[:-1], float(bias[1] - bias[0]), 1.0, 0.0)
     best = np.concatenate([model.highest(d, o) for _, _, d, o in slices(pa.record_batch([pa.array(texts)], ["text"]))])
+    best, labels = best[best > NOTHING], labels[best > NOTHING]
+    if len(set(labels.tolist())) < 2:
+        return model
     spread = max(best.std(), 1e-6)
     slope, shift = 1.0, 0.0
     weigh = np.where(labels == 1, share / (labels == 1).sum(), (1 - share) / (labels == 0).sum())
@@ -236,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS)
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """The rows of ``docs`` with all their columns and ``column`` (double, 0 to 1).
 
-    Null and empty texts score as a segment without n-grams does.  A column of ``docs`` by
+    Null and empty texts, and texts without words, have nothing toxic and score 0 or nearly.  A column of ``docs`` by
     that name is replaced.
     """
     shared = sent(docs.sparkSession, model)
