@@ -142,12 +142,12 @@ def name_entries(players: DataFrame, aliases: DataFrame) -> DataFrame:
     return direct.unionByName(indirect)
 
 
-def player_candidates(queries: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
-    """Up to ``limit`` players per query text whose name, slug or alias contains it.
+def _player_hits(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """All entries that contain a query text.
 
-    Direct hits come before alias hits; a player counts once.  Containment is found
-    through three-letter pieces: a text that contains the query contains all pieces
-    of the query, so an equi-join on the query's rarest piece misses nothing.
+    Containment is found through three-letter pieces: a text that contains the query
+    contains all pieces of the query, so an equi-join on the query's rarest piece
+    misses nothing.
     """
     asked = queries.select(F.col("query").alias("q")).filter("q <> ''").distinct()
     size = F.least(F.length("q"), F.lit(GRAM))
@@ -161,26 +161,44 @@ def player_candidates(queries: DataFrame, entries: DataFrame, limit: int = 10) -
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")
     ).filter("best.n > 0").select("q", F.col("best.gram").alias("gram"))
 
-    hits = rarest.join(index, "gram").filter(F.exists("texts", lambda x: x.contains(F.col("q")))).drop("gram", "texts")
+    hits = rarest.join(index, "gram").filter(F.exists("texts", lambda x: x.contains(F.col("q"))))
+    return hits.withColumn("turn", F.when(F.col("matched_via") == "players", 0).otherwise(1)).withColumns({
+        "is_exact": F.exists("exact", lambda x: x == F.col("q")), "alias_equal": fold("matched_value") == F.col("q"),
+    }).drop("gram", "texts", "exact")
+
+
+def player_candidates(queries: DataFrame, entries: DataFrame, limit: int = 10) -> DataFrame:
+    """Up to ``limit`` players per query text whose name, slug or alias contains it, as a list to show.
+
+    Direct hits come before alias hits; a player counts once.
+    """
+    hits = _player_hits(queries, entries)
     ranked = top_per_group(
-        hits, ["q", "matched_via"], ["sort_name", "player_id", "matched_value"], limit, "place"
-    ).withColumn("turn", F.when(F.col("matched_via") == "players", 0).otherwise(1))
+        hits, ["q", "matched_via"], ["sort_name", "player_id", "matched_value"], limit, "place")
     once = top_per_group(ranked, ["q", "player_id"], ["turn", "place"], 1, "copy")
     return top_per_group(once, ["q"], ["turn", "place"], limit, "candidate_rank").select(
         F.col("q").alias("query"), F.col("candidate_rank").cast("bigint").alias("candidate_rank"), "player_id",
-        "matched_via", "matched_value", F.exists("exact", lambda x: x == F.col("q")).alias("is_exact"),
-        (fold("matched_value") == F.col("q")).alias("alias_equal"),
+        "matched_via", "matched_value", "is_exact", "alias_equal",
     )
 
 
 SHORT_NAME = 6
 
 
-def resolve_single_player(queries: DataFrame, players: DataFrame, aliases: DataFrame, limit: int = 10) -> DataFrame:
-    """One row per query text: status ok / ambiguous / not_found, and the player."""
-    found = player_candidates(queries, name_entries(players, aliases), limit)
-    alias_hit = (F.col("matched_via") == "player_aliases") & F.coalesce("alias_equal", F.lit(False))
-    exact = F.coalesce("is_exact", F.lit(False))
+def resolve_single_player(queries: DataFrame, players: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row per query text: status ok / ambiguous / not_found, the player, and how many players it may mean.
+
+    Decided over all players whose name, slug or alias contains the text, however many.  A
+    player found by name is judged by name; one found through aliases only, by any of them.
+    """
+    hits = _player_hits(queries, name_entries(players, aliases))
+    holds = lambda turn, c: F.max(F.when(F.col("turn") == turn, F.coalesce(c, F.lit(False)).cast("int")))
+    found = hits.groupBy(F.col("q").alias("query"), "player_id").agg(
+        F.min("turn").alias("turn"), holds(1, "alias_equal").alias("alias_equal"),
+        holds(0, "is_exact").alias("by_name"), holds(1, "is_exact").alias("through_alias"),
+    )
+    alias_hit = (F.col("turn") == 1) & (F.col("alias_equal") == 1)
+    exact = F.when(F.col("turn") == 0, F.col("by_name")).otherwise(F.col("through_alias")) == 1
     tallied = found.groupBy("query").agg(
         F.count("*").alias("candidates"),
         F.count_if(alias_hit).alias("n_alias"), F.min(F.when(alias_hit, F.col("player_id"))).alias("by_alias"),

@@ -79,9 +79,12 @@ add_view("b_found", ("b_asked", "b_entries"),
          " WHERE len(list_filter(texts, lambda x: contains(lower(x), query))) > 0")
 add_view("b_candidates", ("b_found",),
          "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY turn, place) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, player_id ORDER BY turn, place) AS copy FROM b_found WHERE place <= 10) WHERE copy = 1) WHERE rank <= 10")
-add_view("b_tally", ("b_candidates",),
-         "SELECT query, count(*) AS n, count(*) FILTER (turn = 1 AND strip_accents(lower(matched_value)) = query) AS na, min(player_id) FILTER (turn = 1 AND strip_accents(lower(matched_value)) = query) AS pa,"
-         " count(*) FILTER (list_contains(list_transform(exact, lambda x: strip_accents(lower(x))), query)) AS ne, min(player_id) FILTER (list_contains(list_transform(exact, lambda x: strip_accents(lower(x))), query)) AS pe, min(player_id) AS lone FROM b_candidates GROUP BY query")
+add_view("b_hits", ("b_found",),
+         "SELECT query, player_id, turn, bool_or(turn = 1 AND strip_accents(lower(matched_value)) = query) AS alias_equal, bool_or(list_contains(list_transform(exact, lambda x: strip_accents(lower(x))), query)) AS is_exact"
+         " FROM b_found GROUP BY query, player_id, turn QUALIFY turn = min(turn) OVER (PARTITION BY query, player_id)")
+add_view("b_tally", ("b_hits",),
+         "SELECT query, count(*) AS n, count(*) FILTER (alias_equal) AS na, min(player_id) FILTER (alias_equal) AS pa,"
+         " count(*) FILTER (is_exact) AS ne, min(player_id) FILTER (is_exact) AS pe, min(player_id) AS lone FROM b_hits GROUP BY query")
 add_view("b_single", ("b_asked", "b_tally"),
          "SELECT query, CASE WHEN n IS NULL THEN 'not_found' WHEN pid IS NOT NULL THEN 'ok' ELSE 'ambiguous' END AS status, pid AS player_id, coalesce(n, 0) AS candidates FROM"
          " (SELECT a.query, t.n, CASE WHEN NOT contains(a.query, ' ') AND length(a.query) <= 6 AND n > 1 THEN NULL WHEN na = 1 THEN pa WHEN ne = 1 THEN pe WHEN n = 1 THEN lone END AS pid FROM b_asked a LEFT JOIN b_tally t USING (query))")
