@@ -26,14 +26,18 @@ def _key(expressions: list[Column]) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(e.cast("string"), F.lit("")) for e in expressions])
 
 
-def latest_per_key(df: DataFrame, key: Column, order: list) -> DataFrame:
+def _key_or_null(expressions: list[Column]) -> Column:
+    """The key, or null where all its parts are blank: such a row is equal to no other."""
+    return F.when(blank_to_null(F.concat_ws("", *expressions)).isNotNull(), _key(expressions))
+
+
+def latest_per_key(df: DataFrame, key: list[Column], order: list) -> DataFrame:
     """The last row of each key in the stated order, as the last write would win.
 
     Rows that agree in the order are told apart by all their values.
     """
     rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order], F.struct(*df.columns))
-    return df.groupBy(key.alias("__key")).agg(F.max_by(F.struct(*df.columns), rank).alias("row")) \
-        .select("__key", "row.*")
+    return df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), rank).alias("row")).select("__key", "row.*")
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key, order: list, keep_old_if_blank: bool = False,
@@ -43,11 +47,18 @@ def upsert(current: DataFrame, incoming: DataFrame, key, order: list, keep_old_i
     ``key`` builds the key expressions of either side.  ``keep_old_if_blank`` lets
     only non-blank values overwrite.  ``combine`` names columns merged by ``least``
     or ``greatest`` instead of being overwritten.
+
+    Columns that ``incoming`` lacks keep their old value and are no change.  Rows whose
+    key parts are all blank have no key: stored ones stay as they are, incoming ones are
+    inserted, equal ones once.
     """
     combine = combine or {}
     fields = [c for c in current.columns if c != "id"]
     new = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).alias(c) for c in fields], *[
         c for c in order if isinstance(c, str) and c not in fields])
+    # rows without key are told apart by their values
+    own = F.when(_key_or_null(key(new)).isNull(), F.struct(*[c for c in fields if c in incoming.columns]))
+    grouped = [_key_or_null(key(new)).alias("__key"), own.alias("__own")]
     if keep_old_if_blank or combine:
         ordered = [F.col(c) if isinstance(c, str) else c for c in order]
         values = []
@@ -57,16 +68,21 @@ def upsert(current: DataFrame, incoming: DataFrame, key, order: list, keep_old_i
             else:
                 present = blank_to_null(c).isNotNull()
                 values.append(F.max_by(F.when(present, F.col(c)), F.when(present, F.struct(*ordered, F.col(c)))).alias(c))
-        new = new.groupBy(_key(key(new)).alias("__key")).agg(*values)
+        new = new.groupBy(*grouped).agg(*values)
     else:
-        new = latest_per_key(new, _key(key(new)), order).select("__key", *fields)
+        new = latest_per_key(new, grouped, order).select("__key", *fields)
 
-    old = current.withColumns({"__key": _key(key(current)), "__there": F.lit(1)})
-    joined = old.alias("o").join(new.withColumn("__there", F.lit(1)).alias("n"), "__key", "full")
+    # a null key meets nothing; a hash of the row keeps such rows from gathering in one task
+    apart = F.when(F.col("__key").isNull(), F.xxhash64(*[c for c in fields if c in incoming.columns])).otherwise(F.lit(0))
+    old = current.withColumns({"__key": _key_or_null(key(current)), "__there": F.lit(1)}).withColumn("__apart", apart)
+    new = new.withColumn("__there", F.lit(1)).withColumn("__apart", apart)
+    joined = old.alias("o").join(new.alias("n"), ["__key", "__apart"], "full")
     was, now = F.col("o.__there").isNotNull(), F.col("n.__there").isNotNull()
 
     def merged(c: str) -> Column:
         o, n = F.col(f"o.{c}"), F.col(f"n.{c}")
+        if c not in incoming.columns:
+            return o
         if c in combine:
             return F.least(o, n) if combine[c] == "least" else F.greatest(o, n)
         if keep_old_if_blank:
@@ -113,12 +129,13 @@ def incoming_games(parsed: DataFrame, teams: DataFrame, team_aliases: DataFrame)
     return rows.withColumn("winner_team_id", winner("home_team_id", "away_team_id", "home_score", "away_score"))
 
 
-GAME_ORDER = ["season_id", "game_date", "game_time", "game_number"]
+def merge_games(games: DataFrame, incoming: DataFrame, order: list) -> DataFrame:
+    """``incoming`` as returned by ``incoming_games``; of a key the row read last wins.
 
-
-def merge_games(games: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``incoming`` as returned by ``incoming_games``; the last game per key wins."""
-    return upsert(games, incoming, game_key, GAME_ORDER)
+    ``order`` names the columns that tell in which order the rows were read (such as run,
+    page and position); a game's own date does not, as games are moved to earlier dates.
+    """
+    return upsert(games, incoming, game_key, order)
 
 
 def unresolved_teams(incoming: DataFrame) -> DataFrame:

@@ -54,21 +54,25 @@ add_view("b_merged_games", ("b_games",),
          f" FROM (SELECT *, {_NEW_SCORE} AS new_score FROM b_games)")
 
 
+#: The run's games come from one list, read in this order.
+READ_ORDER = ["season_id", "game_date", "game_time", "game_number"]
+
+
 @query("merge_games", sql("b_merged_games", "SELECT * FROM b_merged_games"))
 def _(t):
-    return merge.merge_games(_stored_games(t), _run_games(t))
+    return merge.merge_games(_stored_games(t), _run_games(t), READ_ORDER)
 
 
 @query("merge_games_with_ids", sql("b_merged_games", "SELECT coalesce(id, (SELECT max(id) FROM b_merged_games) + row_number() OVER (PARTITION BY id IS NULL ORDER BY season_id, game_date, game_time, game_number)) AS id,"
        " season_id, game_number, change FROM b_merged_games"))
 def _(t):
-    merged = merge.merge_games(_stored_games(t), _run_games(t))
-    return merge.assign_ids(merged, merge.GAME_ORDER).select("id", "season_id", "game_number", "change")
+    merged = merge.merge_games(_stored_games(t), _run_games(t), READ_ORDER)
+    return merge.assign_ids(merged, READ_ORDER).select("id", "season_id", "game_number", "change")
 
 
 @query("merge_games_counts", sql("b_merged_games", "SELECT change, count(*) AS rows FROM b_merged_games GROUP BY change"))
 def _(t):
-    return merge.change_counts(merge.merge_games(_stored_games(t), _run_games(t)))
+    return merge.change_counts(merge.merge_games(_stored_games(t), _run_games(t), READ_ORDER))
 
 
 @query("unresolved_teams", sql("b_games", "SELECT DISTINCT season_id, 'home' AS side, 'Clube ' || cast(home_team_id as string) AS name, 'C' || cast(home_team_id as string) AS abbr FROM b_games WHERE home_team_id >= 20"))
@@ -266,7 +270,7 @@ def _(t):
 @query("run_log", sql("b_merged_games", "SELECT 'games' AS job, 'games' AS target, 'partial' AS status, count(*) AS items_found, count(*) FILTER (change = 'inserted') AS items_inserted, count(*) FILTER (change = 'updated') AS items_updated,"
        " (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS items_failed FROM b_merged_games"))
 def _(t):
-    return merge.run_log("games", "games", merge.merge_games(_stored_games(t), _run_games(t)), _failed(t))
+    return merge.run_log("games", "games", merge.merge_games(_stored_games(t), _run_games(t), READ_ORDER), _failed(t))
 
 
 # --- applied resolutions ---------------------------------------------------------------------------------------------

@@ -128,10 +128,33 @@ def test_game_key_falls_back(spark):
     schema = "id bigint, source_game_id string, season_id int, game_date string, game_time string, home_team_id int, away_team_id int, home_team_name_raw string, away_team_name_raw string, home_score int, game_number string"
     old = spark.createDataFrame([(1, "G1", 1, "2020-01-01", "20:00", 1, 2, "A", "B", 70, "1"), (2, None, 1, "2020-01-02", "20:00", 1, 2, "A", "B", 70, "2")], schema)
     new = spark.createDataFrame([(None, "G1", 1, "2020-01-05", "20:00", 1, 2, "A", "B", 71, "1"), (None, " ", 1, "2020-01-02", "20:00", 1, 2, "A", "B", 72, "2"), (None, None, 1, "2020-01-02", "21:00", 1, 2, "A", "B", 73, "3")], schema)
-    got = {(r.id, r.home_score, r.change) for r in merge.merge_games(old, new).collect()}
+    got = {(r.id, r.home_score, r.change) for r in merge.merge_games(old, new, ["season_id", "game_date", "game_time", "game_number"]).collect()}
     assert got == {(1, 71, "updated"), (2, 72, "updated"), (None, 73, "inserted")}
 
 
+def test_rows_without_key_stay_apart(spark):
+    schema = "slug string, position string, last_seen_season_id int"
+    old = spark.createDataFrame([(1, None, "Ala", 1), (2, " ", "Pivô", 1), (3, "a", "Ala", 1)], "id bigint, " + schema)
+    new = spark.createDataFrame([(None, "Armador", 2), ("", "Ala", 3), (None, "Armador", 2), ("a", "Pivô", 2)], schema)
+    got = sorted(merge.merge_players(old, new).select("id", "position", "change").collect(), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "Ala", "unchanged"), (2, "Pivô", "unchanged"), (3, "Pivô", "updated"),
+                                                       (None, "Armador", "inserted"), (None, "Ala", "inserted")], key=str)
+
+
+def test_absent_columns_keep_their_values(spark):
+    old = spark.createDataFrame([(1, 10, 1, 50, "seen twice"), (2, 11, 1, 60, None)], "id bigint, game_id int, team_id int, points int, note string")
+    new = spark.createDataFrame([(10, 1, 50), (11, 1, 61), (12, 1, 70)], "game_id int, team_id int, points int")
+    got = {tuple(r) for r in merge.merge_team_stats(old, new).select("id", "points", "note", "change").collect()}
+    assert got == {(1, 50, "seen twice", "unchanged"), (2, 61, None, "updated"), (None, 70, None, "inserted")}
+
+
+def test_the_row_read_last_wins(spark):
+    schema = "source_game_id string, season_id int, game_date string, game_time string, home_team_id int, away_team_id int, home_team_name_raw string, away_team_name_raw string, home_score int"
+    old = spark.createDataFrame([], "id bigint, " + schema)
+    new = spark.createDataFrame([("G", 1, "2020-03-10", "20:00", 1, 2, "A", "B", None, 1), ("G", 1, "2020-03-02", "20:00", 1, 2, "A", "B", 80, 2)], schema + ", place int")
+    assert [(r.game_date, r.home_score) for r in merge.merge_games(old, new, ["place"]).collect()] == [("2020-03-02", 80)]
+
+
 def test_two_approvals_stop(spark):
     s = spark.createDataFrame([(1, 1, "x", "1", "manual", "1", 5), (1, 1, "x", "1", "manual", "1", 6)], LINE + ", decision string, approved string, suggested_player_id bigint")
     with pytest.raises(ValueError):
@@ -173,3 +196,12 @@ def test_named_players(spark):
     got = {r.query: (r.status, r.player_id) for r in ask.resolve_single_player(spark.createDataFrame([(n,) for n in names], "query string"), players, aliases).collect()}
     assert got == {"lucas": ("ambiguous", None), "lucas dias": ("ok", 1), "luquinha": ("ok", 1), "ben": ("ok", 3), "ninguem": ("not_found", None),
                    "lima": ("ok", 2), "as d": ("ok", 1)}
+
+
+def test_the_exact_player_stands_far_down_the_list(spark):
+    players = spark.createDataFrame([(i, f"A{i:02d} Santos Lima", f"a{i:02d}-santos-lima") for i in range(30)] + [(99, "Santos Lima", "santos-lima")],
+                                    "id bigint, full_name string, slug string")
+    aliases = spark.createDataFrame([(1, "Ala")], "player_id bigint, alias string")
+    asked = spark.createDataFrame([("santos lima",), ("santos",)], "query string")
+    got = {r.query: (r.status, r.player_id, r.candidates) for r in ask.resolve_single_player(asked, players, aliases).collect()}
+    assert got == {"santos lima": ("ok", 99, 31), "santos": ("ambiguous", None, 31)}
