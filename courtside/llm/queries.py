@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, near_dedup, secrets, substring_dedup, toxicity, url_rules, warc
+from . import decontaminate, exact_dedup, language, mixing, near_dedup, oracles, secrets, substring_dedup, toxicity, url_rules, warc
 
 #: The rules of the URL query: host, path, action.
 URL_RULES = (
@@ -82,4 +82,8 @@ QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing, op6_substring_dedup,
     op7_language, op8_warc, op9_toxicity, op10_near_dedup,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_decontaminate": oracles.DECONTAMINATE, "op2_url_rules": oracles.url_rules(URL_RULES),
+    "op4_exact_dedup": oracles.EXACT_DEDUP, "op5_mixing": oracles.MIXING,
+    "op6_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_near_dedup": oracles.NEAR_DEDUP,
+}

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import struct
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from courtside.llm import (
     decontaminate, exact_dedup, language, mixing, near_dedup, secrets, substring_dedup, toxicity, url_rules, warc,
 )
-from courtside.llm.queries import URL_RULES
+from courtside.llm.queries import ORACLES, QUERIES, URL_RULES
 from tests.llm import brute
+from tests.oracle_check import compare, connect
 
 VOCABULARY = [a + b for a in "ba du ki lo me nu po ra si to".split() for b in "da ge hi jo ku la mo".split()]
 
@@ -218,6 +220,15 @@ def test_zip64_directory(tmp_path):
         assert found[:2] == (name.decode(), 0) and file.read_at(found[3], found[2]) == data
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_against_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    verdict = compare(spark, connect(folder), folder, name, QUERIES[name], ORACLES[name])
+    assert verdict.startswith("ok"), verdict
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
