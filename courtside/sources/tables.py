@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -86,7 +87,9 @@ def write_table(df: DataFrame, path: str, fields: list[str] | None = None,
                 fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     """Replace a whole table; columns outside ``fields`` are left out.
 
-    The output appears only when the job commits, so readers never see half of it.
+    The rows are written to a folder beside ``path``, which takes its place by renames once
+    the job has ended: a job that fails leaves the old table, and ``df`` may read it.  Between
+    the two renames the old table stands at ``<path>.old-<id>``.
     """
     out = df.select(*fields) if fields else df
     writer = out.write.mode("overwrite").format(fmt)
@@ -94,7 +97,17 @@ def write_table(df: DataFrame, path: str, fields: list[str] | None = None,
         writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    target, new, old = (spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", f".new-{version}", f".old-{version}"))
+    writer.save(new.toString())
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = files.exists(target)
+    if there and not files.rename(target, old):
+        raise OSError(f"{path} could not be set aside; the new table is at {new.toString()}")
+    if not files.rename(new, target):
+        raise OSError(f"{new.toString()} could not take the place of {path}")
+    if there:
+        files.delete(old, True)
 
 
 def ensure_table(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:

@@ -35,6 +35,16 @@ def test_csv_round_trip_and_missing_file(spark):
     assert empty.columns == ["id", "x"] and empty.isEmpty()
 
 
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    tables.write_table(spark.range(5), path)
+    with pytest.raises(Exception, match="no such row"):
+        tables.write_table(spark.range(5).selectExpr("if(id = 4, raise_error('no such row'), id) AS id"), path)
+    assert spark.read.parquet(path).count() == 5
+    tables.write_table(spark.read.parquet(path).filter("id < 2"), path)
+    assert spark.read.parquet(path).count() == 2
+
+
 def test_manual_tables_are_kept(spark):
     folder = scratch_path(spark, "manual")
     first = tables.ensure_manual_tables(spark, folder)["awards"]
