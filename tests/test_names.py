@@ -103,6 +103,34 @@ def test_context_lookup_keeps_the_best(spark, neutral):
     assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in _best(groups, records, weights, neutral, 3).items() if v}
 
 
+def test_review_candidates_by_name_and_context(spark):
+    """Every record scored against every group; names that differ count where the context makes up for them."""
+    rng = random.Random(5)
+    names = ["ana lima", "ana limas", "rui costa", "bia", "rui", "jo xavier nunes"]
+    pick = lambda values: rng.choice(values)
+    records = [(i, pick(names), pick([1, 2, 3, None]), pick([1, 2, 3, 4, None]), pick(["1", "2", "3", None]), "a") for i in range(60)]
+    groups = list({(pick([1, 2, 9]), pick([1, 2, 9, None]), pick([*names, "  ", "ze"]), pick(["1", "2", "9", None])) for _ in range(60)})
+    groups += [(8, 8, "qqqq", "8")]
+    g, r = spark.createDataFrame(groups, LINE), spark.createDataFrame(records, RECORD)
+    alike = {(x.a, x.b): x.s for x in spark.createDataFrame([(a, b) for a in [*names, "ze", "qqqq"] for b in names], "a string, b string")
+             .select("a", "b", similar.review_similarity(F.col("a"), F.col("b")).alias("s")).collect()}
+    want = []
+    for group in groups:
+        season, team, raw, jersey = group
+        scored = []
+        for player, name, *context, source in records:
+            score = alike.get((raw, name), 0.0) * 100
+            for value, asked, (match, wrong) in zip(context, (season, team, jersey), similar.REVIEW_WEIGHTS.values()):
+                score += 0 if value is None else match if value == asked else wrong
+            if score >= 65:
+                scored.append((-score, player))
+        want += [(group, rank, player, round(-s, 6)) for rank, (s, player) in enumerate(sorted(scored)[:8], 1)] or [(group, None, None, None)]
+    rows = similar.top_candidates(g, r).collect()
+    got = [((x.season_id, x.team_id, x.player_name_raw, x.jersey_number), x.candidate_rank, x.player_id, x.score and round(x.score, 6)) for x in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert any("weak_name" in x.signals for x in rows) and {x.signals for x in rows if x.candidate_rank is None} == {"no_candidate"}
+
+
 def test_unique_jersey(spark):
     records = spark.createDataFrame([(1, "Andre Luiz Goes", 5, 1, "7", "a"), (2, "Bia", 5, 1, "8", "a"), (3, "Caio", 5, 1, "8", "a")], RECORD)
     players = spark.createDataFrame([(1, "Andre Luiz Goes")], "id bigint, full_name string")
