@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, only_ids
+from ..operators.positions import top_per_group
+from .common import BLANKS, stored
 
 _ID_SPAN = 2**64
 
@@ -47,9 +48,20 @@ def copy_groups(docs: DataFrame, prefer: str = "longest") -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, prefer: str = "longest") -> DataFrame:
-    """The documents that stay, with the columns of ``docs``; rows that repeat a kept id stay once."""
-    kept = only_ids(docs, copy_groups(docs, prefer).where("kept").select("doc_id").distinct())
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("__rows")).where("__rows > 1")
-    if twice.isEmpty():
-        return kept
-    return only_ids(kept, twice, keep=False).unionByName(only_ids(kept, twice).dropDuplicates(["doc_id"]))
+    """The documents that stay, with the columns of ``docs``: one row of each normalised text.
+
+    Rows are decided by doc_id and text together, so an id that stands for several texts, or a
+    missing one, keeps each text whose group it leads.  Of rows that repeat a kept id with
+    its text, one stays, by ``prefer`` and then by the text itself.
+    """
+    # small next to the texts, and read by both branches
+    keys = copy_groups(docs, prefer).where("kept").groupBy(F.col("doc_id").alias("__k_id"), F.col("text_sha256").alias("__k_sha"))
+    keys = stored(keys.agg(F.count("*").alias("__rows")), "exact-kept")
+    rows = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
+    same = (rows["__sha"] == keys["__k_sha"]) & rows["doc_id"].eqNullSafe(keys["__k_id"])
+    once = rows.join(keys.where("__rows = 1"), same, "left_semi")
+    if keys.where("__rows > 1").isEmpty():
+        return once.drop("__sha")
+    order = [F.desc(F.length(F.coalesce(F.col("text"), F.lit(""))))] if prefer == "longest" else []
+    twice = top_per_group(rows.join(keys.where("__rows > 1"), same, "left_semi"), ["doc_id", "__sha"], [*order, F.col("text")], 1, "__pos")
+    return once.drop("__sha").unionByName(twice.drop("__sha", "__pos"))

@@ -106,6 +106,21 @@ def test_exact_dedup(spark, docs, corpus, empty):
     assert exact_dedup.drop_copies(docs).columns == docs.columns and exact_dedup.copy_groups(empty).count() == 0
 
 
+def test_rows_without_id_are_told_apart(spark):
+    leak, clean, other = prose(2, 30), prose(3, 30), prose(4, 30)
+    rows = [(None, leak), (None, leak), (None, clean), (None, clean + " "), (None, other), (7, other), (8, clean + " more"), (8, prose(5, 30)), (8, "a b"), (8, " a  b "), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    kept = sorted(((r.doc_id, r.text) for r in exact_dedup.drop_copies(docs).collect()), key=repr)
+    assert kept == sorted([(None, leak), (None, clean + " "), (7, other), (8, clean + " more"), (8, prose(5, 30)), (8, " a  b "), (None, None)], key=repr)
+    assert exact_dedup.drop_copies(docs).columns == docs.columns
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    left = [(r.doc_id, r.text) for r in decontaminate.decontaminate(docs, bench).collect()]
+    assert sorted(left, key=repr) == sorted([r for r in rows if r[1] != leak], key=repr)
+    cut = [(r.doc_id, r.text) for r in decontaminate.decontaminate(docs, bench, remove="spans").collect()]
+    assert sorted(cut, key=repr) == sorted([(d, "" if t == leak else t) for d, t in rows], key=repr)
+    assert decontaminate.find_hits(docs, bench).where("doc_id is null").count() == 5
+
+
 def test_mixing(spark, docs, corpus, empty, monkeypatch):
     order = sorted({r[2] for r in corpus}, key=lambda s: (s is None, s))
     want = brute.mixed(corpus, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
