@@ -31,8 +31,10 @@ SEGMENT = 16
 REJECT = 0.7
 #: Labelled rows that a model is trained on at most: toxic ones and others.
 TRAIN_ROWS = (1500, 4500)
-#: Segments that a training text gives at most, by its label; scores always read whole texts.
-PIECES = (6, 24)
+#: Segments that a training text without toxic label gives at most; toxic texts give all, scores read whole texts.
+CLEAN_PIECES = 24
+#: Segments that an epoch sees at most.
+EPOCH_SEGMENTS = 24_000
 
 #: The logit of a segment without n-grams: nothing there is toxic.
 NOTHING = -1e6
@@ -131,10 +133,10 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int = 5, rate: float = 0.05, decay: float = 0.02,
-          segments: int = 24_000, seed: int = 0) -> Model:
+          segments: int = EPOCH_SEGMENTS, pieces_clean: int = CLEAN_PIECES, seed: int = 0) -> Model:
     """Embeddings and softmax by Adam over segments, then the line on the texts' highest logits.
 
-    A segment bears its text's label; from the second epoch on, only the most toxic quarter
+    A toxic text gives all its segments, any other ``pieces_clean`` at most.  A segment bears its text's label; from the second epoch on, only the most toxic quarter
     of a toxic text's segments does, so that clean passages of toxic texts do not mislead.
     An epoch sees at most ``segments`` of them, drawn anew.  Rows that are seen decay, so
     n-grams without a bearing stay near zero.
@@ -148,7 +150,9 @@ def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int =
     for doc, text in enumerate(texts):
         words = text.split()
         cuts = np.arange(0, max(1, len(words)), SEGMENT)
-        for at in sorted(rng.choice(cuts, min(len(cuts), PIECES[int(labels[doc])]), replace=False)):
+        if labels[doc] != 1 and len(cuts) > pieces_clean:
+            cuts = np.sort(rng.choice(cuts, pieces_clean, replace=False))
+        for at in cuts:
             pieces.append(" ".join(words[at: at + SEGMENT]).encode())
             of_doc.append(doc)
     # n-grams in the order of segments, made for a few pieces at a time
@@ -171,7 +175,11 @@ def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int =
     for epoch in range(epochs):
         if epoch:
             value = table @ (weight[:, 1] - weight[:, 0])
-            logits = np.add.reduceat(np.append(value[rows], np.float32(0)), starts[:-1]) * (np.diff(starts) > 0) / np.maximum(np.diff(starts), 1)
+            logits = np.empty(len(text))
+            for at in range(0, len(text), 4096):  # some segments at a time: all n-grams at once are large
+                edges = starts[at: at + 4097]
+                own = np.append(value[rows[edges[0]: edges[-1]]], np.float32(0))
+                logits[at: at + 4096] = np.add.reduceat(own, edges[:-1] - edges[0]) * (np.diff(edges) > 0) / np.maximum(np.diff(edges), 1)
             use = ~toxic
             rank = np.lexsort((-logits, text))
             place = np.empty(len(text), np.int64)
@@ -220,12 +228,17 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model:
-    """Train on at most ``rows`` toxic and other documents, the first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, pieces_clean: int = CLEAN_PIECES,
+        segments: int = EPOCH_SEGMENTS) -> Model:
+    """Train on at most ``rows`` toxic and other documents, the first of ``docs`` by a hash of the id.
 
-    ``labels`` has doc_id and toxic.  The sample is bounded, so one task trains on it.
+    ``labels`` has doc_id and toxic.  Toxic documents are read whole, others give at most
+    ``pieces_clean`` segments, and an epoch sees at most ``segments``.  The rows are bounded,
+    so one task trains on them.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
+    # only labels of documents that may be learned from count towards the bound
+    known = known.join(docs.select("doc_id"), F.col("doc_id") == F.col("l_id"), "left_semi")
     order = F.md5(F.col("l_id").cast("string"))
     picked = known.where("toxic = 1").orderBy(order).limit(rows[0]).unionAll(known.where("toxic = 0").orderBy(order).limit(rows[1]))
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
@@ -234,12 +247,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS)
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
-        model = train([r["text"] or "" for r in got], [r["toxic"] for r in got])
+        model = train([r["text"] or "" for r in got], [r["toxic"] for r in got], segments=segments, pieces_clean=pieces_clean)
         # numbers only: the class would bring its module's tables along
         yield pa.record_batch([pa.array([model.value.tobytes()], pa.binary()), *[pa.array([x]) for x in (model.bias, model.slope, model.shift)]],
                               names=["value", "bias", "slope", "shift"])
 
     got = sample.repartition(1).mapInArrow(trained, "value binary, bias double, slope double, shift double").first()
+    if got is None:  # an empty sample may leave no task
+        return train([], [])
     return Model(np.frombuffer(got["value"], np.float32)[:-1], got["bias"], got["slope"], got["shift"])
 
 

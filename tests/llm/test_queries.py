@@ -207,6 +207,29 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_reads_whole_toxic_texts():
+    """One insulting segment among forty marks a text; training must see it."""
+    def text(seed, toxic):
+        words = prose(seed, 640).split()
+        for at in range(16 * (seed % 40), 16 * (seed % 40) + 12 * toxic):
+            words[at] = ("vermaledeit", "hundsfott", "schwachkopf")[at % 3]
+        return " ".join(words)
+
+    marks = [i % 2 for i in range(80)]
+    model = toxicity.train([text(i * 7 + 1, y) for i, y in enumerate(marks)], marks)
+    asked = pa.array([text(5000 + 7 * i, i % 2) for i in range(40)]).cast(pa.binary())
+    ends = np.cumsum([len(t.as_py()) for t in asked])
+    high = model.highest(np.frombuffer(b"".join(t.as_py() for t in asked), np.uint8), np.concatenate([[0], ends]))
+    assert min(high[1::2]) > max(high[::2])
+
+
+def test_toxicity_bound_counts_permitted_documents(spark):
+    order = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    labels = spark.createDataFrame([(i, at % 2) for at, i in enumerate(order)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "vermaledeit " * (at % 2) + prose(i, 20)) for at, i in enumerate(order) if at >= 20], "doc_id long, text string")
+    assert toxicity.fit(docs, labels, rows=(5, 5)).slope != 0
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/\r\nX: y", "<p>é"), (5, None, "<p>é"), (3, "u", None), (4, "u", ""), (9, "u", "z" * 300_000), (None, "u", "own"), (4, "u", "")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
