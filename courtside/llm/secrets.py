@@ -66,9 +66,9 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     """Per document: doc_id and ``spans``, an array of structs kind, start, end, value, linked.
 
     Positions are code points of the text, ends exclusive; sorted by start, then kind as in
-    ``KINDS``.  Base kinds are always there.  A weak ``key`` is there if an identifier begins
-    within ``scope`` code points of its start, an ``account`` if a base secret does, an
-    ``endpoint`` if both an identifier and a base secret do; a weak candidate that overlaps a base span is
+    ``KINDS``.  Base kinds are always there.  A weak ``key`` is there if an identifier stands
+    at most ``scope`` code points before its start or after its end, an ``account`` if a base
+    secret does, an ``endpoint`` if both an identifier and a base secret do; a weak candidate that overlaps a base span is
     that span and not reported.  ``linked`` says whether a span has a complementary part in its scope.  Null
     and empty texts have no spans.  Rows that repeat a doc_id, or have none, are one
     document: their spans are united.
@@ -79,16 +79,21 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     # each document has a row of its own besides its spans
     flat = found.select("doc_id", "text", F.explode_outer("spans").alias("s")).select(
         "doc_id", "s.kind", "s.start", "s.end", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("value"))
-    near = Window.partitionBy("doc_id").orderBy("start").rangeBetween(-scope, scope)
+    upto = Window.partitionBy("doc_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("doc_id").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     number = {k[0]: i for i, k in enumerate(KINDS)}
     among = lambda kinds: F.col("kind").isin(*[number[k] for k in kinds])
     base = F.col("kind") < len(BASE)
     after = Window.partitionBy("doc_id").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+
+    def near(which: Column) -> Column:
+        """Whether the last end before, or the first start after, leaves a gap of at most the scope."""
+        last, first = F.max(F.when(which, F.col("end"))).over(upto), F.min(F.when(which, F.col("start"))).over(after)
+        return F.coalesce(F.col("start") - last <= scope, F.lit(False)) | F.coalesce(first - F.col("end") <= scope, F.lit(False))
+
     linked = flat.select(
         "*",
-        F.max(among(IDENTIFIERS)).over(near).alias("identifier"), F.max(among(SECRETS) & base).over(near).alias("strong"),
-        F.max(among(SECRETS)).over(near).alias("secret"), F.max(among(ENDPOINTS)).over(near).alias("endpoint"),
+        near(among(IDENTIFIERS)).alias("identifier"), near(among(SECRETS) & base).alias("strong"), near(among(SECRETS)).alias("secret"),
         F.max(F.when(base, F.col("end"))).over(before).alias("base_end"), F.min(F.when(base, F.col("start"))).over(after).alias("base_start"))
     complete = (F.when(among(IDENTIFIERS), F.col("secret")).when(among(ENDPOINTS), F.col("identifier") & F.col("strong"))
                 .otherwise(F.col("identifier")))

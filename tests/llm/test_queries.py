@@ -97,6 +97,15 @@ def test_secrets(spark, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_secret_scope_is_the_gap_between_spans(spark):
+    access, weak = "AKIA" + "ABCDEFGH23456789", "aB3dE5gH7jK9mN1pQ3rS5tU7" * 10
+    texts = [f"{weak} {access}", f"{access} {weak}", f"{weak}{' ' * 200}{access}", f"{weak}{' ' * 201}{access}", f"{access}{' ' * 201}{weak}", weak]
+    found = {r.doc_id: {(s.kind, s.linked) for s in r.spans} for r in
+             secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    both = {("access", True), ("key", True)}
+    assert found == {0: both, 1: both, 2: both, 3: {("access", False)}, 4: {("access", False)}, 5: set()}
+
+
 def test_exact_dedup(spark, docs, corpus, empty):
     got = by_id(exact_dedup.copy_groups(docs), "keep_id", "group_size", "kept", "text_sha256")
     assert got == brute.copies([r[:2] for r in corpus])
