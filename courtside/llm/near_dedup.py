@@ -254,6 +254,12 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     members = sketches.select("doc_id", "n", "one", "two")
     classes = stored(members.groupBy("one", "two", "n").agg(F.min("doc_id").alias("lead"), F.count("*").alias("rows")), "near-classes")
     shared = classes.where("rows > 1").select("one", "two", "n", "lead")
+    named = members.join(shared.where("n > 0"), ["one", "two", "n"], "left").select("doc_id", "n", F.coalesce("lead", "doc_id").alias("lead"))
+    named = stored(named, "near-named")
+    # an id whose rows are in several classes makes them one component: each lead is linked to the smallest
+    several = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("lead").alias("low"), F.max("lead").alias("high")).where("low < high")
+    same = named.join(several.select("doc_id", "low"), "doc_id").where("low < lead").select("low", F.col("lead").alias("high")).distinct()
+    same = stored(same, "near-same")
     leads = classes.where("n > 0 and lead is not null").select(F.col("lead").alias("doc_id"), "one", "two")
     sketched = stored(sketches.join(leads, ["doc_id", "one", "two"]).dropDuplicates(["doc_id", "one", "two"]).select("doc_id", "n", "registers"), "near-leads")
     bands = sketched.mapInArrow(_bands, "bucket long, doc_id long")
@@ -278,7 +284,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
                       .mapInArrow(partial(_linked, percent=percent), "low long, high long").distinct(), "near-links")
 
     stars = held.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("low"), F.greatest("lead", "doc_id").alias("high"))
-    links = verified(stored(stars.distinct(), "near-pairs"))
+    links = verified(stored(stars.distinct(), "near-pairs")).unionAll(same)
     labels = components(links)
     # members that their bucket's leader did not bring together
     at = held.where("doc_id <> lead").join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -288,8 +294,6 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     more = verified(stored(_prefix_pairs(rest.join(sets, "doc_id"), percent), "near-pairs"))
     if not more.isEmpty():
         labels = components(links.unionAll(more))
-    shared = shared.where("n > 0")
-    named = members.join(shared, ["one", "two", "n"], "left").select("doc_id", "n", F.coalesce("lead", "doc_id").alias("lead"))
     found = labels.select(F.col("doc_id").alias("lead"), "label")
     return named.join(found, "lead", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "lead")).alias("component_id"),

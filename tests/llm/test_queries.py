@@ -157,6 +157,14 @@ def test_near_dedup(spark, docs, corpus, empty):
     assert near_dedup.near_groups(empty).count() == 0
 
 
+def test_near_dedup_of_an_id_with_several_texts(spark):
+    a, b = prose(1, 300), prose(2, 300)
+    rows = [(5, a), (5, b), (3, a), (7, b + " end"), (9, prose(4, 300)), (9, ""), (9, a), (None, b), (11, prose(6, 300)), (11, prose(7, 300))]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(5, 3, False), (5, 3, False), (3, 3, True), (7, 3, False), *[(9, 3, False)] * 3, (None, None, True), *[(11, 11, True)] * 2], key=repr)
+
+
 def test_registers_keep_the_smallest_points_and_estimate_the_overlap():
     rng = np.random.default_rng(0)
     sets = [np.sort(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 7, 900)]
