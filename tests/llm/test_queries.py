@@ -295,3 +295,36 @@ def test_pipeline(spark, tmp_path, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "mixing"]
     ids = {r.doc_id for r in taken.collect()}
     assert not ids & {50, 3, 51, -5, 9, 101} and {200, 219, 40} <= ids | {200, 219, 40} and set(taken.columns) == {*docs.columns, "copy"}
+
+
+def test_pipeline_against_plain_versions(spark, tmp_path, corpus, docs, monkeypatch):
+    """Exact ids and repetitions: the recorded model's scores, then the plain version of each stage."""
+    import corpus_pipeline
+
+    insult = "vermaledeit hundsfott schwachkopf widerling "
+    bad = [(300 + i, insult * 4 + prose(300 + i, 8), "d") for i in range(24)]
+    rows, items, models, fit = [*corpus, *bad], [(1, prose(2, 70))], [], toxicity.fit
+    extra = spark.createDataFrame(bad, "doc_id long, text string, source string")
+    extra.select("*", *[F.lit("clash").alias(c) for c in docs.columns[3:]]).unionByName(docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    marks = [(300 + i, 1) for i in range(24)] + [(i, 0) for i in (*range(100, 112), *range(200, 220), 40)]
+    spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r["copy"])
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    scores = {d: s for d, (s,) in by_id(toxicity.score(frame, models[0]), "toxicity").items()}
+    left = [r for r in rows if scores[r[0]] < toxicity.REJECT]
+    assert len([r for r in bad if r not in left]) >= 20 and len([r for r in corpus if r in left]) >= len(corpus) - 2
+    for verdict in (lambda some: {d for d, v in brute.copies(some).items() if v[2]},
+                    lambda some: {d for d, v in brute.near_groups(some, 5).items() if v[2]},
+                    lambda some: {d for d, v in brute.decontaminated(some, items).items() if not v[4]}):
+        stay = verdict([r[:2] for r in left])
+        assert len(stay) < len(left)
+        left = [r for r in left if r[0] in stay]
+    order = sorted({r[2] for r in left}, key=lambda s: (s is None, s))
+    mixed = brute.mixed(left, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)})
+    want = {d: list(range(1, v[3] // v[0] + 1)) for d, v in mixed.items() if v[0] and v[3]}
+    worded = {d for d, v in mixed.items() if v[0]}  # the plain mix counts words, so it says nothing of texts without any
+    assert {d: sorted(c) for d, c in got.items() if d in worded} == want and got.keys() <= mixed.keys()
