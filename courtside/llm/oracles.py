@@ -85,3 +85,63 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.y
 least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least_of LEFT JOIN n USING (doc_id)
 """
+
+
+def _centroids(k: int = 8, rounds: int = 10) -> str:
+    """Every vector against every centroid; a round is two tables: assignments, then centroids."""
+    far = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    tables = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: cast(floor(1024 * cast(e AS DOUBLE)) AS HUGEINT)) AS x FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS n, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        tables.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v.x, min(struct_pack(far := {far}, n := c.n)) AS best FROM v, c{r} c GROUP BY vec_id, v.x)")
+        if r < rounds:
+            tables.append(
+                f"c{r + 1} AS MATERIALIZED (SELECT c.n, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT n, list(part ORDER BY i) AS x FROM (SELECT best.n AS n, i,"
+                f" (sum(x[i]) - ((sum(x[i]) % count(*)) + count(*)) % count(*)) // count(*) AS part FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2) GROUP BY n) m USING (n))")
+    return (f"WITH {', '.join(tables)} SELECT vec_id, cast(best.n AS INTEGER) AS cluster, cast(best.far AS BIGINT) AS distance,"
+            " cast(sum(best.far) OVER (PARTITION BY best.n) AS BIGINT) AS cluster_inertia, cast(sum(best.far) OVER () AS BIGINT) AS inertia,"
+            f" sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.n = best.n")
+
+
+CENTROIDS = _centroids()
+
+_FIELD = "coalesce(strlen(cast({0} AS VARCHAR)) || ':' || {0}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: Level by level; the siblings of each leaf are looked up one by one, and its claim is folded step by step.
+MANIFEST = f"""
+WITH RECURSIVE bits(b, k, z) AS (SELECT b, 0, cast(b AS UBIGINT) FROM range(256) t(b) UNION ALL
+  SELECT b, k + 1, xor(z >> 1, CASE WHEN z & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END) FROM bits WHERE k < 8),
+steps AS (SELECT b, z FROM bits WHERE k = 8),
+crc(doc_id, i, h) AS (SELECT DISTINCT doc_id, 1, 4294967295::UBIGINT FROM documents WHERE doc_id IS NOT NULL UNION ALL
+  SELECT doc_id, i + 1, xor(h >> 8, z) FROM crc JOIN steps ON b = xor(h, ascii(substr(cast(doc_id AS VARCHAR), i, 1))::UBIGINT) & 255 WHERE i <= length(cast(doc_id AS VARCHAR))),
+sums AS (SELECT doc_id, xor(h, 4294967295::UBIGINT) AS crc FROM crc WHERE i = length(cast(doc_id AS VARCHAR)) + 1),
+leaves AS MATERIALIZED (SELECT doc_id, lang, leaf, claim, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM
+  (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN crc % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS claim FROM documents LEFT JOIN sums USING (doc_id))),
+low(lang, level, pos, size, h) AS (SELECT lang, 0, pos, size, leaf FROM leaves UNION ALL
+  SELECT lang, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE size > 1 GROUP BY lang, level, pos // 2, size),
+tops AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos, count(*) OVER () AS size FROM low WHERE size = 1),
+high(level, pos, size, h) AS (SELECT 0, pos, size, h FROM tops UNION ALL
+  SELECT level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE size > 1 GROUP BY level, pos // 2, size),
+sizes AS (SELECT DISTINCT lang, level, size, 0 AS part FROM low WHERE size > 1 UNION ALL SELECT DISTINCT t.lang, high.level, high.size, 1 FROM tops t, high WHERE high.size > 1),
+ways AS (SELECT l.lang, l.pos, row_number() OVER (PARTITION BY l.lang, l.pos ORDER BY part, level) AS k, part, level, (CASE part WHEN 0 THEN l.pos ELSE t.pos END) >> level AS at
+  FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN sizes s ON s.lang IS NOT DISTINCT FROM l.lang),
+beside AS MATERIALIZED (SELECT w.lang, w.pos, w.k, w.at, coalesce(a.h, b.h) AS h FROM ways w
+  LEFT JOIN low a ON w.part = 0 AND a.lang IS NOT DISTINCT FROM w.lang AND a.level = w.level AND a.pos = xor(w.at, 1)
+  LEFT JOIN high b ON w.part = 1 AND b.level = w.level AND b.pos = xor(w.at, 1)),
+fold(lang, pos, k, h) AS (SELECT lang, pos, 1, claim FROM leaves UNION ALL
+  SELECT f.lang, f.pos, f.k + 1, sha256(CASE WHEN b.at % 2 = 1 THEN b.h || f.h ELSE f.h || coalesce(b.h, '') END)
+  FROM fold f JOIN beside b ON b.lang IS NOT DISTINCT FROM f.lang AND b.pos = f.pos AND b.k = f.k),
+last AS (SELECT lang, pos, arg_max(h, k) AS folded FROM fold GROUP BY lang, pos),
+proofs AS (SELECT lang, pos, sha256(coalesce(string_agg(h, '' ORDER BY k), '')) AS proof FROM beside GROUP BY lang, pos)
+SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, z.folded AS folded_root, z.folded = r.h AS verified
+FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN last z ON z.lang IS NOT DISTINCT FROM l.lang AND z.pos = l.pos
+LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos, (SELECT h FROM high WHERE size = 1) r
+"""

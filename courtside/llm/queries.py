@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, near_dedup, oracles, secrets, substring_dedup, toxicity, url_rules, warc
+from . import (
+    bpe, centroids, decontaminate, exact_dedup, language, manifest, mixing, near_dedup, oracles, secrets, substring_dedup, toxicity, url_rules, warc,
+)
 
 #: The rules of the URL query: host, path, action.
 URL_RULES = (
@@ -78,12 +84,39 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, folder, "documents"), size=4)
 
 
+def op11_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, folder, "embeddings"))
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found.centroids]
+    named = F.get(F.array(*map(F.lit, names)), "cluster") if names else F.lit(None).cast("string")
+    return found.assigned.withColumn("centroid_sha256", named)
+
+
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = manifest.digest([c + 1 if i == 3 else c for i, c in enumerate(columns)])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = F.when(tampered, changed).otherwise(manifest.digest(columns))
+    made = manifest.build(docs, F.col("lang"), F.col("doc_id"), columns, doc_id=F.col("doc_id").cast("long"), claim=claim)
+    return manifest.prove(made, made.leaves, {"doc_id": pa.int64()}, proofs=False)
+
+
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_url_rules, op3_secrets, op4_exact_dedup, op5_mixing, op6_substring_dedup,
-    op7_language, op8_warc, op9_toxicity, op10_near_dedup,
+    op7_language, op8_warc, op9_toxicity, op10_near_dedup, op11_centroids, op12_manifest, op13_bpe,
 )}
 ORACLES = {
     "op1_decontaminate": oracles.DECONTAMINATE, "op2_url_rules": oracles.url_rules(URL_RULES),
     "op4_exact_dedup": oracles.EXACT_DEDUP, "op5_mixing": oracles.MIXING,
     "op6_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_near_dedup": oracles.NEAR_DEDUP,
+    "op11_centroids": oracles.CENTROIDS, "op12_manifest": oracles.MANIFEST,
 }
