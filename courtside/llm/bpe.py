@@ -27,6 +27,8 @@ from .common import received, sent
 #: Characters that are split at a time, pieces that a task remembers, bytes of a piece that is remembered (and
 #: merged with others in one array), pieces of one array, and ids or bytes that an output batch gathers.
 STRETCH, REMEMBERED, SHORT, TOGETHER, BATCH = 1 << 20, 1 << 19, 64, 1 << 12, 1 << 20
+#: Characters after a match that may decide where it ends.
+AHEAD = 8
 _NONE = (1 << 63) - 1
 
 
@@ -175,8 +177,8 @@ class Remembered(dict):
 def stretches(text: str, pattern: regex.Pattern, most: int = STRETCH) -> Iterator[list[str]]:
     """The matches of the whole text, some at a time; they leave no character out.
 
-    What is matched before the end of a stretch does not depend on what follows it but for
-    the last match, which the next stretch begins with.
+    A match is final unless it ends within AHEAD characters of a stretch's end; the next
+    stretch begins with the first that is not.  So the pattern must not look farther ahead.
     """
     at, take = 0, most
     while at < len(text):
@@ -185,11 +187,14 @@ def stretches(text: str, pattern: regex.Pattern, most: int = STRETCH) -> Iterato
         if end == len(text):
             yield found
             return
-        if len(found) < 2:  # a match longer than the stretch
+        last = end
+        while found and last > end - AHEAD:
+            last -= len(found.pop())
+        if found:
+            yield found
+            at, take = last, most
+        else:  # a match longer than the stretch
             take *= 2
-            continue
-        at, take = end - len(found.pop()), most
-        yield found
 
 
 class Encoder:
@@ -246,7 +251,8 @@ def _gathered(batch: pa.RecordBatch, made: Iterator[bytes], width: int, build) -
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text", added: str = "ids") -> DataFrame:
     """The rows of ``docs`` with all columns and the token ids of ``column`` (array of int).
 
-    ``path`` names the file of ranks, read on the driver; ``pattern`` splits the text.  Whole
+    ``path`` names the file of ranks, read on the driver; ``pattern`` splits the text, and what
+    it matches must not depend on more than AHEAD characters after the match.  Whole
     texts are encoded, without special tokens: their strings are ordinary text.  Null and
     empty texts have no ids; bytes that are not UTF-8 are read as U+FFFD.  A column named as
     ``added`` is replaced.  A task holds one text, its ids, and about 32 bytes for each
