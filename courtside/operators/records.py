@@ -16,27 +16,30 @@ def player_records(stats: DataFrame, games: DataFrame, players: DataFrame, teams
                    seasons: DataFrame) -> DataFrame:
     """Highest value, how often it was reached, and the latest game that shows it.
 
-    The lines are turned into (player, season, statistic, value) and reduced per
-    value before anything is compared: a player with very many lines is spread over
-    the values, and both scopes are read from that one reduced table.
+    First the highest values per player and season, plain maxima in one hash aggregate; then
+    only the lines that reach one of them go on, a row per value reached.  A career's best
+    lines are among the best of their seasons (lines without season are a season of their
+    own here), so the career scope is read from those few rows.
     """
-    lines = stats.filter(F.col("player_id").isNotNull()).join(
-        games.select(F.col("id").alias("game_id"), "game_date"), "game_id", "left"
-    )
     numeric = dict(stats.dtypes)
     value = lambda s: to_float(s) if numeric[s] == "string" else F.coalesce(F.col(s).cast("double"), F.lit(0.0))
-    entries = F.array(*[F.struct(F.lit(s).alias("record_type"), value(s).alias("value")) for s, _ in RECORD_STATS])
+    kinds = [s for s, _ in RECORD_STATS]
+    lines = stats.filter(F.col("player_id").isNotNull()).select("player_id", "season_id", "game_id", "team_id", *[value(s).alias(s) for s in kinds])
+    highest = lines.groupBy(F.col("player_id").alias("h_player"), F.col("season_id").alias("h_season")).agg(*[F.max(s).alias(f"h_{s}") for s in kinds])
+    meets = (F.col("player_id") == F.col("h_player")) & F.col("season_id").eqNullSafe(F.col("h_season"))
+    reached = F.filter(F.array(*[F.when(F.col(s) == F.col(f"h_{s}"), F.struct(F.lit(s).alias("record_type"), F.col(s).alias("value"))) for s in kinds]),
+                       lambda r: r.isNotNull())
+    shown = lines.join(highest, meets).select("player_id", "season_id", "game_id", "team_id", reached.alias("reached")).filter(F.size("reached") > 0)
+    dated = shown.join(games.select(F.col("id").alias("game_id"), "game_date"), "game_id", "left")
     game = F.struct("game_date", "game_id", "team_id")
-
-    per_value = lines.select("player_id", "season_id", game.alias("game"), F.inline(entries)) \
-        .groupBy("player_id", "season_id", "record_type", "value") \
-        .agg(F.count("*").alias("n"), F.max("game").alias("game"))
+    per_season = dated.select("player_id", "season_id", game.alias("game"), F.inline("reached")) \
+        .groupBy("player_id", "season_id", "record_type", "value").agg(F.count("*").alias("n"), F.max("game").alias("game"))
 
     scopes = F.array(
         F.struct(F.lit("career").alias("scope"), F.lit(None).cast("bigint").alias("scope_season")),
         F.struct(F.lit("season").alias("scope"), F.col("season_id").cast("bigint").alias("scope_season")),
     )
-    scoped = per_value.select("player_id", "record_type", "value", "n", "game", F.inline(scopes)) \
+    scoped = per_season.select("player_id", "record_type", "value", "n", "game", F.inline(scopes)) \
         .filter((F.col("scope") == "career") | F.col("scope_season").isNotNull()) \
         .groupBy("player_id", "scope", "scope_season", "record_type", "value") \
         .agg(F.sum("n").alias("n"), F.max("game").alias("game"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_COMPETITION, KEEPS_NAME, MINUTES, PER_GAME, SHORT_TOTALS, SHOTS, STAT_INPUTS
@@ -80,28 +80,32 @@ def most_common(df: DataFrame, keys: list[str], column: str, name: str | None =
 
 def player_team_seasons(stats: DataFrame, players: DataFrame, teams: DataFrame,
                         seasons: DataFrame) -> DataFrame:
-    """Totals and means per season, team and player.
+    """Totals and means per season, team and player, in one pass over the lines.
 
     Games are counted distinct (a repeated line adds to the totals, not to the
-    games).  A player without a name gets the most frequent name on the lines.
+    games).  A player without a name gets the most frequent name on the lines, the
+    smallest on a tie: lines of such players enter the aggregate a second time under their name.
     """
     rows = resolved_rows(stats)
-    totals = rows.groupBy(*PLAYER_SEASON_TEAM).agg(
-        F.count_distinct("game_id").alias("games_played"),
+    if "player_name_raw" in stats.columns:
+        own = F.coalesce(clean_text("full_name"), clean_text("display_name"))
+        known = players.filter(own.isNotNull()).select(F.col("id").alias("player_id"), F.lit(True).alias("__known")).distinct()
+        raw = F.when(F.col("__known").isNull(), clean_text("player_name_raw"))
+        rows = rows.join(known, "player_id", "left").withColumn("__raw", raw)
+        rows = rows.select("*", F.explode(F.when(F.col("__raw").isNull(), F.array(F.lit(None).cast("string"))).otherwise(
+            F.array(F.lit(None).cast("string"), F.col("__raw")))).alias("__name"))
+    else:
+        rows = rows.withColumn("__name", F.lit(None).cast("string"))
+    totals = rows.groupBy(*PLAYER_SEASON_TEAM, "__name").agg(
+        F.count_distinct("game_id").alias("games_played"), F.count("*").alias("__lines"),
         F.sum(to_bool("is_starter").cast("bigint")).alias("games_started"),
         *[_summed(rows, s) for s in (MINUTES, *STAT_INPUTS)],
     )
+    # the row of all lines comes first, the most frequent name next
+    order = Window.partitionBy(*PLAYER_SEASON_TEAM).orderBy(F.col("__name").isNotNull(), F.desc("__lines"), "__name")
+    totals = totals.withColumn("raw_name", F.lead("__name").over(order)).filter("__name IS NULL").drop("__name", "__lines")
     named = with_names(totals, players, teams, seasons)
-    if "player_name_raw" in stats.columns:
-        known = players.filter(
-            F.coalesce(clean_text("full_name"), clean_text("display_name")).isNotNull()
-        ).select(F.col("id").alias("player_id"))
-        nameless = rows.join(known, "player_id", "left_anti")
-        fallback = most_common(nameless, PLAYER_SEASON_TEAM, "player_name_raw", "raw_name")
-        named = named.join(fallback, PLAYER_SEASON_TEAM, "left").withColumn(
-            "player_name", F.coalesce("player_name", "raw_name")
-        ).drop("raw_name")
-    return with_ratios(named)
+    return with_ratios(named.withColumn("player_name", F.coalesce("player_name", "raw_name")).drop("raw_name"))
 
 
 def skipped_rows(stats: DataFrame) -> DataFrame:
@@ -128,59 +132,44 @@ def ordered_ids(df: DataFrame, keys: list[str], order: Column, value: str) -> Da
     )
 
 
-def _team_list(by_team: DataFrame, keys: list[str]) -> DataFrame:
-    """Teams of a player in order of (first season, team id), with names and the
-    team that has most games (smallest id on a tie)."""
-    per_team = by_team.groupBy(*keys, "team_id").agg(
-        F.min("season_id").alias("first_season"),
-        F.sum("games_played").alias("team_games"),
-        F.min("team_name").alias("team_name"),
-    )
-    listed = F.array_sort(F.collect_list(F.struct("first_season", "team_id", "team_name")))
-    names = F.filter(F.transform(listed, lambda s: s["team_name"]), lambda n: n.isNotNull())
-    primary = F.max_by(F.struct("team_id", "team_name"), F.struct("team_games", -F.col("team_id")))
-    return per_team.groupBy(*keys).agg(
-        F.count("*").alias("teams_count"),
-        F.array_join(F.transform(listed, lambda s: s["team_id"].cast("string")), "|").alias("team_ids"),
-        F.array_join(names, "|").alias("team_names"),
-        primary.alias("primary"),
-    )
-
+def _over_teams(by_team: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of a key, its seasons, and its teams in order of (first season, team id), in one pass.
 
-def _resum(df: DataFrame) -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("games_played", "games_started", *PLAYER_TOTALS)]
+    A key has one row per team when it meets the others, so its lists are as long as its teams and seasons.
+    """
+    sums = [F.sum(c).alias(c) for c in ("games_played", "games_started", *PLAYER_TOTALS)]
+    names = [F.min(c).alias(c) for c in ("player_name", "season_name", "team_name")]
+    per_team = by_team.withColumn("__season", F.col("season_id")).groupBy(*keys, "team_id").agg(
+        F.min("__season").alias("first_season_id"), F.max("__season").alias("last_season_id"),
+        F.collect_set("__season").alias("__seasons"), *names, *sums)
+    team = F.struct(F.col("first_season_id").alias("first"), "team_id", "team_name", F.col("games_played").alias("games"))
+    rows = per_team.groupBy(*keys).agg(
+        F.min("first_season_id").alias("first_season_id"), F.max("last_season_id").alias("last_season_id"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("__seasons")))).cast("bigint").alias("seasons_count"),
+        F.min("player_name").alias("player_name"), F.min("season_name").alias("season_name"), *sums,
+        F.array_sort(F.collect_list(team)).alias("__teams"))
+    listed = F.filter(F.transform("__teams", lambda t: t["team_name"]), lambda n: n.isNotNull())
+    most = F.array_max(F.transform("__teams", lambda t: F.struct(t["games"], (-t["team_id"]).alias("less"), t["team_name"].alias("name"))))
+    return rows.withColumns({
+        "teams_count": F.size("__teams").cast("bigint"),
+        "team_ids": F.array_join(F.transform("__teams", lambda t: t["team_id"].cast("string")), "|"),
+        "team_names": F.array_join(listed, "|"), "__most": most,
+    }).withColumns({"primary_team_id": -F.col("__most.less"), "primary_team_name": F.col("__most.name")}).drop("__teams", "__most")
 
 
 def player_seasons(by_team: DataFrame) -> DataFrame:
-    """Season totals of a player over all teams, from ``player_team_seasons``."""
-    keys = ["season_id", "player_id"]
-    totals = by_team.groupBy(*keys).agg(
-        F.min("season_name").alias("season_name"), F.min("player_name").alias("player_name"), *_resum(by_team)
-    )
-    teams = _team_list(by_team, keys).select(
-        *keys, "teams_count", "team_ids", "team_names",
-        F.col("primary.team_id").alias("primary_team_id"),
-        F.col("primary.team_name").alias("primary_team_name"),
-    )
-    return with_ratios(totals.join(teams, keys))
+    """Season totals of a player over all teams, from ``player_team_seasons``, which is read once."""
+    rows = _over_teams(by_team, ["season_id", "player_id"]).drop("first_season_id", "last_season_id", "seasons_count")
+    return with_ratios(rows)
 
 
 def player_career_totals(by_team: DataFrame, seasons: DataFrame) -> DataFrame:
-    """Career totals of a player, from ``player_team_seasons``."""
-    totals = by_team.groupBy("player_id").agg(
-        F.min("player_name").alias("player_name"),
-        F.min("season_id").alias("first_season_id"),
-        F.max("season_id").alias("last_season_id"),
-        F.count_distinct("season_id").alias("seasons_count"),
-        *_resum(by_team),
-    )
-    teams = _team_list(by_team, ["player_id"]).drop("primary")
+    """Career totals of a player, from ``player_team_seasons``, which is read once."""
+    totals = _over_teams(by_team, ["player_id"]).drop("season_name", "primary_team_id", "primary_team_name")
     label = seasons.select("id", clean_text("name").alias("name"))
     first = label.select(F.col("id").alias("first_season_id"), F.col("name").alias("first_season_name"))
     last = label.select(F.col("id").alias("last_season_id"), F.col("name").alias("last_season_name"))
-    return with_ratios(
-        totals.join(teams, "player_id").join(first, "first_season_id", "left").join(last, "last_season_id", "left")
-    )
+    return with_ratios(totals.join(first, "first_season_id", "left").join(last, "last_season_id", "left"))
 
 
 def team_seasons(team_stats: DataFrame, standings: DataFrame, teams: DataFrame, seasons: DataFrame) -> DataFrame:

@@ -310,7 +310,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-COMPUTE_ONCE = ("b_parsed", "b_found", "b_named", "b_groups", "b_pairs", "b_review_pairs")
+COMPUTE_ONCE = ("b_parsed", "b_found", "b_named", "b_groups", "b_wordy", "b_pairs", "b_review_pairs", "b_scored", "b_alike", "b_met", "b_review")
 
 
 def add_view(name: str, needs: tuple[str, ...], text: str) -> None:

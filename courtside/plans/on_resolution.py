@@ -135,8 +135,20 @@ add_view("b_groups", ("b_open_lines",), f"SELECT {REQUEST}, count(*) AS unresolv
 add_view("b_left", ("b_groups",), "SELECT DISTINCT a FROM b_groups WHERE a IS NOT NULL")
 add_view("b_normed", ("b_records",), f"SELECT DISTINCT player_id, name AS candidate_name, season_id AS rs, team_id AS rt, jersey_number AS rj, source, {s_norm('name')} AS b FROM b_records")
 add_view("b_right", ("b_normed",), "SELECT DISTINCT b FROM b_normed WHERE b IS NOT NULL")
-add_view("b_pairs", ("b_left", "b_right"), f"SELECT a, b, similarity FROM (SELECT a, b, {s_similar('a', 'b')} AS similarity FROM b_left, b_right) WHERE similarity >= 0.72")
-add_view("b_review_pairs", ("b_left", "b_right"), f"SELECT a, b, similarity FROM (SELECT a, b, {s_review('a', 'b')} AS similarity FROM b_left, b_right) WHERE similarity >= 0.65")
+# pairs that share a word or are equal but for spacing, and pairs by their edits alone: no word list is made for these
+add_view("b_wordy", ("b_left", "b_right"),
+         f"SELECT DISTINCT a, b FROM (SELECT a, unnest({s_words('a')}) AS word FROM b_left) JOIN (SELECT b, unnest({s_words('b')}) AS word FROM b_right) USING (word)"
+         " UNION SELECT a, b FROM b_left JOIN b_right ON replace(a, ' ', '') = replace(b, ' ', '')")
+
+
+def s_pairs(score, least):
+    return (f"SELECT a, b, similarity FROM (SELECT a, b, {score} AS similarity FROM b_wordy) WHERE similarity >= {least}"
+            f" UNION ALL SELECT a, b, similarity FROM (SELECT a, b, {s_edit('a', 'b')} AS similarity FROM b_left JOIN b_right"
+            f" ON length(b) >= {least} * length(a) - 0.001 AND length(b) * {least} <= length(a) + 0.001) WHERE similarity >= {least} AND (a, b) NOT IN (SELECT (a, b) FROM b_wordy)")
+
+
+add_view("b_pairs", ("b_wordy",), s_pairs(s_similar('a', 'b'), 0.72))
+add_view("b_review_pairs", ("b_wordy",), s_pairs(s_review('a', 'b'), 0.65))
 
 
 def _groups(t):
@@ -174,21 +186,38 @@ def _(t):
     return similar.fuzzy_candidates(_groups(t), t.stored_records)
 
 
-add_view("b_review", ("b_groups", "b_review_pairs", "b_normed"),
-         f"SELECT *, row_number() OVER (PARTITION BY {REQUEST} ORDER BY score DESC, {TIE}) AS rn FROM (SELECT g.*, p.similarity, n.player_id, n.candidate_name, n.rs, n.rt, n.rj, n.source,"
-         " p.similarity * 100 + CASE WHEN n.rs = g.season_id THEN 35 WHEN n.rs IS NOT NULL THEN -15 ELSE 0 END + CASE WHEN n.rt = g.team_id THEN 45 WHEN n.rt IS NOT NULL THEN -60 ELSE 0 END"
-         " + CASE WHEN n.rj = g.jersey_number THEN 30 WHEN n.rj IS NOT NULL THEN -25 ELSE 0 END AS score"
-         " FROM b_groups g JOIN b_review_pairs p USING (a) JOIN b_normed n USING (b))")
+_REVIEW_POINTS = ("(CASE WHEN n.rs = g.season_id THEN 35 WHEN n.rs IS NOT NULL THEN -15 ELSE 0 END + CASE WHEN n.rt = g.team_id THEN 45 WHEN n.rt IS NOT NULL THEN -60 ELSE 0 END"
+                  " + CASE WHEN n.rj = g.jersey_number THEN 30 WHEN n.rj IS NOT NULL THEN -25 ELSE 0 END)")
+# a record that no field lifts needs a similar name; every other one is met by an equal field
+_MEET = ("coalesce(n.rt = g.team_id, false)", "coalesce(n.rs = g.season_id, false)", "coalesce(n.rj = g.jersey_number, false)")
+add_view("b_left_no", ("b_left",), "SELECT a, row_number() OVER (ORDER BY a) AS no FROM b_left")
+add_view("b_right_no", ("b_right",), "SELECT b, row_number() OVER (ORDER BY b) AS no FROM b_right")
+add_view("b_alike", ("b_wordy", "b_left_no", "b_right_no"),  # one number for a pair of names
+         f"SELECT x.no << 32 | y.no AS pair, max(similarity) AS similarity FROM (SELECT a, b, {s_review('a', 'b')} AS similarity FROM b_wordy"
+         f" UNION ALL SELECT a, b, {s_edit('a', 'b')} FROM b_left, b_right) JOIN b_left_no x USING (a) JOIN b_right_no y USING (b) GROUP BY pair")
+add_view("b_met", ("b_groups", "b_normed", "b_left_no", "b_right_no"), " UNION ALL ".join(
+    f"SELECT g.* EXCLUDE (no), n.player_id, n.candidate_name, n.rs, n.rt, n.rj, n.source, g.no << 32 | n.no AS pair, {_REVIEW_POINTS} AS points"
+    f" FROM (SELECT * FROM b_groups LEFT JOIN b_left_no USING (a)) g JOIN (SELECT * FROM b_normed LEFT JOIN b_right_no USING (b)) n ON {on} WHERE {_REVIEW_POINTS} > 0"
+    + "".join(f" AND NOT {earlier}" for earlier in _MEET[:i]) for i, on in enumerate(("n.rt = g.team_id", "n.rs = g.season_id", "n.rj = g.jersey_number"))))
+add_view("b_review", ("b_groups", "b_review_pairs", "b_normed", "b_alike", "b_met"),
+         f"SELECT *, row_number() OVER (PARTITION BY {REQUEST} ORDER BY score DESC, {TIE}) AS rn FROM ("
+         f"SELECT g.*, n.player_id, n.candidate_name, n.rs, n.rt, n.rj, n.source, p.similarity, p.similarity * 100 + {_REVIEW_POINTS} AS score"
+         f" FROM b_groups g JOIN b_review_pairs p USING (a) JOIN b_normed n USING (b) WHERE p.similarity * 100 + {_REVIEW_POINTS} >= 65"
+         + "".join(f" UNION ALL SELECT m.* EXCLUDE (pair, points), p.similarity, p.similarity * 100 + points FROM (SELECT * FROM b_met WHERE points > {low} AND points <= {high}) m"
+                   f" JOIN (SELECT * FROM b_alike WHERE similarity < 0.65 AND similarity * 100 >= 65 - {high}) p USING (pair) WHERE p.similarity * 100 + points >= 65"
+                   for low, high in ((0, 5), (5, 15), (15, 35), (35, 64), (64, 110)))
+         + " UNION ALL SELECT m.* EXCLUDE (pair, points), 0.0::double, points::double FROM b_met m WHERE pair IS NULL AND points >= 65) QUALIFY rn <= 8")
 
 
 def _s_signal(r, q, word):
     return f"CASE WHEN {r} = {q} THEN 'same_{word}' WHEN {r} IS NOT NULL THEN 'wrong_{word}' END"
 
 
-@query("top_candidates", sql("b_review",
-       f"SELECT {REQUEST}, rn AS candidate_rank, player_id, candidate_name, similarity, score, concat_ws('|', {_s_signal('rs', 'season_id', 'season')}, {_s_signal('rt', 'team_id', 'team')},"
-       f" {_s_signal('rj', 'jersey_number', 'jersey')}, CASE WHEN similarity >= 0.90 THEN 'strong_name' WHEN similarity >= 0.75 THEN 'medium_name' ELSE 'weak_name' END) AS signals, source"
-       " FROM b_review WHERE rn <= 8 AND score >= 65"))
+@query("top_candidates", sql(("b_groups", "b_review"),
+       "SELECT g.season_id, g.team_id, g.player_name_raw, g.jersey_number, r.rn AS candidate_rank, r.player_id, r.candidate_name, r.similarity, r.score,"
+       f" CASE WHEN r.rn IS NULL THEN 'no_candidate' ELSE concat_ws('|', {_s_signal('r.rs', 'g.season_id', 'season')}, {_s_signal('r.rt', 'g.team_id', 'team')},"
+       f" {_s_signal('r.rj', 'g.jersey_number', 'jersey')}, CASE WHEN r.similarity >= 0.90 THEN 'strong_name' WHEN r.similarity >= 0.75 THEN 'medium_name' ELSE 'weak_name' END) END AS signals, r.source"
+       f" FROM b_groups g LEFT JOIN b_review r ON {SAME.format(a='g', b='r')}"))
 def _(t):
     return similar.top_candidates(_groups(t), t.stored_records)
 
