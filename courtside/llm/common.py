@@ -23,6 +23,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_key(text: Column) -> Column:
+    """What tells rows of one doc_id, or without, apart: a hash of their text; null is as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, text_key
 
 #: What separates words once A to Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -25,11 +25,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def text_key(doc_id: Column, text: Column) -> Column:
-    """What tells rows without doc_id apart: a hash of their text; null for all others."""
-    return F.when(doc_id.isNull(), F.sha2(F.coalesce(text, F.lit("")), 256))
-
-
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     """One row per different window: size, words, hash, and the items that hold it.
 
@@ -51,16 +46,16 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_rows: int = 500_000) -> DataFrame:
     """Per document: its word count, the spans of words hit and the items found.
 
-    Columns doc_id, text_key (of rows without doc_id), n_words (long), spans (array of structs ``first``, ``last``: 1-based
+    Columns doc_id, text_key, n_words (long), spans (array of structs ``first``, ``last``: 1-based
     word positions, both inclusive, sorted, not overlapping), n_hit (long, words in spans)
-    and items (strings, sorted).  Null and empty texts have no words and no hits.  Rows
-    that repeat a doc_id are taken together as one document: equal rows give the result of
-    one.  Rows without doc_id are one document per text.  An empty benchmark hits nothing.
+    and items (strings, sorted).  Null and empty texts have no words and no hits.  A
+    document is a doc_id with a text, also where doc_id is null: equal rows give the result
+    of one, and different texts of one doc_id a result each.  An empty benchmark hits nothing.
     """
     windows = benchmark_windows(benchmark, n)
     found = windows.groupBy("k").agg(F.count("*").alias("rows")).collect()  # one row per size, at most n
     sizes, blocks = sorted(r["k"] for r in found), -(-sum(r["rows"] for r in found) // block_rows) or 1
-    words = docs.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
+    words = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("words"))
     words = words.select("doc_id", "text_key", "words", F.size("words").alias("n_words"))
     # position 0 carries the document itself, hit or not
     at = words.select("doc_id", "text_key", "words", "n_words", F.explode(F.sequence(F.lit(0), F.col("n_words"))).alias("at"))
@@ -106,7 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """
     hits = find_hits(docs, benchmark, n).where("n_hit > 0")
     cut = hits.select(F.col("doc_id").alias("__hit_id"), F.col("text_key").alias("__hit_key"), F.col("spans").alias("__spans"))
-    found = docs["doc_id"].eqNullSafe(cut["__hit_id"]) & text_key(docs["doc_id"], docs["text"]).eqNullSafe(cut["__hit_key"])
+    found = docs["doc_id"].eqNullSafe(cut["__hit_id"]) & (text_key(docs["text"]) == cut["__hit_key"])
     if remove == "documents":
         return docs.join(cut, found, "left_anti")
     if remove != "spans":

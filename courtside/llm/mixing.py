@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, stored, text_key
 
 #: Documents that one bucket of the selection holds on average.
 BUCKET_DOCS = 10_000
@@ -44,19 +44,22 @@ def fill(sources: DataFrame, total: int, max_epochs: int = 3) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: DataFrame, share: float = 1.0, max_epochs: int = 3, seed: int = 0) -> DataFrame:
-    """Per document how often the mix takes it: doc_id, source, size, source_size, target, repeats, taken.
+    """Per document how often the mix takes it: doc_id, text_key, source, size, source_size, target, repeats, taken.
 
     ``weights`` has source and weight (positive long), one row per source; documents of
     other sources are not taken (target 0).  ``share`` is the mix's size over all words.
     The documents that are taken once more are the first of their source in the order of
     a seeded hash, up to the one whose middle passes the rest of the target, so a source
-    misses its target by half a document at most.  Order ties go to the smaller doc_id,
-    rows without doc_id are one tie.  Null texts have size 0 and are taken like others,
-    with taken 0; a null source is a source.
+    misses its target by half a document at most.  The hash is of the doc_id, for rows
+    without one of their text; ties go to the smaller doc_id, then the smaller text_key (a
+    hash of the text, also returned), so only equal rows are one tie and reruns agree.  Null
+    texts have size 0 and are taken like others, with taken 0; a null source is a source.
     """
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))), 1, 15), 16, 10)
+    named = F.coalesce(F.col("doc_id").cast("string"), F.col("text_key"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), named)), 1, 15), 16, 10)
     # sizes are counted once; both later passes read a few numbers a document instead of its text
-    sized = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), drawn.cast("long").alias("draw")), "mix-sizes")
+    sized = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "source", n_words(F.col("text")).alias("size"))
+    sized = stored(sized.withColumn("draw", drawn.cast("long")), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     w = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("long").alias("weight"))
     sources = stored(totals.join(w, totals["source"].eqNullSafe(w["w_source"])).drop("w_source"), "mix-sources")
@@ -77,13 +80,13 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.0, max_epochs: int
                        F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     placed = placed.join(sums, placed["source"].eqNullSafe(sums["b_source"]) & placed["bucket"].eqNullSafe(sums["b_bucket"]), "left")
     crossing = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest"))
-    row = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    row = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.where(crossing).withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(row), F.lit(0)))
     outside = placed.where(~F.coalesce(crossing, F.lit(False))).withColumn("ahead", F.col("before"))
     extra = F.when((F.col("rest") > 0) & (F.col("ahead") + F.col("size") / 2 <= F.col("rest")), 1).otherwise(0)
     repeats = F.coalesce(F.col("whole") + extra, F.lit(0)).cast("long")
     return inside.unionByName(outside).select(
-        "doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"),
+        "doc_id", "text_key", "source", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"),
         F.coalesce("target", F.lit(0.0)).alias("target"), repeats.alias("repeats"), (repeats * F.col("size")).alias("taken"))
 
 

@@ -3,7 +3,7 @@
 A host is read from its end (``www.example.org`` -> ``org.example.www``), so that a rule
 for a host and its path is a prefix of the keys it fits: an interval in sorted order, and
 the intervals of two rules are nested or apart.  Each different (host, path) gives one key
-per level of its host, so subdomains need no further intervals.  Rules and keys are
+per level of its host, up to the labels of the deepest rule, so subdomains need no further intervals.  Rules and keys are
 range-partitioned together and swept in order: the last rule that began is the top of a
 stack that holds it and all rules around it, and the deepest of them that still covers the
 key is the answer.  Every partition starts with the stack that the partitions before it
@@ -61,9 +61,12 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
         F.when(F.max((F.col("action") == "block").cast("int")) == 1, F.lit("block")).otherwise(F.min("action")).alias("action"))
     # copies of an address are judged once
     asked = urls.select("host", "path").distinct()
-    levels = asked.select("host", "path", F.explode(F.expr(
-        "transform(sequence(1, size(split(host, '[.]'))), n -> array_join(slice(split(host, '[.]'), n, size(split(host, '[.]'))), '.'))"
-    )).alias("level"))
+    # only as many last labels as the deepest rule has can be a rule's host: one number, so a long host gives few keys
+    deepest = rules.agg(F.max(F.size(F.split("host", "[.]")))).first()[0] or 0
+    labels = asked.select("host", "path", F.split("host", "[.]").alias("labels"))
+    labels = labels.select("host", "path", F.slice("labels", F.greatest(F.lit(1), F.size("labels") - deepest + 1), F.lit(max(deepest, 1))).alias("labels"))
+    levels = labels.select("host", "path", F.explode(F.expr(
+        "transform(sequence(1, size(labels)), n -> array_join(slice(labels, n, size(labels)), '.'))")).alias("level"))
     points = levels.select(_key(F.col("level"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "host", "path", "level",
                            F.lit(None).cast("array<struct<length:int,path:string,action:string>>").alias("stack"))
     starts = _stacks(rules).select(_key(F.col("host"), F.col("path")).alias("key"), F.lit(0).alias("kind"),

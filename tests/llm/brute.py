@@ -79,13 +79,12 @@ def secret_spans(text, scope=200):
         r"""((?i:username|user_?id|account|login|client_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)""", text, re.ASCII) if len(m[2]) >= 3]
     weak += [(m.start(), 5, m.end()) for m in re.finditer(
         r"(?i:https?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D\"'<>]+", text, re.ASCII) if len(m[0]) >= 8]
-    near = lambda s, kinds, spans: any(k in kinds and abs(a - s[0]) <= scope for a, k, _ in spans)
+    weak = [s for s in weak if not any(a < s[2] and s[0] < b for a, _, b in base)]
+    near = lambda s, kinds: any(k in kinds and (a <= s[0] <= b + scope or s[0] <= a <= s[2] + scope) for a, k, b in base + weak)
     out = list(base)
     for s in weak:
-        if any(a < s[2] and s[0] < b for a, _, b in base):
-            continue
-        identifier, strong = near(s, (1, 4), base + weak), near(s, (0, 2), base)
-        if (identifier, strong, identifier and strong)[s[1] - 3]:
+        identifier, secret = near(s, (1, 4)), near(s, (0, 2, 3))
+        if (identifier, secret, identifier and secret)[s[1] - 3]:
             out.append(s)
     return sorted(out)
 

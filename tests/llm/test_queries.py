@@ -5,12 +5,14 @@ import hashlib
 import os
 import random
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from courtside.llm import (
     decontaminate, exact_dedup, language, mixing, near_dedup, secrets, substring_dedup, toxicity, url_rules, warc,
 )
@@ -106,6 +108,75 @@ def test_secret_scope_is_the_gap_between_spans(spark):
     assert found == {0: both, 1: both, 2: both, 3: {("access", False)}, 4: {("access", False)}, 5: set()}
 
 
+def test_complementary_weak_parts_are_all_reported(spark):
+    access, weak, where = "AKIA" + "ABCDEFGH23456789", "aB3dE5gH7jK9mN1pQ3rS5tU7", "https://s.example/x"
+    texts = [f"{access} {weak} {where}", f"user_id: bob {weak}", f"user_id: bob {where}", f"{weak} {where}", f"user_id: bob {weak} {where}"]
+    got = {r.doc_id: {s.kind for s in r.spans} for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: {"access", "key", "endpoint"}, 1: {"account", "key"}, 2: set(), 3: set(), 4: {"account", "key", "endpoint"}}
+    assert all({k for _, k, _ in brute.secret_spans(t)} == {[x[0] for x in secrets.KINDS].index(k) for k in got[i]} for i, t in enumerate(texts))
+
+
+def test_secrets_of_rows_without_or_with_one_id(spark):
+    key = "AKIA" + "ABCDEFGH23456789"
+    texts = ["nothing here at all", f"id {key}", "clean text", None, "", "😀 é " + key + " end"]
+    for ids in ([None] * 6, [7] * 6):
+        frame = spark.createDataFrame([(i, t, "clash") for i, t in zip(ids, texts)] * 2, "doc_id long, text string, spans string").withColumns(
+            {c: F.lit(0) for c in ("kind", "start", "end", "value", "text_key", "part", "holds")})
+        found = secrets.find_secrets(frame).collect()
+        assert sorted(len(r.spans) for r in found) == [0, 0, 0, 1, 1]  # null is as empty
+        hidden = secrets.redact(frame)
+        assert hidden.columns == frame.columns
+        want = [t if t is None else t.replace(key, "[redacted]") for t in texts] * 2
+        assert sorted(map(str, want)) == sorted(str(r.text) for r in hidden.collect())
+
+
+def test_secrets_in_a_very_long_text(spark):
+    text = ("0123456789abcdef0123456789 é. " * 170_000)  # 5 MB of hexadecimal runs
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = secrets.find_secrets(frame).select(F.size("spans").alias("n"), F.element_at("spans", -1)["start"].alias("last")).first()
+    assert (row.n, row.last) == (170_000, 30 * 169_999) and time.time() - start < 120
+    text = secrets.redact(frame, mask="it's").first().text
+    assert text == "it's é. " * 170_000 and time.time() - start < 240
+
+
+def test_a_host_of_very_many_labels(spark):
+    url = "http://" + "a." * 8000 + "example.org/es/1"
+    frame = spark.createDataFrame([(1, url, "clash"), (2, "http://org", "")], "page_id long, url string, host string").withColumns({c: F.lit(1) for c in ("path", "rule", "key", "kind", "level")})
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    start = time.time()
+    got = {r.page_id: (len(r.host), r.rule, r.verdict) for r in url_rules.judge(frame, rules).collect()}
+    assert got == {1: (16_011, "example.org/es/", "block"), 2: (3, None, "allow")} and time.time() - start < 60
+
+
+def test_texts_of_one_id_are_decontaminated_apart(spark):
+    leak, clean, other = prose(2, 30), prose(3, 30), prose(4, 30)
+    rows = [(8, leak), (8, clean), (8, clean), (None, leak), (None, other), (9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("item_id", "items", "spans", "text_key")})
+    bench = spark.createDataFrame([(1, prose(2, 30), "clash"), (None, clean, "")], "item_id long, text string, doc_id string")
+    left = decontaminate.decontaminate(frame, bench)
+    assert left.columns == frame.columns and sorted(map(str, (r.text for r in left.collect()))) == sorted(map(str, [clean, clean, other, None]))
+    cut = decontaminate.decontaminate(frame, bench, remove="spans")
+    assert sorted(map(str, (r.text for r in cut.collect()))) == sorted(map(str, ["", clean, clean, "", other, None]))
+
+
+def test_mixing_rows_without_or_with_one_id(spark):
+    rows = [(None if i % 2 else i % 7, prose(i % 90, 5 + i % 60), "ab"[i % 3 == 0]) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("size", "target", "draw", "bucket", "text_key")})
+    plans = [mixing.mix(f, mixing.ranked_weights(f)).select("doc_id", "text_key", "source", "repeats", "taken").collect()
+             for f in (frame.repartition(2), frame.repartition(7, "text"))]
+    assert len(plans[0]) == 600 and sorted(map(str, plans[0])) == sorted(map(str, plans[1]))
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
+    taken = stage(spark, frame, FOLDER)
+    assert taken.columns == [*frame.columns, "copy"]
+    words = {r.source: r.n for r in taken.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    planned = {s: sum(r.taken for r in plans[0] if r.source == s) for s in "ab"}
+    assert words == planned
+    aims = {r.source: r.target for r in mixing.mix(frame, mixing.ranked_weights(frame)).select("source", "target").distinct().collect()}
+    assert all(abs(words[s] - aims[s]) <= 65 for s in "ab")
+    assert stage(spark, frame.limit(0), FOLDER).count() == 0
+
+
 def test_exact_dedup(spark, docs, corpus, empty):
     got = by_id(exact_dedup.copy_groups(docs), "keep_id", "group_size", "kept", "text_sha256")
     assert got == brute.copies([r[:2] for r in corpus])
