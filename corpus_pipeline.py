@@ -7,11 +7,11 @@ costs no earlier stage.  All stages but the last return the columns of their doc
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from courtside.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
-from courtside.llm.common import only_ids, stored
+from courtside.llm.common import only_ids, stored, text_key
 
 
 def toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -40,13 +40,21 @@ def leaked(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One row per repetition of a document that the mix takes: its columns and ``copy``, from 1.
 
-    Rows that share a doc_id and source are repeated as their id is.
+    A document is a doc_id with its text and source; equal rows are numbered through, and
+    the first of them are repeated once more where the target is met among them.
     """
-    plan = mixing.mix(docs, mixing.ranked_weights(docs)).where("repeats > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("repeats").alias("__repeats"))
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]) & docs["source"].eqNullSafe(plan["__source"]))
-    copy = F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int")))
-    return taken.select(*[docs[c] for c in docs.columns if c != "copy"], copy.alias("copy"))
+    key = ["doc_id", "text_key", "source"]
+    plan = mixing.mix(docs, mixing.ranked_weights(docs)).groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(
+        F.min("repeats").alias("__least"), (F.sum("repeats") - F.min("repeats") * F.count("*")).alias("__more"))
+    marked = docs.withColumn("__text", text_key(F.col("text")))
+    same = marked["doc_id"].eqNullSafe(plan["__doc_id"]) & (marked["__text"] == plan["__text_key"]) & marked["source"].eqNullSafe(plan["__source"])
+    joined = marked.join(plan.where("__least + __more > 0"), same)
+    columns = [c for c in docs.columns if c != "copy"]
+    # equal rows follow each other in the mix's order, so a source has them repeated unequally once at most
+    place = F.row_number().over(Window.partitionBy("doc_id", "__text", "source").orderBy(F.lit(0)))
+    uneven = joined.where("__more > 0").withColumn("__repeats", F.col("__least") + F.when(place <= F.col("__more"), 1).otherwise(0))
+    taken = joined.where("__more = 0").withColumn("__repeats", F.col("__least")).unionByName(uneven).where("__repeats > 0")
+    return taken.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int"))).alias("copy"))
 
 
 STAGES = [
