@@ -62,9 +62,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     # copies of an address are judged once
     asked = urls.select("host", "path").distinct()
     # only as many last labels as the deepest rule has can be a rule's host: one number, so a long host gives few keys
-    deepest = rules.agg(F.max(F.size(F.split("host", "[.]")))).first()[0] or 0
+    deepest = rules.agg(F.max(F.size(F.split("host", "[.]")))).first()[0] or 1
     labels = asked.select("host", "path", F.split("host", "[.]").alias("labels"))
-    labels = labels.select("host", "path", F.slice("labels", F.greatest(F.lit(1), F.size("labels") - deepest + 1), F.lit(max(deepest, 1))).alias("labels"))
+    labels = labels.select("host", "path", F.slice("labels", F.greatest(F.lit(1), F.size("labels") - deepest + 1), F.lit(deepest)).alias("labels"))
     levels = labels.select("host", "path", F.explode(F.expr(
         "transform(sequence(1, size(labels)), n -> array_join(slice(labels, n, size(labels)), '.'))")).alias("level"))
     points = levels.select(_key(F.col("level"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "host", "path", "level",
