@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is read whole, in pieces of PIECE bytes.  Two recurrent layers go through a piece, one
-from each end; at every byte a softmax over both states labels that position.  The mean of
-the probabilities of all positions is the text's.  The network is trained here by
-backpropagation through time.
+A text is read whole, in pieces of PIECE bytes, each with MARGIN bytes of the text before and
+after it.  Two recurrent layers go through a piece and its margins, one from each end, so that
+their states are set when they come to the piece itself; at every byte a softmax over both
+states labels that position.  The mean of the probabilities of all positions is the text's.
+The network is trained here by backpropagation through time, on whole texts.
 """
 
 from __future__ import annotations
@@ -15,31 +16,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, sent
+from .common import received, sent, text_key
 from .hashing import slices
 
-PIECE, HIDDEN = 64, 8
-#: Texts of each language that the network is trained on at most, and pieces of each text.
-TRAIN_ROWS, TRAIN_PIECES = 250, 6
+PIECE, MARGIN, HIDDEN = 128, 16, 8
+SPAN = PIECE + 2 * MARGIN
+#: Texts of each language that the network is trained on at most; they are read whole.
+TRAIN_ROWS = 250
 #: Pieces that go through the network together.
-TOGETHER = 2048
+TOGETHER = 1024
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    """Between -1 and 1, as tanh is, at a fraction of its cost; the slope is (1 - |value|) squared."""
-    return x / (1 + np.abs(x))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
 
-def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes by position and piece, filled up with spaces; length and text of each piece."""
-    lengths = np.diff(offsets)
-    many = -(-lengths // PIECE)
-    text = np.repeat(np.arange(len(lengths)), many)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    size = np.minimum(PIECE, lengths[text] - number * PIECE)
-    at = (offsets[:-1][text] + number * PIECE)[None, :] + np.arange(PIECE)[:, None]
-    inside = np.arange(PIECE)[:, None] < size[None, :]
-    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))], 32).astype(np.uint8), size, text
+class Pieces:
+    """The pieces of some texts: first byte, length and text of each; their bytes are laid out for a few at a time."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.data, self.offsets = data, offsets
+        lengths = np.diff(offsets)
+        many = -(-lengths // PIECE)
+        self.text = np.repeat(np.arange(len(lengths)), many)
+        number = np.arange(len(self.text)) - np.repeat(np.cumsum(many) - many, many)
+        self.first = offsets[:-1][self.text] + number * PIECE
+        self.size = np.minimum(PIECE, offsets[1:][self.text] - self.first)
+
+    def laid_out(self, which: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes by position and piece, spaces where the text has none; which positions count as the piece's own."""
+        first, size, text = self.first[which], self.size[which], self.text[which]
+        at = first[None, :] + np.arange(-MARGIN, PIECE + MARGIN)[:, None]
+        inside = (at >= self.offsets[:-1][text]) & (at < self.offsets[1:][text])
+        place = np.arange(-MARGIN, PIECE + MARGIN)[:, None]
+        return np.where(inside, self.data[np.clip(at, 0, max(0, len(self.data) - 1))], 32).astype(np.uint8), (place >= 0) & (place < size)
 
 
 class Layer:
@@ -51,9 +61,9 @@ class Layer:
 
     def step(self, state: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         given, held = self.byte.take(x, 1), self.back @ state
-        gates = 0.5 * _squash(given[: 2 * HIDDEN] + held[: 2 * HIDDEN]) + np.float32(0.5)
+        gates = _sigmoid(given[: 2 * HIDDEN] + held[: 2 * HIDDEN])
         update, reset = gates[:HIDDEN], gates[HIDDEN:]
-        new = _squash(given[2 * HIDDEN:] + reset * held[2 * HIDDEN:])
+        new = np.tanh(given[2 * HIDDEN:] + reset * held[2 * HIDDEN:])
         return state + update * (new - state), update, reset, new, held[2 * HIDDEN:]
 
     def states(self, x: np.ndarray) -> np.ndarray:
@@ -74,9 +84,9 @@ class Layer:
         for t in range(len(x) - 1, -1, -1):
             before, update, reset, new, held = kept[t]
             later = later + pull[t]
-            on_new = later * update * (1 - np.abs(new)) ** 2
-            on_update = later * (new - before) * 0.5 * (1 - np.abs(2 * update - 1)) ** 2
-            on_reset = on_new * held * 0.5 * (1 - np.abs(2 * reset - 1)) ** 2
+            on_new = later * update * (1 - new * new)
+            on_update = later * (new - before) * update * (1 - update)
+            on_reset = on_new * held * reset * (1 - reset)
             at_input[:, t] = np.concatenate([on_update, on_reset, on_new])
             on_held = np.concatenate([on_update, on_reset, on_new * reset])
             on_back += on_held @ before.T
@@ -103,62 +113,87 @@ class Network:
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text the mean over all its positions; zeros for an empty text."""
-        x, size, text = pieces_of(data, offsets)
+        pieces = Pieces(data, offsets)
         sums = np.zeros((len(offsets) - 1, len(self.languages)))
-        for at in range(0, x.shape[1], TOGETHER):
+        for at in range(0, len(pieces.text), TOGETHER):
             part = slice(at, at + TOGETHER)
-            chance = self._positions(x[:, part])[1]
-            chance *= np.arange(PIECE)[:, None, None] < size[None, None, part]
-            total = chance.sum(0)
+            x, own = pieces.laid_out(part)
+            total = np.where(own[:, None, :], self._positions(x)[1], 0).sum(0)
             for k in range(len(self.languages)):
-                sums[:, k] += np.bincount(text[part], total[k], len(sums))
+                sums[:, k] += np.bincount(pieces.text[part], total[k], len(sums))
         return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
-    def fit(self, x: np.ndarray, size: np.ndarray, label: np.ndarray, epochs: int = 10, rate: float = 0.02, seed: int = 0) -> None:
+    def fit(self, pieces: Pieces, label: np.ndarray, epochs: int = 3, rate: float = 0.02, seed: int = 0) -> None:
+        """Go ``epochs`` times through all pieces; ``label`` has the language of each."""
         rng = np.random.default_rng(seed)
         weights = [self.ahead.byte, self.ahead.back, self.behind.byte, self.behind.back, self.out, self.bias]
         moments, step = [(np.zeros_like(w), np.zeros_like(w)) for w in weights], 0
         for _ in range(epochs):
-            order = rng.permutation(x.shape[1])
+            order = rng.permutation(len(label))
             for batch in np.array_split(order, max(1, len(order) // 256)):
                 step += 1
-                both, chance = self._positions(x[:, batch])
+                x, own = pieces.laid_out(batch)
+                both, chance = self._positions(x)
                 chance[:, label[batch], np.arange(len(batch))] -= 1
-                chance *= (np.arange(PIECE)[:, None, None] < size[None, None, batch]) / np.float32(size[batch].sum())
+                chance *= own[:, None, :] / np.float32(own.sum())
                 pull = np.matmul(self.out.T, chance)
-                ahead = self.ahead.gradients(x[:, batch], pull[:, :HIDDEN])
-                behind = self.behind.gradients(x[::-1, batch], pull[::-1, HIDDEN:])
+                ahead = self.ahead.gradients(x, pull[:, :HIDDEN])
+                behind = self.behind.gradients(x[::-1], pull[::-1, HIDDEN:])
                 last = [np.einsum("tlb,thb->lh", chance, both), chance.sum((0, 2))[:, None]]
                 for w, g, (m, v) in zip(weights, (*ahead, *behind, *last), moments):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
+    def numbers(self) -> bytes:
+        """All weights, for another network of the same languages to take."""
+        return b"".join(w.astype(np.float32).tobytes() for w in self._weights())
+
+    def take(self, numbers: bytes) -> None:
+        values, at = np.frombuffer(numbers, np.float32), 0
+        for w in self._weights():
+            w[...] = values[at: at + w.size].reshape(w.shape)
+            at += w.size
+
+    def _weights(self) -> list[np.ndarray]:
+        return [self.ahead.byte, self.ahead.back, self.behind.byte, self.behind.back, self.out, self.bias]
+
 
 def train(texts: list[str], languages: list[str], seed: int = 0) -> Network:
-    """A network on at most TRAIN_PIECES pieces of each text, drawn from all of it."""
-    rng = np.random.default_rng(seed)
+    """A network on all pieces of the texts."""
     names = sorted(set(languages))
     network = Network(names, seed)
     raw = [t.encode() for t in texts]
     data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    x, size, text = pieces_of(data, offsets)
-    rank = np.lexsort((rng.random(len(text)), text))
-    place = np.arange(len(text)) - np.searchsorted(text, text)
-    use = rank[place < TRAIN_PIECES]
-    label = np.array([names.index(k) for k in languages], int)[text[use]]
-    if len(names) > 1 and len(use):
-        network.fit(x[:, use], size[use], label)
+    pieces = Pieces(data, offsets)
+    if len(names) > 1 and len(pieces.text):
+        network.fit(pieces, np.array([names.index(k) for k in languages], int)[pieces.text])
     return network
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """Train on the first ``rows`` texts of each language by a hash of the id, with a text and a language."""
-    known = docs.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "text", "lang")
-    order = "row_number() over (partition by lang order by md5(cast(doc_id as string)), doc_id)"
-    sample = known.withColumn("place", F.expr(order)).where(F.col("place") <= rows).select("place", "text", "lang")
-    got = sorted(sample.collect(), key=lambda r: (r["lang"], r["place"]))
-    return train([r["text"] for r in got], [r["lang"] for r in got])
+    """Train on the first ``rows`` texts of each language by a hash of id and text, with a letter and a language.
+
+    Ids and hashes are ranked, and only the texts chosen are moved: to one task, which reads
+    them whole, holds their bytes, and sends back the weights.  Equal rows count once.
+    """
+    named = docs.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "lang", "text", text_key(F.col("text")).alias("text_key"))
+    order = "row_number() over (partition by lang order by md5(concat(coalesce(cast(doc_id as string), ''), text_key)))"
+    chosen = named.select("doc_id", "lang", "text_key").distinct().withColumn("place", F.expr(order)).where(F.col("place") <= rows)
+    chosen = chosen.select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"), F.col("text_key").alias("c_key"))
+    same = named["doc_id"].eqNullSafe(chosen["c_id"]) & (named["lang"] == chosen["c_lang"]) & (named["text_key"] == chosen["c_key"])
+    sample = named.join(chosen, same).dropDuplicates(["doc_id", "lang", "text_key"]).select("doc_id", "lang", "text_key", "text")
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["lang"], r["text_key"], r["doc_id"] or 0))
+        network = train([r["text"] for r in got], [r["lang"] for r in got])
+        yield pa.record_batch([pa.array([network.languages], pa.list_(pa.string())), pa.array([network.numbers()], pa.binary())], names=["languages", "numbers"])
+
+    got = sample.repartition(1).mapInArrow(trained, "languages array<string>, numbers binary").first()
+    network = Network(list(got["languages"]) if got else [])
+    if got:
+        network.take(got["numbers"])
+    return network
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:

@@ -222,7 +222,9 @@ def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
 
     Every set is ordered by how rare its shingles are.  Two sets that overlap enough share
     a shingle among the first of both, and at the first one they share, what follows in
-    the shorter rest still suffices; both are exact bounds.
+    the shorter rest still suffices; both are exact bounds.  Members that are one already
+    need no pair: per shingle only those outside its most frequent label meet the others,
+    so one stray member of a bucket of many copies costs a row per copy.
     """
     shingles = stored(rest.mapInArrow(_shingles, "doc_id long, label long, n long, shingle long").distinct(), "near-shingles")
     often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
@@ -230,12 +232,17 @@ def _prefix_pairs(rest: DataFrame, percent: int) -> DataFrame:
         "place", F.expr("row_number() over (partition by doc_id, n order by coalesce(often, 1), shingle) - 1"))
     need = lambda n, parts: F.ceil(n * percent / F.lit(parts))
     first = stored(ordered.where(F.col("often").isNotNull() & (F.col("place") <= F.col("n") - need(F.col("n"), 100))), "near-prefixes")
-    one, two = (first.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "label", "n", "place")]) for s in ("a", "b"))
+    counted = first.groupBy("shingle", "label").agg(F.count("*").alias("rows")).groupBy("shingle").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("shingle", "most")
+    counted = stored(counted, "near-most")
+    strays = stored(first.join(counted, "shingle").where("label <> most").drop("most"), "near-strays")
+    one, two = (x.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "label", "n", "place")]) for s, x in (("a", strays), ("b", first)))
     after = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
-    may = (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("label_a") != F.col("label_b")) & (
+    may = (F.col("label_a") != F.col("label_b")) & (
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (
         after >= need(F.col("n_a") + F.col("n_b"), 100 + percent))
-    return one.join(two, "shingle").where(may).select(F.col("doc_id_a").alias("low"), F.col("doc_id_b").alias("high")).distinct()
+    return one.join(two, "shingle").where(may).select(
+        F.least("doc_id_a", "doc_id_b").alias("low"), F.greatest("doc_id_a", "doc_id_b").alias("high")).distinct()
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -61,10 +61,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without doc_id are neither learned from nor held out."""
     docs = _table(spark, folder, "documents")
     held_out = toxicity.remainder(F.col("doc_id"), 4) == 2
     found = language.identify(docs, language.fit(docs.where(~held_out)))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,10 +74,11 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without doc_id are neither learned from nor held out."""
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     held_out = toxicity.remainder(F.col("doc_id"), 3) == 1
     found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs.where(~held_out), labels))
-    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"),
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
                         (F.col("toxicity") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 

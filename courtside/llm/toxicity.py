@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import received, sent
+from .common import received, sent, text_key
 from .hashing import Poly, mixed, slices
 
 SIZES = (3, 4, 5)
@@ -29,12 +29,8 @@ ROWS_BITS, WIDTH = 16, 8
 SEGMENT = 16
 #: A text that scores as much is rejected.
 REJECT = 0.7
-#: Labelled rows that a model is trained on at most: toxic ones and others.
+#: Labelled rows that a model is trained on at most: toxic ones and others; they are read whole.
 TRAIN_ROWS = (1500, 4500)
-#: Segments that a training text without toxic label gives at most; toxic texts give all, scores read whole texts.
-CLEAN_PIECES = 24
-#: Segments that an epoch sees at most.
-EPOCH_SEGMENTS = 24_000
 
 #: The logit of a segment without n-grams: nothing there is toxic.
 NOTHING = -1e6
@@ -132,14 +128,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.highest(data, offsets) + self.shift, -60, 60)))
 
 
-def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int = 5, rate: float = 0.05, decay: float = 0.02,
-          segments: int = EPOCH_SEGMENTS, pieces_clean: int = CLEAN_PIECES, seed: int = 0) -> Model:
+def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int = 2, rate: float = 0.05, decay: float = 0.02, seed: int = 0) -> Model:
     """Embeddings and softmax by Adam over segments, then the line on the texts' highest logits.
 
-    A toxic text gives all its segments, any other ``pieces_clean`` at most.  A segment bears its text's label; from the second epoch on, only the most toxic quarter
-    of a toxic text's segments does, so that clean passages of toxic texts do not mislead.
-    An epoch sees at most ``segments`` of them, drawn anew.  Rows that are seen decay, so
-    n-grams without a bearing stay near zero.
+    An epoch sees all segments.  A segment bears its text's label; from the second epoch on,
+    only the most toxic quarter of a toxic text's segments does, so that clean passages of
+    toxic texts do not mislead.  Rows that are seen decay, so n-grams without a bearing stay
+    near zero.
     """
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels)
@@ -150,8 +145,6 @@ def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int =
     for doc, text in enumerate(texts):
         words = text.split()
         cuts = np.arange(0, max(1, len(words)), SEGMENT)
-        if labels[doc] != 1 and len(cuts) > pieces_clean:
-            cuts = np.sort(rng.choice(cuts, pieces_clean, replace=False))
         for at in cuts:
             pieces.append(" ".join(words[at: at + SEGMENT]).encode())
             of_doc.append(doc)
@@ -185,7 +178,7 @@ def train(texts: list[str], labels: list[int], share: float = 0.3, epochs: int =
             place = np.empty(len(text), np.int64)
             place[rank] = np.arange(len(text)) - np.searchsorted(text[rank], text[rank])
             use |= toxic & (place < np.maximum(1, np.bincount(text)[text] // 4))
-        chosen = rng.permutation(np.flatnonzero(use))[:segments]
+        chosen = rng.permutation(np.flatnonzero(use))
         for batch in np.array_split(chosen, max(1, len(chosen) // 256)):
             step += 1
             many = (starts[batch + 1] - starts[batch])
@@ -228,13 +221,11 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS, pieces_clean: int = CLEAN_PIECES,
-        segments: int = EPOCH_SEGMENTS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS) -> Model:
     """Train on at most ``rows`` toxic and other documents, the first of ``docs`` by a hash of the id.
 
-    ``labels`` has doc_id and toxic.  Toxic documents are read whole, others give at most
-    ``pieces_clean`` segments, and an epoch sees at most ``segments``.  The rows are bounded,
-    so one task trains on them.
+    ``labels`` has doc_id and toxic.  The rows are bounded and read whole, so one task trains
+    on them; of an id that repeats the text with the smallest hash counts.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic"))
     # only labels of documents that may be learned from count towards the bound
@@ -242,12 +233,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = TRAIN_ROWS,
     order = F.md5(F.col("l_id").cast("string"))
     picked = known.where("toxic = 1").orderBy(order).limit(rows[0]).unionAll(known.where("toxic = 0").orderBy(order).limit(rows[1]))
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic")
-    # ids that repeat would exceed the bound
-    sample = sample.dropDuplicates(["doc_id"]).limit(sum(rows))
+    # of an id that repeats, each task sends on one row at most
+    first = Window.partitionBy("doc_id").orderBy(text_key(F.col("text")))
+    sample = sample.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
-        model = train([r["text"] or "" for r in got], [r["toxic"] for r in got], segments=segments, pieces_clean=pieces_clean)
+        model = train([r["text"] or "" for r in got], [r["toxic"] for r in got])
         # numbers only: the class would bring its module's tables along
         yield pa.record_batch([pa.array([model.value.tobytes()], pa.binary()), *[pa.array([x]) for x in (model.bias, model.slope, model.shift)]],
                               names=["value", "bias", "slope", "shift"])

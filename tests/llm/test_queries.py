@@ -178,6 +178,41 @@ def test_mixing_rows_without_or_with_one_id(spark):
     assert stage(spark, frame.limit(0), FOLDER).count() == 0
 
 
+def test_a_stray_in_a_bucket_of_copies_costs_a_row_per_copy(spark, tmp_path):
+    """Members of one label share all shingles, a stray shares some: only its pairs are made."""
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 60, 50)
+    rows = [(i, 1, common.astype(np.int64).tobytes()) for i in range(400)]
+    rows += [(900, 900, np.append(common[:45], rng.integers(0, 1 << 60, 5)).astype(np.int64).tobytes())]
+    frame = spark.createDataFrame(rows, "doc_id long, label long, shingles binary")
+    pairs = near_dedup._prefix_pairs(frame, 80)
+    got = {(r.low, r.high) for r in pairs.collect()}
+    assert got == {(i, 900) for i in range(400)}
+    made = [n for n in [pairs.count()] if n <= 400]
+    assert made
+    alone = near_dedup._prefix_pairs(frame.where("label = 1"), 80)
+    assert alone.count() == 0
+
+
+def test_language_and_toxicity_of_odd_rows(spark):
+    """Null and repeated ids, very long texts, clashing columns: reruns agree, every row is judged."""
+    words = {"aa": "ba du ki lo".split(), "bb": "xe zi qy wu".split()}
+    text = lambda lang, n, seed: " ".join(random.Random(seed).choice(words[lang]) for _ in range(n))
+    rows = [(i % 20 if i % 3 else None, text("ab"[i % 2] * 2, 10 + i, i), "ab"[i % 2] * 2) for i in range(60)]
+    rows += [(77, text("bb", 100_000, 1), "bb"), (78, None, "aa"), (79, "", None), (None, "12 34", "bb"), (80, text("aa", 30, 5), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("place", "letters", "text_key", "score", "lang_pred", "toxic", "l_id")})
+    judged = []
+    for part in (frame.repartition(2), frame.repartition(5, "text")):
+        found = language.identify(part, language.fit(part))
+        judged.append(sorted(map(str, ((r.doc_id, r.lang_pred, round(r.score, 6)) for r in found.collect()))))
+    assert judged[0] == judged[1] and len(judged[0]) == len(rows)
+    assert "(77, 'bb'" in str(judged[0]) and "(80, 'aa'" in str(judged[0])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(20)] + [(None, 1), (3, 1)], "doc_id long, toxic int")
+    scores = [sorted(round(r.toxicity, 6) for r in toxicity.score(part, toxicity.fit(part, labels)).collect())
+              for part in (frame.repartition(2), frame.repartition(5, "text"))]
+    assert scores[0] == scores[1] and len(scores[0]) == len(rows)
+
+
 def test_exact_dedup(spark, docs, corpus, empty):
     got = by_id(exact_dedup.copy_groups(docs), "keep_id", "group_size", "kept", "text_sha256")
     assert got == brute.copies([r[:2] for r in corpus])
