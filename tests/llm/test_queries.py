@@ -188,8 +188,7 @@ def test_a_stray_in_a_bucket_of_copies_costs_a_row_per_copy(spark, tmp_path):
     pairs = near_dedup._prefix_pairs(frame, 80)
     got = {(r.low, r.high) for r in pairs.collect()}
     assert got == {(i, 900) for i in range(400)}
-    made = [n for n in [pairs.count()] if n <= 400]
-    assert made
+    assert pairs.count() == 400
     alone = near_dedup._prefix_pairs(frame.where("label = 1"), 80)
     assert alone.count() == 0
 
@@ -206,7 +205,7 @@ def test_language_and_toxicity_of_odd_rows(spark):
         found = language.identify(part, language.fit(part))
         judged.append(sorted(map(str, ((r.doc_id, r.lang_pred, round(r.score, 6)) for r in found.collect()))))
     assert judged[0] == judged[1] and len(judged[0]) == len(rows)
-    assert "(77, 'bb'" in str(judged[0]) and "(80, 'aa'" in str(judged[0])
+    assert all(any(row.startswith(known) for row in judged[0]) for known in ("(77, 'bb'", "(80, 'aa'", "(78, 'und'", "(79, 'und'"))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(20)] + [(None, 1), (3, 1)], "doc_id long, toxic int")
     scores = [sorted(round(r.toxicity, 6) for r in toxicity.score(part, toxicity.fit(part, labels)).collect())
               for part in (frame.repartition(2), frame.repartition(5, "text"))]
