@@ -124,8 +124,13 @@ class Network:
         return sums / np.maximum(np.diff(offsets), 1)[:, None]
 
     def fit(self, pieces: Pieces, label: np.ndarray, epochs: int = 3, rate: float = 0.02, seed: int = 0) -> None:
-        """Go ``epochs`` times through all pieces; ``label`` has the language of each."""
+        """Go ``epochs`` times through all pieces; ``label`` has the language of each.
+
+        Languages weigh the same whatever their bytes, so one very long text does not outvote the others.
+        """
         rng = np.random.default_rng(seed)
+        held = np.bincount(label, pieces.size, len(self.languages))
+        weigh = (held.sum() / np.maximum(held, 1) / max(1, (held > 0).sum())).astype(np.float32)[label]
         weights = [self.ahead.byte, self.ahead.back, self.behind.byte, self.behind.back, self.out, self.bias]
         moments, step = [(np.zeros_like(w), np.zeros_like(w)) for w in weights], 0
         for _ in range(epochs):
@@ -135,7 +140,7 @@ class Network:
                 x, own = pieces.laid_out(batch)
                 both, chance = self._positions(x)
                 chance[:, label[batch], np.arange(len(batch))] -= 1
-                chance *= own[:, None, :] / np.float32(own.sum())
+                chance *= own[:, None, :] * weigh[batch] / np.float32(own.sum())
                 pull = np.matmul(self.out.T, chance)
                 ahead = self.ahead.gradients(x, pull[:, :HIDDEN])
                 behind = self.behind.gradients(x[::-1], pull[::-1, HIDDEN:])

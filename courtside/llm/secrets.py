@@ -72,10 +72,11 @@ def find_secrets(docs: DataFrame, scope: int = 200) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text_key(text).alias("text_key"), text.alias("text"))
-    found = rows.select("doc_id", "text_key", F.concat(*[_matches(F.col("text"), i) for i in range(len(KINDS))]).alias("found"))
-    # each document has a row of its own besides its spans; one shuffle serves all windows
+    # each document has a row of its own besides its matches, whether they hold or not; one shuffle serves all windows
+    own = F.array(F.lit(None).cast("struct<kind:int,at:int,step:int,value:string,holds:boolean>"))
+    found = rows.select("doc_id", "text_key", F.concat(own, *[_matches(F.col("text"), i) for i in range(len(KINDS))]).alias("found"))
     one = ["doc_id", "text_key"]
-    flat = found.select(*one, F.explode_outer("found").alias("m")).select(*one, "m.*").dropDuplicates([*one, "kind", "at"]).repartition(*one)
+    flat = found.select(*one, F.explode("found").alias("m")).select(*one, "m.*").distinct().repartition(*one)
     behind = Window.partitionBy(*one, "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     flat = flat.withColumn("end", F.sum("step").over(behind).cast("int")).where("holds or kind is null")
     flat = flat.select(*one, "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
