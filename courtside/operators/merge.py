@@ -8,9 +8,10 @@ given at the end, by ``assign_ids``.
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.games import team_ids_for_side, winner
@@ -370,6 +371,20 @@ def remove_dnp(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stats.filter(~is_dnp(stats)), stats.filter(is_dnp(stats))
 
 
+def remove_dnp_and_resolve(stats: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(kept lines, removed lines, queue): players who did not play go, and what stays open is resolved again.
+
+    Only kept lines without a player are resolved, so lines with one are passed on as they
+    are; the queue is rebuilt from what is still open, a row per line, with reason and number of candidates.
+    """
+    kept, removed = remove_dnp(stats)
+    decided = resolve_players(kept.filter("player_id IS NULL"), records)
+    found = kept.filter("player_id IS NOT NULL").unionByName(decided.select(*stats.columns))
+    queue = decided.filter("player_id IS NULL").select(
+        *[c for c in ("game_id", "season_id", "team_id", "player_name_raw", "jersey_number", "source_url") if c in stats.columns], "reason", "candidates")
+    return found, removed, queue
+
+
 TEAM_ONLY_ERROR = "empty_boxscore_template"
 
 
@@ -400,3 +415,33 @@ def run_log(job: str, target: str, merged: DataFrame, failed: DataFrame) -> Data
         F.lit(job).alias("job"), F.lit(target).alias("target"), status.alias("status"),
         "items_found", "items_inserted", "items_updated", "items_failed",
     )
+
+
+# --- history of runs ------------------------------------------------------------------------------
+
+RUN = ("run_id bigint, job string, target string, started_at timestamp, finished_at timestamp, status string,"
+       " items_found bigint, items_inserted bigint, items_updated bigint, items_failed bigint")
+
+
+def _write_run(run: DataFrame, folder: str) -> None:
+    """The row of one run in a folder of its own: written again, it replaces itself and no other run."""
+    run.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(folder)
+
+
+def start_run(spark: SparkSession, folder: str, run_id: int, job: str, target: str, started_at: datetime) -> None:
+    """Note that a run began: status ``running``, no counters."""
+    _write_run(spark.createDataFrame([(run_id, job, target, started_at, None, "running", None, None, None, None)], RUN), folder)
+
+
+def finish_run(spark: SparkSession, folder: str, run_id: int, merged: DataFrame, failed: DataFrame, finished_at: datetime) -> None:
+    """Replace the row of a started run by its counters and status; a repeated call changes nothing else."""
+    begun = read_runs(spark, folder).filter(F.col("run_id") == run_id).first()
+    if begun is None:
+        raise ValueError(f"run {run_id} was not started")
+    counted = run_log(begun["job"], begun["target"], merged, failed).withColumns({
+        "run_id": F.lit(run_id).cast("bigint"), "started_at": F.lit(begun["started_at"]).cast("timestamp"), "finished_at": F.lit(finished_at).cast("timestamp")})
+    _write_run(counted.select(*[c.split()[0] for c in RUN.split(", ")]), folder)
+
+
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(RUN.replace(", ", ",")).parquet(folder)

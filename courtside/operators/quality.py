@@ -46,24 +46,26 @@ def _rows(df: DataFrame, check: str) -> DataFrame:
 
 
 def check_player_team_seasons(stats: DataFrame, rollup: DataFrame) -> DataFrame:
-    """Counts for the player rollup, and 1/0 under ``ok``."""
+    """Counts for the player rollup, and 1/0 under ``ok``; lines and rollup are read once each.
+
+    Both sides are counted per key in one aggregate, and every check is a sum over its keys.
+    """
     keys = ["season_id", "team_id", "player_id"]
-    resolved = stats.dropna(subset=keys)
-    diff = key_diff(resolved, rollup, keys)
-    parts = [
-        _rows(resolved, "resolved_lines"),
-        _rows(resolved.select(*keys).distinct(), "expected_groups"),
-        _rows(rollup, "rollup_rows"),
-        _rows(duplicate_keys(rollup, keys), "duplicates"),
-        _rows(diff.filter("side = 'missing'"), "missing"),
-        _rows(diff.filter("side = 'extra'"), "extra"),
-        _rows(empty_required(rollup, keys), "empty_required"),
-    ]
-    report = reduce(DataFrame.unionByName, parts)
-    value = lambda check: F.max(F.when(F.col("check") == check, F.col("rows")))
-    clean = reduce(lambda a, b: a & b, [value(c) == 0 for c in ("duplicates", "missing", "extra", "empty_required")])
-    ok = report.agg((clean & (value("expected_groups") == value("rollup_rows"))).cast("bigint").alias("rows"))
-    return report.unionByName(ok.select(F.lit("ok").alias("check"), "rows"))
+    lines = stats.dropna(subset=keys).select(*keys, F.lit(1).alias("e"), F.lit(0).alias("a"))
+    both = lines.unionByName(rollup.select(*keys, F.lit(0).alias("e"), F.lit(1).alias("a")))
+    counts = both.groupBy(*keys).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    blank = reduce(lambda x, y: x | y, [blank_to_null(c).isNull() for c in keys])
+    expected, there = F.col("e") > 0, F.col("a") > 0
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    checks = {
+        "resolved_lines": number(F.sum("e")), "expected_groups": F.count_if(expected), "rollup_rows": number(F.sum("a")),
+        "duplicates": F.count_if(F.col("a") > 1), "missing": F.count_if(expected & ~there), "extra": F.count_if(there & ~expected),
+        "empty_required": number(F.sum(F.when(blank, F.col("a")))),
+    }
+    one = counts.agg(*[c.alias(name) for name, c in checks.items()])
+    clean = reduce(lambda x, y: x & y, [F.col(c) == 0 for c in ("duplicates", "missing", "extra", "empty_required")])
+    one = one.withColumn("ok", (clean & (F.col("expected_groups") == F.col("rollup_rows"))).cast("bigint"))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("rows")) for c in one.columns])))
 
 
 def check_standings(standings: DataFrame) -> DataFrame:
@@ -160,7 +162,7 @@ def team_only_games(player_stats: DataFrame, team_stats: DataFrame) -> DataFrame
 
 def incomplete_team_stats(games: DataFrame, player_stats: DataFrame, team_stats: DataFrame) -> DataFrame:
     """Games with player lines whose number of team lines is not two."""
-    played = player_stats.select("game_id").distinct()
+    played = player_stats.filter("game_id IS NOT NULL").select("game_id").distinct()
     lines = team_stats.groupBy("game_id").agg(F.count("*").alias("n"))
     counted = played.join(lines, "game_id", "left").select("game_id", F.coalesce("n", F.lit(0)).alias("team_stats_rows"))
     return counted.filter(F.col("team_stats_rows") != 2).join(

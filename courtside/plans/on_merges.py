@@ -4,6 +4,7 @@ ones; one season is in both, with changed values."""
 from pyspark.sql import functions as F
 
 from ..operators import merge, resolve, similar
+from ..session import cut_lineage, scratch_path
 from .bindings import add_view, sql
 from .on_quality import _failed, _player_lines, _team_lines
 from .on_resolution import REQUEST, SAME, _groups, _team_aliases
@@ -105,17 +106,21 @@ def _(t):
     return merge.merge_players(_supplier(t, VIEWS["b_stored_players"][1]), _supplier(t, VIEWS["b_run_players"][1]))
 
 
+# the stored table knows some teams under another slug, and its seasons end where the run's begin
+_SLUG = "case when home_team_id < 20 then 'time-' || cast(home_team_id as string) else 'equipe-' || cast(home_team_id as string) end"
+
+
 @query("merge_teams", sql("b_games",
        "SELECT h.id, coalesce(a.name, h.name) AS canonical_name, slug, coalesce(a.abbreviation, h.abbreviation) AS abbreviation, least(h.lo, a.lo) AS first_seen_season_id, greatest(h.hi, a.hi) AS last_seen_season_id,"
-       " CASE WHEN h.id IS NULL THEN 'inserted' ELSE 'updated' END AS change, cast(greatest(h.hi, a.hi) = (SELECT max(season_id) FROM b_games) AS bigint) AS is_active FROM"
-       " (SELECT home_team_id AS id, 'H' || cast(home_team_id as string) AS name, 'time-' || cast(home_team_id as string) AS slug, 'H' AS abbreviation, min(season_id) AS lo, max(season_id) AS hi FROM b_games WHERE season_id < 1998 AND home_team_id < 20 GROUP BY home_team_id) h"
-       " FULL JOIN (SELECT 'A' || cast(away_team_id as string) AS name, 'time-' || cast(away_team_id as string) AS slug, 'A' AS abbreviation, min(season_id) AS lo, max(season_id) AS hi FROM b_games WHERE season_id >= 1997 GROUP BY away_team_id) a USING (slug)"))
+       " CASE WHEN h.id IS NULL THEN 'inserted' WHEN a.slug IS NULL THEN 'unchanged' ELSE 'updated' END AS change, cast(greatest(h.hi, a.hi) = (SELECT max(season_id) FROM b_games) AS bigint) AS is_active FROM"
+       f" (SELECT home_team_id AS id, 'H' || cast(home_team_id as string) AS name, {_SLUG} AS slug, 'H' AS abbreviation, min(least(season_id, 1997)) AS lo, max(least(season_id, 1997)) AS hi FROM b_games GROUP BY home_team_id) h"
+       f" FULL JOIN (SELECT 'A' || cast(away_team_id as string) AS name, 'time-' || cast(away_team_id as string) AS slug, 'A' AS abbreviation, min(greatest(season_id, 1997)) AS lo, max(greatest(season_id, 1997)) AS hi FROM b_games GROUP BY away_team_id) a USING (slug)"))
 def _(t):
-    stored = t.games.filter("season_id < 1998 AND home_team_id < 20").groupBy(F.col("home_team_id").alias("id")).agg(
-        F.min("season_id").alias("first_seen_season_id"), F.max("season_id").alias("last_seen_season_id")
-    ).selectExpr("id", "'H' || id AS canonical_name", "'time-' || id AS slug", "'H' AS abbreviation", "first_seen_season_id", "last_seen_season_id", "0L AS is_active")
-    seen = t.games.filter("season_id >= 1997").selectExpr(
-        "season_id", "'time-' || away_team_id AS team_slug", "'A' || away_team_id AS season_display_name", "'A' AS abbreviation",
+    stored = t.games.withColumn("season", F.least("season_id", F.lit(1997))).groupBy("home_team_id").agg(
+        F.min("season").alias("first_seen_season_id"), F.max("season").alias("last_seen_season_id")
+    ).selectExpr("home_team_id AS id", "'H' || home_team_id AS canonical_name", f"{_SLUG} AS slug", "'H' AS abbreviation", "first_seen_season_id", "last_seen_season_id", "0L AS is_active")
+    seen = t.games.selectExpr(
+        "greatest(season_id, 1997) AS season_id", "'time-' || away_team_id AS team_slug", "'A' || away_team_id AS season_display_name", "'A' AS abbreviation",
         "cast(null AS string) AS logo_alt", "cast(null AS string) AS link_text", "cast(null AS string) AS logo_url", "cast(null AS string) AS team_url")
     return merge.merge_teams(stored, seen)
 
@@ -251,7 +256,7 @@ def _team_only(t):
     return merge.remove_team_only(_player_lines(t), _team_lines(t), t.games, queue)
 
 
-@query("remove_team_only", sql(("b_team_lines", "b_coverage"), "SELECT game_id, team_id FROM b_team_lines WHERE game_id IN (SELECT id FROM b_coverage WHERE player_rows > 0)"))
+@query("remove_team_only", sql(("b_team_lines", "b_coverage"), "SELECT game_id, team_id FROM b_team_lines WHERE game_id IS NULL OR game_id IN (SELECT id FROM b_coverage WHERE player_rows > 0)"))
 def _(t):
     return _team_only(t)[0]
 
@@ -273,6 +278,44 @@ def _(t):
     return merge.run_log("games", "games", merge.merge_games(_stored_games(t), _run_games(t), READ_ORDER), _failed(t))
 
 
+RUN_COUNTS = ("SELECT 1::bigint AS run_id, 'games' AS job, 'games' AS target, (SELECT cast(min(o_orderdate) AS date) FROM orders) AS started, (SELECT cast(max(o_orderdate) AS date) FROM orders) AS finished,"
+              " 'partial' AS status, count(*) AS items_found, count(*) FILTER (change = 'inserted') AS items_inserted, count(*) FILTER (change = 'updated') AS items_updated,"
+              " (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS items_failed FROM b_merged_games")
+
+
+@query("run_history", sql("b_merged_games", f"{RUN_COUNTS} UNION ALL SELECT 2, 'lines', 'lines', (SELECT cast(max(o_orderdate) AS date) FROM orders), NULL, 'running', NULL, NULL, NULL, NULL"))
+def _(t):
+    """A run that is started, finished and finished again, and one that is still open."""
+    dates = t.raw("orders").agg(F.min("o_orderdate").alias("lo"), F.max("o_orderdate").alias("hi")).first()
+    log = scratch_path(t.spark, "runs")
+    merged = cut_lineage(merge.merge_games(_stored_games(t), _run_games(t), READ_ORDER))
+    merge.start_run(t.spark, log, 1, "games", "games", dates["lo"])
+    for _ in range(2):
+        merge.finish_run(t.spark, log, 1, merged, _failed(t), dates["hi"])
+    merge.start_run(t.spark, log, 2, "lines", "lines", dates["hi"])
+    runs = merge.read_runs(t.spark, log)
+    return runs.select("run_id", "job", "target", F.to_date("started_at").alias("started"), F.to_date("finished_at").alias("finished"), "status",
+                       "items_found", "items_inserted", "items_updated", "items_failed")
+
+
+_PLAYED = "points % 10 <> 0"
+
+
+@query("remove_dnp_and_resolve", sql(("b_open_lines", "b_decided"),
+       f"SELECT 'removed' AS part, game_id, points * 0 AS points, player_name_raw, NULL::bigint AS player_id, NULL AS reason, NULL::bigint AS candidates FROM b_open_lines WHERE NOT ({_PLAYED})"
+       f" UNION ALL SELECT 'kept', l.game_id, l.points, l.player_name_raw, d.player_id, NULL, NULL FROM b_open_lines l JOIN b_decided d ON {SAME.format(a='l', b='d')} WHERE {_PLAYED}"
+       f" UNION ALL SELECT 'queued', l.game_id, NULL, l.player_name_raw, NULL, d.reason, d.candidates FROM b_open_lines l JOIN b_decided d ON {SAME.format(a='l', b='d')}"
+       f" WHERE {_PLAYED} AND d.player_id IS NULL"))
+def _(t):
+    zero = {c: F.expr(f"case when {_PLAYED} then points else 0 end") for c in (*merge_stats(), "minutes_decimal")}
+    kept, removed, queue = merge.remove_dnp_and_resolve(t.open_lines.withColumns(zero), t.records)
+    columns = ["part", "game_id", "points", "player_name_raw", "player_id", "reason", "candidates"]
+    none = {"reason": F.lit(None).cast("string"), "candidates": F.lit(None).cast("bigint")}
+    parts = [kept.withColumns(none | {"part": F.lit("kept")}), removed.withColumns(none | {"part": F.lit("removed")}),
+             queue.withColumns({"part": F.lit("queued"), "points": F.lit(None).cast("bigint"), "player_id": F.lit(None).cast("bigint")})]
+    return parts[0].select(columns).unionByName(parts[1].select(columns)).unionByName(parts[2].select(columns))
+
+
 # --- applied resolutions ---------------------------------------------------------------------------------------------
 
 add_view("b_applied", ("b_groups", "b_seat", "b_fit", "b_records"),

@@ -1,3 +1,4 @@
+import os
 from datetime import date
 
 import pytest
@@ -122,3 +123,77 @@ def test_reading(spark, stats, games, teams):
     assert {r.game_id for r in h2h.collect()} == {2}
     same_team = stats.unionByName(stats.filter("player_id = 7 AND game_id = 2").withColumn("player_id", F.lit(8)))
     assert query.head_to_head(same_team, games, 7, 8).isEmpty()
+
+
+def test_lines_are_scanned_once_per_rollup(spark):
+    """The rollups read the fact table once, records twice, the rollup's check once per side."""
+    from courtside.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    scans = lambda name: registry.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+    assert {n: scans(n) for n in ("player_team_seasons", "player_seasons", "player_career_totals", "player_records", "check_player_team_seasons")} == {
+        "player_team_seasons": 1, "player_seasons": 1, "player_career_totals": 1, "player_records": 2, "check_player_team_seasons": 2}
+
+
+def test_nameless_players_get_their_most_frequent_name(spark):
+    from courtside.constants import MINUTES, STAT_INPUTS
+
+    rows = [(g, 1, 1, 9, name) for g, name in ((1, "B"), (1, "A"), (2, "B"), (3, "A"), (4, None))] + [(5, 1, 1, 8, "other")]
+    stats = spark.createDataFrame(rows, "game_id long, season_id long, team_id long, player_id long, player_name_raw string").withColumns(
+        {c: F.lit(1) for c in (*STAT_INPUTS, MINUTES)} | {"is_starter": F.lit("1")})
+    players = spark.createDataFrame([(9, None, " "), (8, "Known", None)], "id long, full_name string, display_name string")
+    teams = spark.createDataFrame([(1, "T")], "id long, canonical_name string")
+    seasons = spark.createDataFrame([(1, "S")], "id long, name string")
+    got = {r.player_id: (r.player_name, r.games_played, r.games_started, r.points_total) for r in rollups.player_team_seasons(stats, players, teams, seasons).collect()}
+    assert got == {9: ("A", 4, 5, 5), 8: ("Known", 1, 1, 1)}
+
+
+def test_a_repeated_run_replaces_its_row(spark, tmp_path):
+    from datetime import datetime
+
+    from courtside.operators import merge
+
+    log = str(tmp_path / "runs")
+    change = spark.createDataFrame([("inserted",), ("updated",), ("unchanged",)], "change string")
+    failed = spark.createDataFrame([(1,)], "game_id long")
+    merge.start_run(spark, log, 7, "games", "games", datetime(2020, 1, 1))
+    merge.start_run(spark, log, 8, "lines", "lines", datetime(2020, 1, 2))
+    for _ in range(2):
+        merge.finish_run(spark, log, 7, change, failed, datetime(2020, 1, 3))
+    got = {r.run_id: (r.status, r.started_at, r.finished_at, r.items_found, r.items_failed) for r in merge.read_runs(spark, log).collect()}
+    assert got == {7: ("partial", datetime(2020, 1, 1), datetime(2020, 1, 3), 3, 1), 8: ("running", datetime(2020, 1, 2), None, None, None)}
+    with pytest.raises(ValueError):
+        merge.finish_run(spark, log, 9, change, failed, datetime(2020, 1, 3))
+
+
+def test_review_lists_what_a_plain_search_lists(spark):
+    """The threshold join against every pair of group and record, with names, blanks and ties of all kinds."""
+    import random
+
+    from courtside.operators import similar
+
+    rng = random.Random(2)
+    names = ["joao silva", "joão da silva", "silva", "maria souza", "mario sousa", "ze", "ana", "carlos alberto lima", "c lima", "xyzw"]
+    pick = lambda values: rng.choice(values)
+    request = lambda: (pick([1, 2]), pick([1, 2, None]), pick(names + [" "]), pick(["4", "5", None]))
+    groups = spark.createDataFrame(sorted({request() for _ in range(60)}, key=repr), "season_id long, team_id long, player_name_raw string, jersey_number string")
+    records = spark.createDataFrame([(i, pick(names), pick([1, 2, None]), pick([1, 2, None]), pick(["4", "5", "6", None]), "s") for i in range(80)],
+                                    "player_id long, name string, season_id long, team_id long, jersey_number string, source string")
+    got = {}
+    for r in similar.top_candidates(groups, records).collect():
+        got.setdefault((r.season_id, r.team_id, r.player_name_raw, r.jersey_number), []).append((r.player_id, r.score and round(r.score, 6)))
+    pairs = groups.select(*[F.col(c).alias(f"q_{c}") for c in groups.columns]).join(records, F.lit(True))
+    alike = similar.review_similarity(similar.norm_name("q_player_name_raw"), similar.norm_name("name"))
+    want = {tuple(r): [] for r in groups.collect()}
+    weights = similar.REVIEW_WEIGHTS
+    for r in pairs.withColumn("alike", F.coalesce(alike, F.lit(0.0))).collect():
+        score = r.alike * 100 + sum(weights[f][0] if r[f] == r[f"q_{f}"] else weights[f][1] for f in weights if r[f] is not None)
+        if score >= 65:
+            want[r.q_season_id, r.q_team_id, r.q_player_name_raw, r.q_jersey_number].append((-round(score, 6), r.player_id))
+    assert got.keys() == want.keys()
+    for key, listed in want.items():
+        best = [-s for s, _ in sorted(listed)[:8]]
+        assert sorted((s for _, s in got[key] if s is not None), reverse=True) == best, key
+        assert {(p, s) for p, s in got[key] if s is not None} <= {(p, -s) for s, p in listed}
