@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.games import team_ids_for_side, winner
 from ..functions.text import blank_to_null, clean_text, identity_key, iso_date, slugify
+from ..session import cut_lineage
 from .extract import is_dnp
 from .positions import with_surrogate_id
 from .quality import team_only_games
@@ -96,6 +98,43 @@ def upsert(current: DataFrame, incoming: DataFrame, key, order: list, keep_old_i
     return joined.select(*ids, *[merged(c).alias(c) for c in fields], change.alias("change"))
 
 
+def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, key, order: list, partition: str = "season_id",
+                      moves: bool = True, **options) -> DataFrame:
+    """Upsert into a Parquet table partitioned by one column; only partitions that the run touches are rewritten.
+
+    Touched are the partitions of ``incoming`` and, where a row may move to another partition
+    (``moves``), those in which its key is stored; they are found from the key columns alone.
+    The partition list, not the rows, passes through the driver.  Files of other partitions keep their
+    names.  Returns the merged rows of the touched partitions with ``change``, read from the scratch
+    folder; a job that fails before these are complete leaves the table as it was.
+    """
+    stored = spark.read.parquet(path)
+    kind = stored.schema[partition].dataType
+    incoming = cut_lineage(incoming.withColumn(partition, F.col(partition).cast(kind)), "incoming")
+    touched = incoming.select(partition).distinct()
+    if moves:
+        keys = incoming.select(_key_or_null(key(incoming)).alias("__key")).dropna().distinct()
+        found = stored.withColumn("__key", _key_or_null(key(stored))).join(keys, "__key", "left_semi")
+        touched = touched.union(found.select(partition)).distinct()
+    values = [row[0] for row in touched.collect()]
+    named = F.col(partition).isin([v for v in values if v is not None])
+    wanted = (named | F.col(partition).isNull()) if None in values else named
+    merged = cut_lineage(upsert(stored.filter(wanted), incoming, key, order, **options), "merged")
+    left = [row[0] for row in merged.select(partition).distinct().collect()]
+    merged.drop("change").select(*stored.columns).repartition(partition, F.xxhash64(*stored.columns) % 8).write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    _drop_partitions(spark, path, partition, [v for v in values if v not in left])
+    return merged
+
+
+def _drop_partitions(spark: SparkSession, path: str, partition: str, values: list) -> None:
+    """Delete the folders of partitions that have no rows any more (writing replaces only those that have)."""
+    for value in values:
+        name = "__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=" .-_")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition}={name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def change_counts(merged: DataFrame) -> DataFrame:
     return merged.groupBy("change").agg(F.count("*").alias("rows"))
 
@@ -295,23 +334,62 @@ def resolution_alias_key(df: DataFrame) -> list[Column]:
             blank_to_null("jersey_number")]
 
 
-def new_aliases(existing: DataFrame, incoming: DataFrame, key) -> DataFrame:
-    """Incoming aliases whose key is not there yet, each key once (the smallest row)."""
+def new_aliases(existing: DataFrame, incoming: DataFrame, key, order: tuple[str, ...] = ()) -> DataFrame:
+    """Incoming aliases whose key is not there yet, each key once.
+
+    The first row by ``order`` counts, as the first writer would; without it, or where
+    rows agree in it, the smallest row.
+    """
     fields = [c for c in existing.columns if c != "id"]
-    rows = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).alias(c) for c in fields]) \
+    rows = incoming.select(*[F.col(c) if c in incoming.columns else F.lit(None).alias(c) for c in fields],
+                           *[c for c in order if c not in fields]) \
         .withColumn("alias", clean_text("alias")).filter("alias IS NOT NULL")
-    single = rows.groupBy(_key(key(rows)).alias("__key")).agg(F.min(F.struct(*fields)).alias("r")).select("__key", "r.*")
+    row = F.struct(*fields)
+    single = rows.groupBy(_key(key(rows)).alias("__key")).agg(F.min_by(row, F.struct(*order, row)).alias("r")).select("__key", "r.*")
     return single.join(existing.select(_key(key(existing)).alias("__key")), "__key", "left_anti").drop("__key")
 
 
-def add_aliases(existing: DataFrame, incoming: DataFrame, key) -> DataFrame:
+def add_aliases(existing: DataFrame, incoming: DataFrame, key, order: tuple[str, ...] = ()) -> DataFrame:
     """Insert if absent; new rows carry no id until ``assign_ids``."""
-    fresh = new_aliases(existing, incoming, key)
+    fresh = new_aliases(existing, incoming, key, order)
     return existing.withColumn("change", F.lit("unchanged")).unionByName(
         fresh.withColumn("change", F.lit("inserted")), allowMissingColumns=True
     )
 
 
+def profile_aliases(profiles: DataFrame) -> DataFrame:
+    """Names on profile pages by ``player_slug``, valid in any season: the full name is the primary one."""
+    none = lambda kind: F.lit(None).cast(kind)
+    names = [F.struct(F.col(c).alias("alias"), F.lit(c).alias("alias_type"), F.lit(int(c == "full_name")).cast("bigint").alias("is_primary"))
+             for c in ("full_name", "display_name") if c in profiles.columns]
+    return profiles.select("player_slug", F.inline(F.array(*names))).select(
+        "player_slug", none("bigint").alias("season_id"), "alias", "alias_type", none("string").alias("jersey_number"),
+        none("string").alias("team_name_raw"), F.lit("player_profile").alias("source"), "is_primary", none("bigint").alias("position"))
+
+
+def observation_aliases(links: DataFrame) -> DataFrame:
+    """Names under which statistics pages list a player, each with its season, jersey and raw team."""
+    return links.select(
+        "player_slug", F.col("season_id").cast("bigint").alias("season_id"), F.col("display_name").alias("alias"),
+        F.lit("stats_display_name").alias("alias_type"), "jersey_number", "team_name_raw", F.lit("season_stats_efficiency").alias("source"),
+        F.lit(0).cast("bigint").alias("is_primary"), F.col("position").cast("bigint").alias("position"))
+
+
+def add_player_names(existing: DataFrame, players: DataFrame, profiles: DataFrame, links: DataFrame) -> DataFrame:
+    """Aliases of stored players (``id``, ``slug``) from profiles and link observations, inserted if absent.
+
+    Of the names with one key (player, season, name, type, jersey, team) the one read first stays,
+    by ``position``.  Blank names, and slugs that no stored player has, give no row.
+    """
+    names = profile_aliases(profiles).unionByName(observation_aliases(links))
+    owners = players.select(F.col("id").alias("player_id"), F.col("slug").alias("player_slug")).dropna()
+    return add_aliases(existing, names.join(owners, "player_slug").drop("player_slug"), player_alias_key, ("position",))
+
+
+#: Order in which new player aliases get their ids.
+PLAYER_ALIAS_ORDER = ["player_id", "season_id", "alias_type", "alias", "jersey_number", "team_name_raw"]
+
+
 # --- queues ---------------------------------------------------------------------------------------
 
 
@@ -341,6 +419,11 @@ def select_suggestions(suggestions: DataFrame, auto: bool = True, reviewed: bool
     return suggestions.filter(wanted & F.col("suggested_player_id").isNotNull())
 
 
+#: Type and source of aliases that come from decided suggestions.
+AUTOMATIC = ("boxscore_manual_auto", "player_resolution_suggestions")
+REVIEWED = ("boxscore_manual_review", "player_manual_review_candidates")
+
+
 def resolution_aliases(selected: DataFrame, alias_type: str, source: str) -> DataFrame:
     return selected.select(
         F.col("suggested_player_id").alias("player_id"), clean_text("player_name_raw").alias("alias"),
@@ -351,15 +434,13 @@ def resolution_aliases(selected: DataFrame, alias_type: str, source: str) -> Dat
 
 
 def apply_resolutions(stats: DataFrame, selected: DataFrame, players: DataFrame, aliases: DataFrame,
-                      team_aliases: DataFrame | None = None) -> DataFrame:
+                      team_aliases: DataFrame | None = None, decided_by: tuple[str, str] = AUTOMATIC) -> DataFrame:
     """Turn decided suggestions into aliases and resolve the open lines again.
 
     Lines that have a player are not touched; the rest stay open with the reason.
+    ``decided_by`` is the type and source of the new aliases.
     """
-    extended = add_aliases(
-        aliases, resolution_aliases(selected, "boxscore_manual_auto", "player_resolution_suggestions"),
-        resolution_alias_key,
-    ).drop("change")
+    extended = add_aliases(aliases, resolution_aliases(selected, *decided_by), resolution_alias_key).drop("change")
     records = name_records(players, extended, team_aliases)
     done = stats.filter("player_id IS NOT NULL").withColumn("reason", F.lit(None).cast("string"))
     open_ = resolve_players(stats.filter("player_id IS NULL"), records)

@@ -262,6 +262,9 @@ def players_current_team(players: DataFrame, player_seasons: DataFrame, teams: D
         F.col("player_id").alias("id"), F.col("primary_team_id").alias("current_team_id")
     )
     named = team_names(teams).toDF("current_team_id", "current_team_name")
+    if "logo_url" in teams.columns:
+        logos = teams.select(F.col("id").alias("current_team_id"), F.col("logo_url").alias("current_team_logo_url"))
+        named = named.join(logos, "current_team_id")
     return players.join(now, "id", how).join(named, "current_team_id", how)
 
 

@@ -68,6 +68,15 @@ def _(t):
         "id", "full_name", "slug", "current_team_id", "current_team_name")
 
 
+@query("player_details", sql(("b_players", "b_ps", "b_teams"),
+       "SELECT p.id, p.slug, s.primary_team_id AS current_team_id, t.canonical_name AS current_team_name, '/escudos/' || t.slug AS current_team_logo_url FROM b_players p"
+       " LEFT JOIN b_ps s ON s.player_id = p.id AND s.season_id = 1998 LEFT JOIN b_teams t ON t.id = s.primary_team_id"))
+def _(t):
+    teams = t.teams.withColumn("logo_url", F.concat(F.lit("/escudos/"), "slug"))
+    return q.players_current_team(t.players, t.player_seasons, teams, 1998, how="left").select(
+        "id", "slug", "current_team_id", "current_team_name", "current_team_logo_url")
+
+
 @query("players_by_current_team", sql("b_current", "SELECT id, slug FROM b_current WHERE current_team_id = 2"))
 def _(t):
     now = q.players_current_team(t.players, t.player_seasons, t.teams, 1998)

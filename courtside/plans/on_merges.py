@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ..operators import merge, resolve, similar
 from ..session import cut_lineage, scratch_path
-from .bindings import add_view, sql
+from ..sources.tables import write_table
+from .bindings import VIEWS, add_view, sql
 from .on_quality import _failed, _player_lines, _team_lines
 from .on_resolution import REQUEST, SAME, _groups, _team_aliases
 from .on_functions import s_key
@@ -76,6 +77,15 @@ def _(t):
     return merge.change_counts(merge.merge_games(_stored_games(t), _run_games(t), READ_ORDER))
 
 
+@query("upsert_partitions", sql("b_merged_games", f"SELECT id, {', '.join(c for c in GAME if c != 'id')} FROM b_merged_games"))
+def _(t):
+    """The table as it stands after a run that rewrites the seasons from the shared one on."""
+    path = scratch_path(t.spark, "games")
+    write_table(_stored_games(t), path, partition_by=("season_id",))
+    merge.upsert_partitions(t.spark, path, _run_games(t), merge.game_key, READ_ORDER)
+    return t.spark.read.parquet(path).withColumn("season_id", F.col("season_id").cast("bigint")).select(*GAME)
+
+
 @query("unresolved_teams", sql("b_games", "SELECT DISTINCT season_id, 'home' AS side, 'Clube ' || cast(home_team_id as string) AS name, 'C' || cast(home_team_id as string) AS abbr FROM b_games WHERE home_team_id >= 20"))
 def _(t):
     rows = t.games.selectExpr(
@@ -101,8 +111,6 @@ def _supplier(t, text):
        " coalesce(n.last_seen_season_id, o.last_seen_season_id) AS last_seen_season_id, CASE WHEN o.id IS NULL THEN 'inserted' WHEN n.slug IS NULL THEN 'unchanged' ELSE 'updated' END AS change"
        " FROM b_stored_players o FULL JOIN b_run_players n USING (slug)"))
 def _(t):
-    from .bindings import VIEWS
-
     return merge.merge_players(_supplier(t, VIEWS["b_stored_players"][1]), _supplier(t, VIEWS["b_run_players"][1]))
 
 
@@ -235,6 +243,68 @@ def _(t):
     return merge.add_aliases(rows.filter("season_id < 1998").distinct(), rows, merge.player_alias_key)
 
 
+# players of the merged table, their profile names, and the names and teams under which each season lists them
+_SLUG_OF = "'supplier-' || lpad(cast(player_id as string), 9, '0')"
+PAGE_LINK = {
+    "player_slug": _SLUG_OF, "season_id": "season_id", "display_name": "case when game_id % 2 = 0 then 'Atleta ' else 'ATLETA ' end || cast(player_id % 20 as string)",
+    "jersey_number": "jersey_number", "team_name_raw": "case when line_no < 4 then 'Equipe ' else 'EQUIPE ' end || cast((team_id + season_id) % 30 as string)",
+    "position": "game_id * 10 + line_no",
+}
+add_view("b_page_players", ("b_stored_players", "b_run_players"),
+         "SELECT coalesce(o.id, (SELECT max(id) FROM b_stored_players) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY slug)) AS id,"
+         " coalesce(n.full_name, o.full_name) AS full_name, slug FROM b_stored_players o FULL JOIN b_run_players n USING (slug)")
+add_view("b_page_links", ("b_stats",), f"SELECT {', '.join(f'{e} AS {n}' for n, e in PAGE_LINK.items())} FROM b_stats")
+add_view("b_page_aliases", ("b_page_players", "b_page_links"),
+         "SELECT id AS player_id, NULL::bigint AS season_id, full_name AS alias, 'full_name' AS alias_type, NULL::string AS jersey_number, NULL::string AS team_name_raw, 'player_profile' AS source, 1::bigint AS is_primary,"
+         " CASE WHEN id % 2 = 0 THEN 'unchanged' ELSE 'inserted' END AS change FROM b_page_players"
+         " UNION ALL SELECT id, NULL, 'S' || cast(id AS string), 'display_name', NULL, NULL, 'player_profile', 0, 'inserted' FROM b_page_players WHERE id % 3 > 0"
+         " UNION ALL SELECT p.id, l.season_id, arg_min(l.display_name, l.position), 'stats_display_name', l.jersey_number, arg_min(l.team_name_raw, l.position), 'season_stats_efficiency', 0, 'inserted'"
+         " FROM b_page_links l JOIN b_page_players p ON p.slug = l.player_slug GROUP BY p.id, l.season_id, lower(l.display_name), l.jersey_number, lower(l.team_name_raw)")
+_IN_SEASON = "(SELECT season_id, lower(replace(alias, 'É', 'E')) AS alias, max(team_id) AS team_id FROM b_team_aliases GROUP BY ALL)"
+_ANY_SEASON = "(SELECT lower(replace(alias, 'É', 'E')) AS alias, arg_max(team_id, id) AS team_id FROM b_team_aliases GROUP BY ALL)"
+add_view("b_page_records", ("b_page_aliases", "b_page_players", "b_team_aliases"),
+         "SELECT a.player_id, a.alias AS name, a.season_id, coalesce(s.team_id, e.team_id) AS team_id, a.jersey_number FROM b_page_aliases a"
+         f" LEFT JOIN {_IN_SEASON} s ON s.season_id = a.season_id AND s.alias = lower(a.team_name_raw) LEFT JOIN {_ANY_SEASON} e ON e.alias = lower(a.team_name_raw)"
+         " UNION ALL SELECT id, full_name, NULL, NULL, NULL FROM b_page_players")
+add_view("b_page_requests", ("b_stats",), f"SELECT DISTINCT {REQUEST}, {s_key('player_name_raw')} AS key FROM"
+         " (SELECT season_id, team_id, CASE WHEN game_id % 10 = 0 THEN 'n ' || s_name WHEN game_id % 10 = 1 THEN 'ninguém' ELSE 'atleta ' || cast(player_id % 20 as string) END AS player_name_raw,"
+         " CASE WHEN line_no = 5 THEN NULL ELSE jersey_number END AS jersey_number FROM b_stats JOIN supplier ON s_suppkey = player_id)")
+for _name in ("b_hits", "b_decided"):
+    _text = VIEWS[_name][1]
+    for _old in ("b_requests", "b_records", "b_hits"):
+        _text = _text.replace(_old, _old.replace("b_", "b_page_"))
+    add_view(_name.replace("b_", "b_page_"), tuple(n.replace("b_", "b_page_") for n in VIEWS[_name][0]), _text)
+
+
+def _page_aliases(t):
+    """(players with ids, their aliases with ``change``)."""
+    stored, run = (_supplier(t, VIEWS[name][1]) for name in ("b_stored_players", "b_run_players"))
+    players = cut_lineage(merge.assign_ids(merge.merge_players(stored, run), ["slug"]).select("id", "full_name", "slug"))
+    profiles = players.selectExpr("slug AS player_slug", "full_name", "case when id % 3 > 0 then 'S' || id else ' ' end AS display_name")
+    there = players.filter("id % 2 = 0").selectExpr(
+        "id AS player_id", "cast(null AS bigint) AS season_id", "full_name AS alias", "'full_name' AS alias_type", "cast(null AS string) AS jersey_number",
+        "cast(null AS string) AS team_name_raw", "'player_profile' AS source", "1L AS is_primary")
+    links = t.stats.selectExpr(*[f"{e} AS {n}" for n, e in PAGE_LINK.items()])
+    return players, merge.add_player_names(there, players, profiles, links)
+
+
+@query("add_player_names", sql("b_page_aliases", "SELECT * FROM b_page_aliases"))
+def _(t):
+    return _page_aliases(t)[1]
+
+
+@query("resolve_by_page_names", sql("b_page_decided", "SELECT * FROM b_page_decided"))
+def _(t):
+    """From pages to ids: players are merged, their names become aliases, lines are resolved by these."""
+    players, aliases = _page_aliases(t)
+    records = resolve.name_records(players.select("id", "full_name"), cut_lineage(aliases.drop("change")), _team_aliases(t))
+    names = t.raw("supplier").select(F.col("s_suppkey").alias("player_id"), "s_name")
+    lines = t.stats.join(names, "player_id").selectExpr(
+        "season_id", "team_id", "case when game_id % 10 = 0 then 'n ' || s_name when game_id % 10 = 1 then 'ninguém' else 'atleta ' || player_id % 20 end AS player_name_raw",
+        "case when line_no = 5 then null else jersey_number end AS jersey_number")
+    return resolve.resolve_requests(lines, records)
+
+
 # --- queues ------------------------------------------------------------------------------------------------------
 
 
@@ -318,9 +388,10 @@ def _(t):
 
 # --- applied resolutions ---------------------------------------------------------------------------------------------
 
-add_view("b_applied", ("b_groups", "b_seat", "b_fit", "b_records"),
-         "SELECT player_id, name, season_id, team_id, jersey_number FROM b_records UNION ALL SELECT s.player_id, g.player_name_raw, g.season_id, g.team_id, g.jersey_number"
-         f" FROM b_groups g JOIN b_seat s USING (season_id, team_id, jersey_number) JOIN b_fit f ON {SAME.format(a='g', b='f')} WHERE s.candidates = 1 AND f.fit >= 0.88")
+_DECIDED = ("SELECT player_id, name, season_id, team_id, jersey_number FROM b_records UNION ALL SELECT s.player_id, g.player_name_raw, g.season_id, g.team_id, g.jersey_number"
+            f" FROM b_groups g JOIN b_seat s USING (season_id, team_id, jersey_number) LEFT JOIN b_fit f ON {SAME.format(a='g', b='f')} WHERE s.candidates = 1 AND coalesce(f.fit, 0)")
+add_view("b_applied", ("b_groups", "b_seat", "b_fit", "b_records"), f"{_DECIDED} >= 0.88")
+add_view("b_reviewed", ("b_groups", "b_seat", "b_fit", "b_records"), f"{_DECIDED} < 0.88")
 add_view("b_applied_hits", ("b_requests", "b_applied"),
          "SELECT r.*, c.player_id, CASE WHEN c.season_id = r.season_id AND c.team_id IS NOT DISTINCT FROM r.team_id AND c.jersey_number IS NOT DISTINCT FROM r.jersey_number THEN 1"
          " WHEN c.season_id = r.season_id AND c.team_id IS NOT DISTINCT FROM r.team_id AND c.jersey_number IS NULL THEN 2 WHEN c.season_id = r.season_id AND c.team_id IS NOT DISTINCT FROM r.team_id THEN 3"
@@ -329,16 +400,31 @@ add_view("b_applied_hits", ("b_requests", "b_applied"),
          f" FROM b_requests r JOIN (SELECT *, {s_key('name')} AS key FROM b_applied) c USING (key)")
 add_view("b_applied_best", ("b_applied_hits",),
          f"SELECT * FROM (SELECT {REQUEST}, strategy, count(DISTINCT player_id) AS n, min(player_id) AS pid, row_number() OVER (PARTITION BY {REQUEST} ORDER BY strategy) AS rn FROM b_applied_hits GROUP BY {REQUEST}, strategy) WHERE rn = 1")
+for _name in ("b_applied_hits", "b_applied_best"):
+    add_view(_name.replace("applied", "reviewed"), tuple(n.replace("applied", "reviewed") for n in VIEWS[_name][0]), VIEWS[_name][1].replace("b_applied", "b_reviewed"))
 
 
-@query("apply_resolutions", sql(("b_open_lines", "b_applied_best"),
-       "SELECT l.game_id, l.points, l.player_name_raw, l.jersey_number, CASE WHEN d.strategy < 7 AND d.n = 1 THEN d.pid END AS player_id,"
-       f" CASE WHEN {s_key('l.player_name_raw')} IS NULL THEN 'empty_player_name' WHEN d.n IS NULL THEN 'no_alias_match' WHEN d.strategy = 7 THEN 'no_safe_match' WHEN d.n = 1 THEN 'resolved' ELSE 'ambiguous_match' END AS reason"
-       f" FROM b_open_lines l LEFT JOIN b_applied_best d ON {SAME.format(a='l', b='d')}"))
-def _(t):
+def s_applied(best):
+    return ("SELECT l.game_id, l.points, l.player_name_raw, l.jersey_number, CASE WHEN d.strategy < 7 AND d.n = 1 THEN d.pid END AS player_id,"
+            f" CASE WHEN {s_key('l.player_name_raw')} IS NULL THEN 'empty_player_name' WHEN d.n IS NULL THEN 'no_alias_match' WHEN d.strategy = 7 THEN 'no_safe_match' WHEN d.n = 1 THEN 'resolved' ELSE 'ambiguous_match' END AS reason"
+            f" FROM b_open_lines l LEFT JOIN {best} d ON {SAME.format(a='l', b='d')}")
+
+
+def _apply(t, approve, decided_by, **chosen):
     suggestions = similar.unique_jersey(_groups(t), t.stored_records, t.pool_players).withColumnRenamed("resolved_player_id", "suggested_player_id") \
-        .withColumn("approved", F.lit(None).cast("string"))
-    selected = merge.select_suggestions(suggestions, auto=True, reviewed=False)
+        .withColumn("approved", approve)
+    selected = merge.select_suggestions(suggestions, **chosen)
     lines = t.open_lines.select("game_id", "points", *resolve.REQUEST, "player_id")
-    return merge.apply_resolutions(lines, selected, t.pool_players, t.pool_aliases).select(
+    return merge.apply_resolutions(lines, selected, t.pool_players, t.pool_aliases, decided_by=decided_by).select(
         "game_id", "points", "player_name_raw", "jersey_number", "player_id", "reason")
+
+
+@query("apply_resolutions", sql(("b_open_lines", "b_applied_best"), s_applied("b_applied_best")))
+def _(t):
+    return _apply(t, F.lit(None).cast("string"), merge.AUTOMATIC, auto=True, reviewed=False)
+
+
+@query("apply_reviewed", sql(("b_open_lines", "b_reviewed_best"), s_applied("b_reviewed_best")))
+def _(t):
+    """A reviewer approves the only wearer of a jersey where the name alone did not decide."""
+    return _apply(t, F.when(F.col("decision") == "manual", "1"), merge.REVIEWED, auto=False, reviewed=True)
