@@ -5,7 +5,7 @@ from __future__ import annotations
 import pickle
 
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -45,6 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_per_group(df: DataFrame, group: str, order: str, count: int, shares: int = 16) -> DataFrame:
+    """The first ``count`` rows of each group by ``order``, which no two rows of a group share.
+
+    Each task keeps the first of its own rows, then each of ``shares`` shares of all tasks, then
+    the group: a group that holds most rows sends its last task ``count * shares`` rows.
+    """
+    few = df.withColumn("__share", F.spark_partition_id() % shares)
+    for by in ([group, "__share"], [group]):
+        few = few.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("__place") <= count)
+    return few.drop("__share", "__place")
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
     """The rows of ``docs`` whose doc_id is (or is not) among ``ids``; a null id equals a null id.
 

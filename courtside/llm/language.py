@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import received, sent, text_key
+from .common import first_per_group, received, sent, text_key
 from .hashing import slices
 
 PIECE, MARGIN, HIDDEN = 128, 16, 8
@@ -176,18 +176,21 @@ def train(texts: list[str], languages: list[str], seed: int = 0) -> Network:
     return network
 
 
-def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """Train on the first ``rows`` texts of each language by a hash of id and text, with a letter and a language.
+def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The first ``rows`` texts of each language by a hash of id and text, with a letter and a language.
 
-    Ids and hashes are ranked, and only the texts chosen are moved: to one task, which reads
-    them whole, holds their bytes, and sends back the weights.  Equal rows count once.
+    Hashes alone are ranked.  The chosen ones, at most ``rows`` for each output of the network, are
+    broadcast as the network is, and no other text moves.  Equal rows count once.
     """
     named = docs.where("lang is not null and text rlike '\\\\p{L}'").select("doc_id", "lang", "text", text_key(F.col("text")).alias("text_key"))
-    order = "row_number() over (partition by lang order by md5(concat(coalesce(cast(doc_id as string), ''), text_key)))"
-    chosen = named.select("doc_id", "lang", "text_key").distinct().withColumn("place", F.expr(order)).where(F.col("place") <= rows)
-    chosen = chosen.select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"), F.col("text_key").alias("c_key"))
-    same = named["doc_id"].eqNullSafe(chosen["c_id"]) & (named["lang"] == chosen["c_lang"]) & (named["text_key"] == chosen["c_key"])
-    sample = named.join(chosen, same).dropDuplicates(["doc_id", "lang", "text_key"]).select("doc_id", "lang", "text_key", "text")
+    named = named.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key")))
+    chosen = first_per_group(named.select("lang", "row_key").distinct(), "lang", "row_key", rows)
+    return named.join(F.broadcast(chosen), ["lang", "row_key"], "left_semi").dropDuplicates(["lang", "row_key"]).drop("row_key")
+
+
+def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Network:
+    """Train on ``training_rows``: they move to one task, which reads them whole, holds their bytes, and sends back the weights."""
+    sample = training_rows(docs, rows)
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["lang"], r["text_key"], r["doc_id"] or 0))

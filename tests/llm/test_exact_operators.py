@@ -291,3 +291,13 @@ def test_bpe_query(spark, library):
         digest = hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         own = hashlib.sha256((r["text"] or "").encode()).hexdigest()
         assert tuple(got[r["doc_id"]]) == (r["doc_id"], len(ids), digest, own)
+
+
+def test_first_per_group_of_a_group_that_holds_most_rows(spark):
+    from courtside.llm.common import first_per_group
+
+    rows = [("hot", i * 7 % 5003) for i in range(5000)] + [("cold", 3), (None, 2), (None, 1)]
+    few = first_per_group(spark.createDataFrame(rows, "g string, at int").repartition(40), "g", "at", 20, 4)
+    expected = {(g, a) for g in ("hot", "cold", None) for a in sorted(a for k, a in rows if k == g)[:20]}
+    got = [tuple(r) for r in few.collect()]
+    assert few.columns == ["g", "at"] and set(got) == expected and len(got) == len(expected)
