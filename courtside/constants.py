@@ -39,6 +39,33 @@ RECORD_STATS = (
 
 TRUE_WORDS = ("1", "true", "sim", "yes", "y")
 
+# --- fixed values: tables ------------------------------------------------------
+
+TABLES = (
+    "seasons", "teams", "team_aliases", "players", "player_aliases", "games",
+    "player_game_stats", "team_game_stats", "standings", "team_seasons",
+    "player_team_seasons", "player_seasons", "player_career_totals",
+    "player_records", "awards", "team_titles",
+)
+
+# present and non-empty in a healthy load
+REQUIRED_TABLES = ("seasons", "teams", "players", "games", "player_game_stats", "team_game_stats")
+
+# columns of the two tables that are filled in by hand
+MANUAL_TABLES = {
+    "awards": (
+        "id", "season_id", "season_name", "competition", "award_name",
+        "award_category", "award_scope", "rank_position", "player_id",
+        "player_name_raw", "team_id", "team_name_raw", "position", "notes",
+        "source_url",
+    ),
+    "team_titles": (
+        "id", "season_id", "season_name", "competition", "title_name", "team_id",
+        "team_name_raw", "opponent_team_id", "opponent_team_name_raw",
+        "final_wins", "final_losses", "notes", "source_url",
+    ),
+}
+
 # --- fixed values: competition ------------------------------------------------
 
 DEFAULT_COMPETITION = "NBB"
@@ -152,6 +179,21 @@ RECENT_GAMES_DEFAULT = 5
 RECENT_GAMES_MAX = 50
 RANKING_MAX = 200
 
+# --- fixed values: grammar of questions -----------------------------------------
+
+RECENT = r"\b(?:ultimos|ultimas|last)\s+(\d+)\s+(?:jogos|games|partidas)\b"
+# pattern, group of the player, group of the metric
+TOP_GAMES = (
+    (r"\btop\s+(\d+)\s+(?:jogos|partidas)\s+com\s+mais\s+(.+?)\s+d[oea]\s+(.+)$", 3, 2),
+    (r"\btop\s+(\d+)\s+(?:jogos|partidas)\s+d[oea]\s+(.+?)\s+com\s+mais\s+(.+)$", 2, 3),
+)
+TOP = r"\btop\s+(\d+)\s+(.+)"
+TEAM_WORDS = ("time", "equipes")
+HISTORY_WORDS = ("historia", "historico", "carreira", "todos os tempos")
+SEPARATORS = ("vs", "versus", "contra")
+# removed one after the other from the front of a player question
+PREFIXES = ("jogos de", "jogos do", "jogos da", "estatisticas de", "stats de", "ultimos jogos de")
+
 # --- fixed values: pages and paging ---------------------------------------------
 
 PAGE_DEFAULT = 50

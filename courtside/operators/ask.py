@@ -12,8 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import CAREER_COLUMNS, LINE_COLUMNS, RANKING_MAX, RECENT_GAMES_DEFAULT, RECENT_GAMES_MAX
+from ..constants import (
+    CAREER_COLUMNS, HISTORY_WORDS, LINE_COLUMNS, PREFIXES, RANKING_MAX, RECENT, RECENT_GAMES_DEFAULT, RECENT_GAMES_MAX,
+    SEPARATORS, TEAM_WORDS, TOP, TOP_GAMES,
+)
 from ..functions.text import clean_text, fold, metric_from_text
+from ..session import cut_lineage
 from ..sources.catalog import first_present
 from .positions import top_per_group
 from .query import NEWEST_FIRST, newest_lines_per_player, order_existing, player_games
@@ -23,17 +27,6 @@ from .standings import team_names
 
 EDGE = "[^a-z0-9_]"
 PUNCTUATION = r"^[ ,.;:\-]+|[ ,.;:\-]+$"
-RECENT = r"\b(?:ultimos|ultimas|last)\s+(\d+)\s+(?:jogos|games|partidas)\b"
-TOP_GAMES = (
-    (r"\btop\s+(\d+)\s+(?:jogos|partidas)\s+com\s+mais\s+(.+?)\s+d[oea]\s+(.+)$", 3, 2),
-    (r"\btop\s+(\d+)\s+(?:jogos|partidas)\s+d[oea]\s+(.+?)\s+com\s+mais\s+(.+)$", 2, 3),
-)
-TOP = r"\btop\s+(\d+)\s+(.+)"
-TEAM_WORDS = ("time", "equipes")
-HISTORY_WORDS = ("historia", "historico", "carreira", "todos os tempos")
-SEPARATORS = ("vs", "versus", "contra")
-# removed one after the other from the front of a player question
-PREFIXES = ("jogos de", "jogos do", "jogos da", "estatisticas de", "stats de", "ultimos jogos de")
 
 
 def _clamped(text: Column, high: int) -> Column:
@@ -46,8 +39,11 @@ def _any_in(text: Column, words: tuple) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def question_intent(questions: DataFrame) -> DataFrame:
-    """Intent and parameters of each question, from its accent-free text."""
+def question_intent(questions: DataFrame, most_games: int = RECENT_GAMES_MAX, most_places: int = RANKING_MAX) -> DataFrame:
+    """Intent and parameters of each question, from its accent-free text.
+
+    Numbers of games and of places are moved into 1 .. ``most_games`` and 1 .. ``most_places``.
+    """
     text = F.coalesce(fold("question"), F.lit(""))
     df = questions.withColumn("t", text)
     t = F.col("t")
@@ -95,7 +91,7 @@ def question_intent(questions: DataFrame) -> DataFrame:
     is_ = lambda *names: F.col("intent").isin(*names)
     h2h, recent, best = is_("players_head_to_head_recent_games"), is_("player_recent_games"), is_("player_top_games")
     ranked = is_("ranking", "team_history_ranking")
-    last_n = F.coalesce(_clamped(F.regexp_extract(t, RECENT, 1), RECENT_GAMES_MAX), F.lit(RECENT_GAMES_DEFAULT))
+    last_n = F.coalesce(_clamped(F.regexp_extract(t, RECENT, 1), most_games), F.lit(RECENT_GAMES_DEFAULT))
     return df.select(
         *questions.columns, "intent",
         F.when(best, F.col("tg.player")).when(h2h, F.col("sides.left")).when(recent, F.col("name")).alias("player_1"),
@@ -103,8 +99,8 @@ def question_intent(questions: DataFrame) -> DataFrame:
         F.when(h2h | recent, last_n).cast("bigint").alias("last_n_games"),
         F.when(ranked, target).alias("ranking_target"),
         F.when(best, F.col("tg.metric")).when(ranked, F.col("top_metric")).alias("metric"),
-        F.when(best, _clamped(F.col("tg.n"), RECENT_GAMES_MAX))
-        .when(ranked, _clamped(F.regexp_extract(t, TOP, 1), RANKING_MAX)).cast("bigint").alias("top_n"),
+        F.when(best, _clamped(F.col("tg.n"), most_games))
+        .when(ranked, _clamped(F.regexp_extract(t, TOP, 1), most_places)).cast("bigint").alias("top_n"),
     )
 
 
@@ -250,83 +246,117 @@ def answer_status(named: DataFrame) -> DataFrame:
 # --- answers ----------------------------------------------------------------------------------
 
 
-def answer_recent_games(named: DataFrame, stats: DataFrame, games: DataFrame, unique: tuple) -> DataFrame:
-    """The newest games of the asked player, with the question's id."""
+def answer_recent_games(named: DataFrame, stats: DataFrame, games: DataFrame, unique: tuple,
+                        most: int = RECENT_GAMES_MAX) -> DataFrame:
+    """The newest games of the asked player, with the question's id.
+
+    A question gets as many games as it asks for, ``most`` at the utmost.
+    """
     asked = named.filter("intent = 'player_recent_games' AND status_1 = 'ok'").select(
         "question_id", F.col("player_id_1").alias("player_id"), "last_n_games"
     )
     wanted = stats.join(asked.select("player_id").distinct(), "player_id", "left_semi")
-    newest = newest_lines_per_player(wanted, games, RECENT_GAMES_MAX, unique)
+    newest = newest_lines_per_player(wanted, games, most, unique)
     return asked.join(newest, "player_id").filter(F.col("game_position") <= F.col("last_n_games"))
 
 
-def _metric_entries(df: DataFrame, candidates: dict) -> Column:
-    """(metric, value) for every metric the table has a column for."""
+def _metric_columns(df: DataFrame, candidates: dict) -> dict[str, str]:
+    """The column of each metric that the table has."""
     found = {m: first_present(columns, df.columns) for m, columns in candidates.items()}
-    return F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("ranking_value")) for m, c in found.items() if c
-    ])
+    return {m: c for m, c in found.items() if c}
+
+
+def _asked_value(df: DataFrame, candidates: dict) -> Column:
+    """Value of the metric that the row's ``metric`` names."""
+    whens = [F.when(F.col("metric") == m, F.col(c).cast("double")) for m, c in _metric_columns(df, candidates).items()]
+    return F.coalesce(*whens, F.lit(None).cast("double"))
 
 
-def answer_top_games(named: DataFrame, stats: DataFrame, games: DataFrame, unique: tuple) -> DataFrame:
-    """The asked player's games with the highest value of the asked metric."""
+def _with_asked_metrics(df: DataFrame, asked: DataFrame, candidates: dict, keep: tuple) -> DataFrame:
+    """A row per asked metric that the table has.
+
+    The names of the asked metrics, at most those of ``candidates``, are read first: rows
+    multiply by what is asked alone, and a scan below reads no other metric's column.
+    """
+    wanted = {r.metric for r in asked.filter(F.col("metric").isin(*candidates)).select("metric").distinct().collect()}
+    columns = {m: c for m, c in _metric_columns(df, candidates).items() if m in wanted}
+    if not columns:
+        return df.select(*keep, F.lit("").alias("metric"), F.lit(0.0).alias("ranking_value")).limit(0)
+    return df.select(*keep, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("ranking_value")) for m, c in columns.items()
+    ])))
+
+
+def answer_top_games(named: DataFrame, stats: DataFrame, games: DataFrame, unique: tuple,
+                     most: int = RECENT_GAMES_MAX) -> DataFrame:
+    """The asked player's games with the highest value of the asked metric.
+
+    Lines meet only the metrics asked of their player.  A question gets as many games as it
+    asks for, ``most`` at the utmost.
+    """
     asked = named.filter("intent = 'player_top_games' AND status_1 = 'ok'").select(
         "question_id", F.col("player_id_1").alias("player_id"), "metric", "top_n"
     )
-    rows = player_games(stats.join(asked.select("player_id").distinct(), "player_id", "left_semi"), games)
-    valued = rows.select("*", F.inline(_metric_entries(stats, LINE_COLUMNS))).filter("ranking_value IS NOT NULL")
-    wanted = valued.join(asked.select("player_id", "metric").distinct(), ["player_id", "metric"], "left_semi")
-    order = order_existing(wanted, ("-ranking_value", *NEWEST_FIRST, *unique), ())
-    best = top_per_group(wanted, ["player_id", "metric"], order, RECENT_GAMES_MAX, "game_position")
+    pairs = asked.select("player_id", "metric").distinct()
+    valued = stats.join(pairs, "player_id").withColumn("ranking_value", _asked_value(stats, LINE_COLUMNS))
+    rows = player_games(valued.filter("ranking_value IS NOT NULL"), games)
+    order = order_existing(rows, ("-ranking_value", *NEWEST_FIRST, *unique), ())
+    best = top_per_group(rows, ["player_id", "metric"], order, most, "game_position")
     return asked.join(best, ["player_id", "metric"]).filter(F.col("game_position") <= F.col("top_n"))
 
 
-def answer_head_to_head(named: DataFrame, stats: DataFrame, games: DataFrame) -> DataFrame:
-    """Both players' lines in their newest games against each other."""
+def answer_head_to_head(named: DataFrame, stats: DataFrame, games: DataFrame, most: int = RECENT_GAMES_MAX) -> DataFrame:
+    """Both players' lines in their newest games against each other.
+
+    The asked players' lines are written once, and the rest reads these.  A pair met where
+    both have a line and not all of these lines name one team: then some line of the one
+    names another team than some line of the other, or none.  A question gets as many games
+    as it asks for, ``most`` at the utmost.
+    """
     asked = named.filter(
         "intent = 'players_head_to_head_recent_games' AND status_1 = 'ok' AND status_2 = 'ok'"
     ).select("question_id", "player_id_1", "player_id_2", "last_n_games")
-    pairs = asked.select("player_id_1", "player_id_2").distinct()
-    presence = stats.select("player_id", "game_id", "team_id").distinct()
-    first = pairs.join(presence.toDF("player_id_1", "game_id", "t1"), "player_id_1")
-    met = first.join(presence.toDF("player_id_2", "game_id", "t2"), ["player_id_2", "game_id"]).filter(
-        "t1 IS NULL OR t2 IS NULL OR t1 <> t2"
-    ).select("player_id_1", "player_id_2", "game_id").distinct()
-    dated = met.join(games.select(F.col("id").alias("game_id"), F.col("game_date").alias("h2h_date")), "game_id", "left")
-    newest = top_per_group(
-        dated, ["player_id_1", "player_id_2"], [F.desc("h2h_date"), F.desc("game_id")], RECENT_GAMES_MAX, "game_position"
-    )
-    chosen = asked.join(newest, ["player_id_1", "player_id_2"]).filter(F.col("game_position") <= F.col("last_n_games"))
-    sides = chosen.select("question_id", "game_id", "h2h_date", "game_position",
-                          F.explode(F.array_distinct(F.array("player_id_1", "player_id_2"))).alias("player_id"))
-    return sides.join(stats, ["game_id", "player_id"])
-
-
-def _answer_ranking(asked: DataFrame, table: DataFrame, candidates: dict, keep: list[str], unique: list[str]) -> DataFrame:
+    pair = ["player_id_1", "player_id_2"]
+    pairs = asked.select(*pair).distinct()
+    roles = pairs.select(*pair, F.posexplode(F.array(*pair)).alias("side", "player_id"))
+    lines = cut_lineage(stats.join(roles.select("player_id").distinct(), "player_id", "left_semi"), "asked-lines")
+
+    teams = F.col("team_id")
+    met = lines.select("player_id", "game_id", "team_id").join(roles, "player_id").groupBy(*pair, "game_id").agg(
+        F.count_distinct("side").alias("sides"), F.min(teams).alias("low"), F.max(teams).alias("high"),
+        F.count_if(teams.isNull()).alias("unknown"),
+    ).filter((F.col("sides") == 2) & ((F.col("unknown") > 0) | (F.col("low") != F.col("high"))))
+    dated = met.select(*pair, "game_id").join(
+        games.select(F.col("id").alias("game_id"), F.col("game_date").alias("h2h_date")), "game_id", "left")
+    newest = top_per_group(dated, pair, [F.desc("h2h_date"), F.desc("game_id")], most, "game_position")
+    chosen = asked.join(newest, pair).filter(F.col("game_position") <= F.col("last_n_games"))
+    both = chosen.select("question_id", "game_id", "h2h_date", "game_position",
+                         F.explode(F.array_distinct(F.array(*pair))).alias("player_id"))
+    return both.join(lines, ["game_id", "player_id"])
+
+
+def _answer_ranking(asked: DataFrame, table: DataFrame, candidates: dict, keep: tuple, unique: tuple, most: int) -> DataFrame:
     """Each asked metric is ranked once; questions take as many rows as they ask for."""
-    entries = table.select(*keep, F.inline(_metric_entries(table, candidates))).filter("ranking_value IS NOT NULL")
-    wanted = entries.join(asked.select("metric").distinct(), "metric", "left_semi")
-    ranked = top_per_group(wanted, ["metric"], [F.desc("ranking_value"), *unique], RANKING_MAX, "place")
+    valued = _with_asked_metrics(table, asked, candidates, keep).filter("ranking_value IS NOT NULL")
+    ranked = top_per_group(valued, ["metric"], [F.desc("ranking_value"), *unique], most, "place")
     return asked.join(ranked, "metric").filter(F.col("place") <= F.col("top_n"))
 
 
-def answer_ranking(parsed: DataFrame, career: DataFrame, team_seasons: DataFrame) -> DataFrame:
-    """Players by career totals, teams by single seasons."""
+def answer_ranking(parsed: DataFrame, career: DataFrame, team_seasons: DataFrame, most: int = RANKING_MAX) -> DataFrame:
+    """Players by career totals, teams by single seasons; ``most`` rows a question at the utmost."""
     asked = parsed.filter("intent = 'ranking'").select("question_id", "ranking_target", "metric", "top_n")
     players = _answer_ranking(asked.filter("ranking_target = 'players'"), career, CAREER_COLUMNS,
-                              ["player_id"], ["player_id"])
+                              ("player_id",), ("player_id",), most)
     teams = _answer_ranking(asked.filter("ranking_target = 'teams'"), team_seasons, LINE_COLUMNS,
-                            ["team_id", "season_id", "competition"], ["season_id", "competition", "team_id"])
+                            ("team_id", "season_id", "competition"), ("season_id", "competition", "team_id"), most)
     return players.unionByName(teams, allowMissingColumns=True)
 
 
-def answer_team_history(parsed: DataFrame, team_seasons: DataFrame, teams: DataFrame) -> DataFrame:
-    """Teams by the sum of the asked metric over all seasons."""
+def answer_team_history(parsed: DataFrame, team_seasons: DataFrame, teams: DataFrame, most: int = RANKING_MAX) -> DataFrame:
+    """Teams by the sum of the asked metric over all seasons; ``most`` rows a question at the utmost."""
     asked = parsed.filter("intent = 'team_history_ranking'").select("question_id", "ranking_target", "metric", "top_n")
-    entries = team_seasons.select("team_id", F.inline(_metric_entries(team_seasons, LINE_COLUMNS)))
-    wanted = entries.join(asked.select("metric").distinct(), "metric", "left_semi")
-    sums = wanted.groupBy("team_id", "metric").agg(
+    sums = _with_asked_metrics(team_seasons, asked, LINE_COLUMNS, ("team_id",)).groupBy("team_id", "metric").agg(
         F.sum("ranking_value").alias("ranking_value"), F.count("*").alias("seasons_count")
     )
-    ranked = top_per_group(sums, ["metric"], [F.desc_nulls_last("ranking_value"), "team_id"], RANKING_MAX, "place")
+    ranked = top_per_group(sums, ["metric"], [F.desc_nulls_last("ranking_value"), "team_id"], most, "place")
     return asked.join(ranked, "metric").filter(F.col("place") <= F.col("top_n")).join(team_names(teams), "team_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
-from ..sources.catalog import TABLES
+from ..constants import REQUIRED_TABLES
 from ..sources.tables import table_counts
 
 
@@ -187,8 +187,7 @@ def check_boxscores(games: DataFrame, player_stats: DataFrame, team_stats: DataF
 
 def validate_core_tables(tables: dict[str, DataFrame], spark) -> DataFrame:
     """Every registered table with its row count and whether that is acceptable."""
-    required = [name for name, spec in TABLES.items() if spec.required]
     state = F.when(F.col("rows") < 0, "missing").when(
-        (F.col("rows") == 0) & F.col("table_name").isin(required), "empty"
+        (F.col("rows") == 0) & F.col("table_name").isin(*REQUIRED_TABLES), "empty"
     ).otherwise("ok")
     return table_counts(tables, spark).withColumn("state", state)

@@ -65,9 +65,7 @@ def _(t):
 
 @query("catalog", sql("b_games", "SELECT season_id, count(*) AS games, count(DISTINCT home_team_id) AS teams FROM b_games GROUP BY season_id"))
 def _(t):
-    catalog.register_views({"games": t.games})
-    spec = catalog.get_table("games")
-    return t.spark.sql(f"SELECT season_id, count(*) AS games, count(DISTINCT home_team_id) AS teams FROM {spec.name} GROUP BY season_id")
+    return catalog.sql_over({"games": t.games}, "SELECT season_id, count(*) AS games, count(DISTINCT home_team_id) AS teams FROM {games} GROUP BY season_id")
 
 
 @query("write_table", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import INTEGER_NAMES, REAL_PARTS
-from .catalog import MANUAL_TABLES, TABLES, TableSpec
+from ..constants import INTEGER_NAMES, MANUAL_TABLES, REAL_PARTS, TABLES
+from .catalog import known_table
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -105,7 +105,9 @@ def write_table(df: DataFrame, path: str, fields: list[str] | None = None,
     if there and not files.rename(target, old):
         raise OSError(f"{path} could not be set aside; the new table is at {new.toString()}")
     if not files.rename(new, target):
-        raise OSError(f"{new.toString()} could not take the place of {path}")
+        back = there and files.rename(old, target)
+        raise OSError(f"{new.toString()} could not take the place of {path}"
+                      + ("" if back or not there else f"; the old table is at {old.toString()}"))
     if there:
         files.delete(old, True)
 
@@ -125,16 +127,16 @@ def ensure_manual_tables(spark: SparkSession, folder: str) -> dict[str, DataFram
     }
 
 
-def load_table(spark: SparkSession, spec: TableSpec, csv_folder: str, out_folder: str) -> dict:
+def load_table(spark: SparkSession, name: str, csv_folder: str, out_folder: str) -> dict:
     """CSV -> typed Parquet for one table; the result says how it went."""
-    source = f"{csv_folder}/{spec.csv_file}"
-    status = {"table_name": spec.name, "status": "missing_csv", "rows_imported": 0,
+    source = f"{csv_folder}/{known_table(name)}.csv"
+    status = {"table_name": name, "status": "missing_csv", "rows_imported": 0,
               "columns": 0, "error": None}
     if not path_exists(spark, source):
         return status | {"error": f"no such file: {source}"}
     try:
         typed = coerce_values(normalize_columns(read_table_csv(spark, source)))
-        target = f"{out_folder}/{spec.name}"
+        target = f"{out_folder}/{name}"
         write_table(typed, target)
         return status | {
             "status": "imported",
@@ -147,7 +149,7 @@ def load_table(spark: SparkSession, spec: TableSpec, csv_folder: str, out_folder
 
 def load_all(spark: SparkSession, csv_folder: str, out_folder: str) -> DataFrame:
     """Full refresh of every registered table; one status row per table."""
-    rows = [load_table(spark, spec, csv_folder, out_folder) for spec in TABLES.values()]
+    rows = [load_table(spark, name, csv_folder, out_folder) for name in TABLES]
     return spark.createDataFrame(
         rows, "table_name string, status string, rows_imported bigint, columns int, error string"
     )

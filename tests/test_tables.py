@@ -10,8 +10,16 @@ def test_names_and_types():
     kinds = [type(tables.infer_type(c)) for c in ("Team ID", "wins", "fg_pct", "plus_minus", "points_total")]
     assert kinds == [T.LongType, T.LongType, T.DoubleType, T.DoubleType, T.StringType]
     with pytest.raises(KeyError):
-        catalog.get_table("nothing")
-    assert len(catalog.TABLES) == 16
+        catalog.known_table("nothing")
+
+
+def test_sql_leaves_no_views(spark):
+    before = {v.name for v in spark.catalog.listTables()}
+    got = catalog.sql_over({"games": spark.range(3), "teams": spark.range(2)}, "SELECT count(*) AS n FROM {games} JOIN {teams} USING (id)")
+    assert got.first().n == 2
+    assert {v.name for v in spark.catalog.listTables()} == before
+    with pytest.raises(KeyError):
+        catalog.sql_over({"nothing": spark.range(1)}, "SELECT 1")
 
 
 def test_header_checks(spark):
