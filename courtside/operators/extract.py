@@ -7,10 +7,10 @@ What the cells mean is decided by column expressions afterwards.
 
 from __future__ import annotations
 
-import html as html_lib
-import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,26 +42,27 @@ ROWS_SQL = (
     f"cells array<struct<tag:string,cls:string,label:string,real_id:string,text:string,items:array<{_ITEM_SQL}>>>"
 )
 
-_TAG = re.compile(
-    r"<!--.*?-->|<(/?)([a-zA-Z][\w:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S
-)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in ("script", "style")}
+_RAW = {"script", "style"}
 _VOID = {"img", "br", "hr", "input", "meta", "link", "source", "wbr", "col", "area", "base", "embed"}
 _SECTIONS = {"thead", "tbody", "tfoot"}
 _CELLS = {"td", "th"}
 _IN_TABLE = {"td", "th", "tr"}
-_NO_TEXT = {"table", "tbody", "thead", "tfoot", "tr", "html", "body", "div"}
+# a new cell, row or section ends the open one of the same table
+_ENDS = {**dict.fromkeys(_CELLS, _CELLS), "tr": _IN_TABLE, **dict.fromkeys(_SECTIONS, _IN_TABLE | _SECTIONS)}
+
+# rows leave Python in batches of about this many bytes, whatever the number of pages in a batch read
+BATCH_BYTES = 4 << 20
 
 
 class _Open:
     """An element that has not been closed yet; ``cell`` is the cell it lies in."""
 
-    __slots__ = ("tag", "attrs", "ord", "cell", "parts", "items", "rows")
+    __slots__ = ("tag", "attrs", "ord", "cell", "texts_from", "shows_text", "items", "rows")
 
-    def __init__(self, tag: str, attrs: dict, ord_: int, cell):
-        self.tag, self.attrs, self.ord, self.cell = tag, attrs, ord_, cell
-        self.parts, self.items, self.rows = [], [], []
+    def __init__(self, tag: str, attrs: dict, ord_: int, cell, texts_from: int):
+        self.tag, self.attrs, self.ord, self.cell, self.texts_from = tag, attrs, ord_, cell, texts_from
+        self.shows_text = cell is not None or tag in _CELLS or tag == "h1"
+        self.items, self.rows = [], []
 
     def item(self, last: int, text: str) -> dict:
         a = self.attrs
@@ -69,120 +70,163 @@ class _Open:
                 "link": a.get("src") or a.get("href") or "", "alt": a.get("alt", "")}
 
 
-def _attributes(raw: str) -> dict:
-    if "=" not in raw:
-        return {}
-    pairs = {name.lower(): a or b or c for name, a, b, c in _ATTR.findall(raw)}
-    return {k: html_lib.unescape(v) for k, v in pairs.items()} if "&" in raw else pairs
-
-
-def _enclosing(stack: list[_Open], with_ids: bool) -> str:
-    marks = [f".{c}" for e in stack if "class" in e.attrs for c in e.attrs["class"].split()]
-    if with_ids:
-        marks += [f"#{e.attrs['id']}" for e in stack if "id" in e.attrs]
-    return f" {' '.join(marks)} "
+class _PageParser(HTMLParser):
+    """Collects rows of tables as they close, and headings and images outside of tables.
 
+    Texts are kept once, while an element that shows them is open; such an element
+    remembers where its texts begin.
+    """
 
-def _close(stack: list[_Open], found: list[dict], count: int) -> None:
-    """Close the innermost element and hand its content to what encloses it."""
-    el = stack.pop()
-    tag = el.tag
-    text = " ".join(" ".join(el.parts).split()) if el.parts else ""
-    if tag in _CELLS:
-        row = stack[-1] if stack and stack[-1].tag == "tr" else None
-        if row is not None:
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[dict] = []
+        self.stack: list[_Open] = []
+        self.open: defaultdict[str, int] = defaultdict(int)
+        self.texts: list[str] = []
+        self.showing = self.count = 0
+        self.raw = None
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._start(tag, attrs)
+        if tag in _RAW:
+            self.raw = tag
+        elif tag in _VOID:
+            self._close()
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self._start(tag, attrs)
+        if tag not in _RAW:
+            self._close()
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == self.raw:
+            self.raw = None
+        elif self.open[tag]:
+            while self._close() != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        if self.showing and self.raw is None:
+            self.texts.append(data)
+
+    def close(self) -> None:
+        super().close()
+        while self.stack:
+            self._close()
+
+    def _start(self, tag: str, attrs: list) -> None:
+        self.count += 1
+        if tag in _RAW:
+            return
+        ends = _ENDS.get(tag)
+        if ends:
+            while any(self.open[e] for e in ends) and self._innermost(ends) != "table":
+                while self._close() not in ends:
+                    pass
+        above = self.stack[-1] if self.stack and tag != "table" else None
+        cell = None if above is None else above if above.tag in _CELLS else above.cell
+        named = {k: v for k, v in attrs if v is not None} if attrs else {}
+        el = _Open(tag, named, self.count, cell, len(self.texts))
+        self.stack.append(el)
+        self.open[tag] += 1
+        self.showing += el.shows_text
+
+    def _innermost(self, tags: set) -> str:
+        """The innermost open element of these kinds, or ``table`` where that lies further in."""
+        for el in reversed(self.stack):
+            if el.tag in tags:
+                return el.tag
+            if el.tag == "table":
+                break
+        return "table"
+
+    def _around(self, with_ids: bool) -> str:
+        marks = [f".{c}" for e in self.stack for c in e.attrs.get("class", "").split()]
+        if with_ids:
+            marks += [f"#{e.attrs['id']}" for e in self.stack if "id" in e.attrs]
+        return f" {' '.join(marks)} "
+
+    def _close(self) -> str:
+        """Close the innermost element and hand its content to what encloses it; returns its tag."""
+        el = self.stack.pop()
+        tag, text = el.tag, ""
+        self.open[tag] -= 1
+        if el.shows_text:
+            text = " ".join(" ".join(self.texts[el.texts_from:]).split())
+            self.showing -= 1
+            if not self.showing:
+                self.texts.clear()
+        if tag in _CELLS:
+            self._end_cell(el, text)
+        elif tag == "tr":
+            self._end_row(el)
+        elif tag == "table":
+            self._end_table(el)
+        elif el.cell is not None:
+            el.cell.items.append(el.item(self.count, text))
+        elif tag == "h1" or tag == "img":
+            item = el.item(self.count, text)
+            cell = {"tag": tag, "cls": item["cls"], "label": "", "real_id": "", "text": text, "items": [item]}
+            self.found.append({"kind": tag, "table_no": el.ord, "table_cls": "", "idq": "", "idx": "", "around": self._around(False),
+                               "header": [], "section": "", "row_no": 0, "cells": [cell]})
+        return tag
+
+    def _end_cell(self, el: _Open, text: str) -> None:
+        if self.stack and self.stack[-1].tag == "tr":
             a = el.attrs
-            items = [el.item(count, text)]
+            items = [el.item(self.count, text)]
             if el.items:
                 items += sorted(el.items, key=lambda i: i["ord"])
-            row.items.append({"tag": tag, "cls": a.get("class", ""), "label": a.get("data-label", ""),
-                              "real_id": a.get("data-real-id", ""), "text": text, "items": items})
-    elif tag == "tr":
+            self.stack[-1].items.append({"tag": el.tag, "cls": a.get("class", ""), "label": a.get("data-label", ""),
+                                         "real_id": a.get("data-real-id", ""), "text": text, "items": items})
+
+    def _end_row(self, el: _Open) -> None:
         section = ""
-        for outer in reversed(stack):
+        for outer in reversed(self.stack):
             if outer.tag in _SECTIONS:
                 section = outer.tag
             elif outer.tag == "table":
                 if el.items:
                     outer.rows.append((section, el.items))
-                break
-    elif tag == "table":
+                return
+
+    def _end_table(self, el: _Open) -> None:
         a = el.attrs
         heads = [c["text"] for s, cells in el.rows if s == "thead" for c in cells if c["tag"] == "th" and c["text"]]
-        header = heads or [c["text"] for c in (el.rows[0][1] if el.rows else [])]
         common = {"kind": "row", "table_no": el.ord, "table_cls": a.get("class", ""), "idq": a.get("idq", ""),
-                  "idx": a.get("idx", ""), "around": _enclosing(stack, True), "header": header}
-        found.extend({**common, "section": section, "row_no": n, "cells": cells} for n, (section, cells) in enumerate(el.rows))
-    elif el.cell is not None:
-        el.cell.items.append(el.item(count, text))
-    elif tag == "h1" or tag == "img":
-        item = el.item(count, text)
-        cell = {"tag": tag, "cls": item["cls"], "label": "", "real_id": "", "text": text, "items": [item]}
-        found.append({"kind": tag, "table_no": el.ord, "table_cls": "", "idq": "", "idx": "", "around": _enclosing(stack, False),
-                      "header": [], "section": "", "row_no": 0, "cells": [cell]})
+                  "idx": a.get("idx", ""), "around": self._around(True),
+                  "header": heads or [c["text"] for _, cells in el.rows[:1] for c in cells]}
+        self.found.extend({**common, "section": section, "row_no": n, "cells": cells} for n, (section, cells) in enumerate(el.rows))
 
 
 def _page_records(page: str) -> list[dict]:
-    """Rows of all tables, then headings and images outside of tables."""
-    stack: list[_Open] = []
-    found: list[dict] = []
-    count = at = 0
-    for match in _TAG.finditer(page):
-        begin = match.start()
-        if begin < at:
-            continue
-        if begin > at:
-            text = page[at:begin].strip()
-            if text:
-                if "&" in text:
-                    text = html_lib.unescape(text)
-                for el in stack:
-                    if el.tag not in _NO_TEXT or el.cell is not None:
-                        el.parts.append(text)
-        at = match.end()
-        closing, tag, raw = match.groups()
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        _close(stack, found, count)
-                    break
-            continue
-        count += 1
-        if tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
-            at = end.start() if end else len(page)
-            continue
-        # a new cell, row or section ends the open one of the same table
-        ends = _CELLS if tag in _CELLS else _IN_TABLE if tag == "tr" else _IN_TABLE | _SECTIONS if tag in _SECTIONS else None
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                open_tag = stack[i].tag
-                if open_tag == "table":
-                    break
-                if open_tag in ends:
-                    while len(stack) > i:
-                        _close(stack, found, count)
-        cell = None
-        if stack and tag != "table":
-            above = stack[-1]
-            cell = above if above.tag in _CELLS else above.cell
-        stack.append(_Open(tag, _attributes(raw), count, cell))
-        if tag in _VOID or raw.endswith("/"):
-            _close(stack, found, count)
-    while stack:
-        _close(stack, found, count)
-    return found
-
-
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of all tables, headings and images outside of tables, in the order they close."""
+    parser = _PageParser()
+    parser.feed(page)
+    parser.close()
+    return parser.found
+
+
+def _record_bytes(record: dict) -> int:
+    """About the size of a record in an Arrow batch."""
+    items = [i for c in record["cells"] for i in c["items"]]
+    return (sum(len(h) for h in record["header"]) + len(record["around"])
+            + sum(64 + len(i["text"]) + len(i["link"]) + len(i["alt"]) for i in items))
+
+
+def _parse_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Pages are turned into Python strings one by one; at most one page's rows wait beside a batch."""
     for batch in batches:
-        pages = zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist())
-        rows = [{"page_id": page_id, **record} for page_id, page in pages for record in _page_records(page)]
-        yield pa.RecordBatch.from_pylist(rows, schema=ROWS)
+        rows, size = [], 0
+        for page_id, page in zip(batch.column("page_id"), batch.column("html")):
+            for record in _page_records(page.as_py()):
+                rows.append({"page_id": page_id.as_py(), **record})
+                size += _record_bytes(record)
+                if size >= limit:
+                    yield pa.RecordBatch.from_pylist(rows, schema=ROWS)
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=ROWS)
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ def get_session(app: str = "courtside", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", "32m")  # pages reach Python in batches of bytes, not rows
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -15,6 +15,34 @@ def test_untidy_markup(spark):
     assert got == [("row", ["inner"]), ("row", ["1", "x & y z"]), ("row", ["2", "inner"]), ("h1", ["#7 Zé"]), ("img", [""])]
 
 
+def test_scripts_entities_and_unclosed_elements(spark):
+    html = "<table><tr><td>a&nbsp;&lt;b&gt;<script>if (x</td>) '<td>'</script> c<style>td</style><td title>d<br/>e</table><h1>t<p>u"
+    got = [(r.kind, [c.text for c in r.cells]) for r in _rows(spark, html).collect()]
+    assert got == [("row", ["a <b> c", "d e"]), ("h1", ["t u"])]
+
+
+def test_batches_leave_by_bytes():
+    import pyarrow as pa
+
+    page = "<table>" + "<tr><td>some words in a cell</td></tr>" * 300 + "</table>"
+    batch = pa.record_batch({"page_id": list(range(40)), "html": [page] * 40})
+    sizes = [b.nbytes for b in extract._parse_batches(iter([batch]), limit=100_000)]
+    assert len(sizes) > 8 and max(sizes) < 300_000
+    assert sum(b.num_rows for b in extract._parse_batches(iter([batch]), limit=100_000)) == 40 * 300
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        extract._page_records("<b>x</i>" * n + "<table>" + "<tr><td>y<td>z" * n)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(40_000) < 16 * max(seconds(10_000), 0.05)
+
+
 def test_pages_without_tables_are_not_parsed(spark):
     assert _rows(spark, "<p>nothing</p>").isEmpty()
 
