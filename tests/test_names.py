@@ -233,3 +233,56 @@ def test_the_exact_player_stands_far_down_the_list(spark):
     asked = spark.createDataFrame([("santos lima",), ("santos",)], "query string")
     got = {r.query: (r.status, r.player_id, r.candidates) for r in ask.resolve_single_player(asked, players, aliases).collect()}
     assert got == {"santos lima": ("ok", 99, 31), "santos": ("ambiguous", None, 31)}
+
+
+def test_head_to_head_edge_cases(spark):
+    """Same team, unknown team, both teams in one game, a player against themself, repeated lines."""
+    lines = [
+        (1, 10, 7, 5), (2, 10, 8, 6), (2, 10, 8, 6),       # met; a line twice
+        (1, 11, 7, 5), (2, 11, 7, 6),                      # one team
+        (1, 12, None, 5), (2, 12, 7, 6),                   # a team is unknown
+        (1, 13, 7, 5), (1, 13, 8, 1), (2, 13, 7, 6),       # a line on either side
+        (1, 14, 7, 5),                                     # alone
+        (3, 20, 7, 5), (3, 21, 7, 5), (3, 21, 8, 4),       # against themself
+    ]
+    stats = spark.createDataFrame(lines, "player_id bigint, game_id bigint, team_id bigint, points bigint")
+    games = spark.createDataFrame([(g, f"2024-01-{g}") for g in (10, 11, 12, 13, 20, 21)], "id bigint, game_date string")
+    intent = "players_head_to_head_recent_games"
+    named = spark.createDataFrame(
+        [(1, intent, "ok", "ok", 1, 2, 2), (2, intent, "ok", "ok", 2, 1, 9), (3, intent, "ok", "ok", 3, 3, 9), (4, intent, "ok", "ambiguous", 1, None, 9)],
+        "question_id bigint, intent string, status_1 string, status_2 string, player_id_1 bigint, player_id_2 bigint, last_n_games bigint")
+    got = [(r.question_id, r.game_id, r.player_id, r.team_id) for r in ask.answer_head_to_head(named, stats, games).collect()]
+
+    def met(a, b, g):
+        return any(x[1] == y[1] == g and (x[2] is None or y[2] is None or x[2] != y[2])
+                   for x in lines if x[0] == a for y in lines if y[0] == b)
+
+    expected = []
+    for q, a, b, n in ((1, 1, 2, 2), (2, 2, 1, 9), (3, 3, 3, 9)):
+        for g in sorted((g for g in {x[1] for x in lines} if met(a, b, g)), reverse=True)[:n]:
+            expected += [(q, g, p, t) for p, game, t, _ in lines if game == g and p in (a, b)]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(got) == order(expected)
+
+
+def test_answers_expand_only_what_is_asked(spark):
+    stats = spark.createDataFrame(
+        [(1, 10, 7, 5, 3), (1, 11, 9, None, 2), (1, 12, 4, 5, 1), (2, 10, 99, 99, 99)],
+        "player_id bigint, game_id bigint, points bigint, assists bigint, line_no bigint")
+    games = spark.createDataFrame([(10, "2024-01-10"), (11, "2024-01-11"), (12, "2024-01-12")], "id bigint, game_date string")
+    named = spark.createDataFrame(
+        [(1, "player_top_games", "ok", 1, "assists", 5), (2, "player_top_games", "ok", 1, "points", 2), (3, "player_top_games", "ok", 1, "wins", 2),
+         (4, "player_top_games", "not_found", None, "points", 2)],
+        "question_id bigint, intent string, status_1 string, player_id_1 bigint, metric string, top_n bigint")
+    got = ask.answer_top_games(named, stats, games, ("line_no",))
+    assert sorted((r.question_id, r.game_position, r.game_id, r.ranking_value) for r in got.collect()) == [
+        (1, 1, 12, 5.0), (1, 2, 10, 5.0), (2, 1, 11, 9.0), (2, 2, 10, 7.0)]
+
+    career = spark.createDataFrame([(1, 30, 4), (2, 20, None), (3, 30, 6)], "player_id bigint, points_total bigint, assists_total bigint")
+    seasons = spark.createDataFrame([(7, 1, "c", 3)], "team_id bigint, season_id bigint, competition string, wins bigint")
+    parsed = spark.createDataFrame(
+        [(1, "ranking", "players", "points", 2), (2, "ranking", "players", "wins", 2), (3, "ranking", "teams", "wins", 9), (4, "unknown", None, None, None)],
+        "question_id bigint, intent string, ranking_target string, metric string, top_n bigint")
+    rows = ask.answer_ranking(parsed, career, seasons)
+    assert sorted((r.question_id, r.place, r.player_id, r.team_id) for r in rows.collect()) == [(1, 1, 1, None), (1, 2, 3, None), (3, 1, None, 7)]
+    assert ask.answer_ranking(parsed.filter("question_id = 4"), career, seasons).isEmpty()
