@@ -24,7 +24,7 @@ SPAN = PIECE + 2 * MARGIN
 #: Texts of each language that the network is trained on at most; they are read whole.
 TRAIN_ROWS = 250
 #: Pieces that go through the network together.
-TOGETHER = 1024
+TOGETHER = 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -44,12 +44,12 @@ class Pieces:
         self.size = np.minimum(PIECE, offsets[1:][self.text] - self.first)
 
     def laid_out(self, which: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes by position and piece, spaces where the text has none; which positions count as the piece's own."""
+        """Bytes by position and piece with margins, spaces where the text has none; which places of the piece are filled."""
         first, size, text = self.first[which], self.size[which], self.text[which]
         at = first[None, :] + np.arange(-MARGIN, PIECE + MARGIN)[:, None]
         inside = (at >= self.offsets[:-1][text]) & (at < self.offsets[1:][text])
-        place = np.arange(-MARGIN, PIECE + MARGIN)[:, None]
-        return np.where(inside, self.data[np.clip(at, 0, max(0, len(self.data) - 1))], 32).astype(np.uint8), (place >= 0) & (place < size)
+        return (np.where(inside, self.data[np.clip(at, 0, max(0, len(self.data) - 1))], 32).astype(np.uint8),
+                np.arange(PIECE)[:, None] < size)
 
 
 class Layer:
@@ -66,24 +66,43 @@ class Layer:
         new = np.tanh(given[2 * HIDDEN:] + reset * held[2 * HIDDEN:])
         return state + update * (new - state), update, reset, new, held[2 * HIDDEN:]
 
-    def states(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), HIDDEN, x.shape[1]), np.float32)
-        state = np.zeros((HIDDEN, x.shape[1]), np.float32)
+    def states(self, x: np.ndarray, out: np.ndarray) -> None:
+        """The states of the last ``len(out)`` steps, written to ``out``; the same numbers as by ``step``, without new arrays.
+
+        The rows of both gates are halved beforehand, as a sigmoid is a tanh of half its argument.
+        """
+        half = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN)[:, None]
+        byte, back = self.byte * half, self.back * half
+        given, held = np.empty((2, 3 * HIDDEN, x.shape[1]), np.float32)
+        gates, new, put = given[: 2 * HIDDEN], given[2 * HIDDEN:], held[2 * HIDDEN:]
+        update, reset = gates[:HIDDEN], gates[HIDDEN:]
+        margin, state = len(x) - len(out), np.zeros((HIDDEN, x.shape[1]), np.float32)
         for t in range(len(x)):
-            state = out[t] = self.step(state, x[t])[0]
-        return out
+            np.take(byte, x[t], 1, out=given, mode="clip")
+            np.matmul(back, state, out=held)
+            gates += held[: 2 * HIDDEN]
+            np.tanh(gates, out=gates)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            put *= reset
+            new += put
+            np.tanh(new, out=new)
+            new -= state
+            new *= update
+            state = np.add(state, new, out=state if t < margin else out[t - margin])
 
     def gradients(self, x: np.ndarray, pull: np.ndarray) -> list[np.ndarray]:
-        """Of the loss by both weights, given how it pulls at every state; goes back through time."""
+        """Of the loss by both weights, given how it pulls at the last ``len(pull)`` states; goes back through time."""
         kept, state = [], np.zeros((HIDDEN, x.shape[1]), np.float32)
         for t in range(len(x)):
             state_before, (state, *rest) = state, self.step(state, x[t])
             kept.append((state_before, *rest))
         on_back, at_input = np.zeros_like(self.back), np.empty((3 * HIDDEN, *x.shape), np.float32)
-        later = np.zeros((HIDDEN, x.shape[1]), np.float32)
+        margin, later = len(x) - len(pull), np.zeros((HIDDEN, x.shape[1]), np.float32)
         for t in range(len(x) - 1, -1, -1):
             before, update, reset, new, held = kept[t]
-            later = later + pull[t]
+            if t >= margin:
+                later = later + pull[t - margin]
             on_new = later * update * (1 - new * new)
             on_update = later * (new - before) * update * (1 - update)
             on_reset = on_new * held * reset * (1 - reset)
@@ -103,8 +122,13 @@ class Network:
         self.bias = np.zeros((len(languages), 1), np.float32)
 
     def _positions(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """States and probabilities at every position: (position, unit or language, piece)."""
-        both = np.concatenate([self.ahead.states(x), self.behind.states(x[::-1])[::-1]], 1)
+        """States and probabilities at every position of the pieces: (position, unit or language, piece).
+
+        Each layer goes through the margin that it comes from, and ends with the piece.
+        """
+        both = np.empty((PIECE, 2 * HIDDEN, x.shape[1]), np.float32)
+        self.ahead.states(x[:-MARGIN], both[:, :HIDDEN])
+        self.behind.states(x[:MARGIN - 1:-1], both[::-1, HIDDEN:])
         logit = np.matmul(self.out, both) + self.bias
         logit -= logit.max(1, keepdims=True)
         np.exp(logit, out=logit)
@@ -142,8 +166,8 @@ class Network:
                 chance[:, label[batch], np.arange(len(batch))] -= 1
                 chance *= own[:, None, :] * weigh[batch] / np.float32(own.sum())
                 pull = np.matmul(self.out.T, chance)
-                ahead = self.ahead.gradients(x, pull[:, :HIDDEN])
-                behind = self.behind.gradients(x[::-1], pull[::-1, HIDDEN:])
+                ahead = self.ahead.gradients(x[:-MARGIN], pull[:, :HIDDEN])
+                behind = self.behind.gradients(x[:MARGIN - 1:-1], pull[::-1, HIDDEN:])
                 last = [np.einsum("tlb,thb->lh", chance, both), chance.sum((0, 2))[:, None]]
                 for w, g, (m, v) in zip(weights, (*ahead, *behind, *last), moments):
                     m += 0.1 * (g - m)
