@@ -40,3 +40,25 @@ def test_team_details_are_not_broadcast(spark):
     teams = extract.extract_teams(rows, "https://example.org")
     assert "Broadcast" not in _plan(teams)
     assert [(r.abbreviation, r.team_slug) for r in teams.collect()] == [("T1", "um")]
+
+
+def _both(page: str):
+    plain, standard = extract._PageParser(), extract._PageParser()
+    standard.feed(page)
+    standard.close()
+    return plain.found if plain.read_plain(page) else None, standard.found
+
+
+def test_plain_markup_reads_as_the_standard_parser_does():
+    page = ("<!doctype html><!-- x --><title>a</title><h1>Um &amp; dois</h1><img src='/a.png' alt=q><script>if (a < b) '<td>'</script>"
+            "<table class=\"x y\" idx=general><thead><tr><th>N</th></tr></thead><tbody><tr><td>1</td><td> 2&nbsp;3 </td><td class='c' hidden><b>4</b>5</td>"
+            "<TD DATA-LABEL=L>6</TD><td><table><tr><td>in</td></tr></table>out</td><tr><td>7<td>8</tr></tbody></table>fim")
+    plain, standard = _both(page)
+    assert plain == standard and len(plain) >= 5
+
+
+@pytest.mark.parametrize("page", ["<table><tr><td>1 < 2</td></tr></table>", "<table><tr><td><a href='?a&copy=1'>x</a></td></tr></table>",
+                                  "<table><tr><td x='<'>1</td></tr></table>", "<table><tr><td>1</td></tr></table><!--", "<title><b></title>"])
+def test_other_markup_is_left_to_the_standard_parser(page):
+    plain, standard = _both(page)
+    assert plain is None and extract._page_records(page) == standard
