@@ -2,7 +2,7 @@
 
 import pytest
 
-from courtside.operators import extract, similar
+from courtside.operators import extract, resolve, similar
 
 
 def _plan(df) -> str:
@@ -62,3 +62,18 @@ def test_plain_markup_reads_as_the_standard_parser_does():
 def test_other_markup_is_left_to_the_standard_parser(page):
     plain, standard = _both(page)
     assert plain is None and extract._page_records(page) == standard
+
+
+def test_requests_move_once_and_long_names_are_whole(spark):
+    """A name with more lookup rows than stand beside it is decided as any other."""
+    records = spark.createDataFrame([(i, "Ana", 2000 + i, 1, str(i), "a") for i in range(100)] + [(500, "Rui", 2000, 1, None, "a"), (501, "Rui", 2000, 2, "7", "a")],
+                                    "player_id long, name string, season_id long, team_id long, jersey_number string, source string")
+    lines = spark.createDataFrame([(2099, 1, "ANA", "99"), (2050, 9, "Ana", "50"), (2050, 9, "ana", "51"), (1990, 1, "Ana", "1"), (2000, 1, "Rui", "3"), (2000, None, "Rui", None),
+                                   (2000, 1, "Eva", "3"), (2000, 1, " ", "3")], "season_id long, team_id long, player_name_raw string, jersey_number string")
+    resolved = resolve.resolve_requests(lines, records)
+    got = {(r.player_name_raw, r.jersey_number): (r.reason, r.player_id, r.strategy, r.candidates) for r in resolved.collect()}
+    assert got == {
+        ("ANA", "99"): ("resolved", 99, 1, 1), ("Ana", "50"): ("resolved", 50, 4, 1), ("ana", "51"): ("resolved", 50, 5, 1), ("Ana", "1"): ("no_safe_match", None, None, 100),
+        ("Rui", "3"): ("resolved", 500, 2, 1), ("Rui", None): ("resolved", 500, 4, 1), ("Eva", "3"): ("no_alias_match", None, None, 0), (" ", "3"): ("empty_player_name", None, None, 0)}
+    # only a request whose name is long becomes a row per strategy
+    assert "array_min" in _plan(resolved)
