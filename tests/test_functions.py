@@ -78,3 +78,18 @@ def test_display(values):
     assert values(c(lit("2026-03-01"), "date"), c(lit(0.5), "pct"), c(lit(46.2), "pct"), c(lit(3), "number"), c(lit(3.25), "number"), c(lit(""), "text"),
                   c(lit(None).cast("boolean"), "bool")) == ("01/03/2026", "50.0%", "46.2%", "3", "3.3", "-", "-")
     assert values(n.age(lit("2000-03-02"), lit("2024-03-01")), n.age(lit("2000-03-01"), lit("2024-03-01"))) == (23, 24)
+
+
+def test_cells_without_a_match_cast_no_empty_text(spark):
+    """A failed cast raises and catches an error per row, so a cell that does not match must be NULL before its cast."""
+    cells = spark.createDataFrame([("36:54",), ("36,5",), (" ",), (None,), ("1:2:3",), (":30",), ("a",), ("12/26 (46,2)",), ("7+30 37",), ("-4",)], "c string")
+    read = cells.select("c", n.minutes_decimal("c").alias("m"), n.parse_made_attempted("c").alias("s"), n.parse_rebounds("c").alias("r"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(" not in plan and "CASE WHEN (trim" not in plan
+    got = {x.c: (x.m, tuple(x.s), tuple(x.r)) for x in read.collect()}
+    none = (None, None, None)
+    assert got == {
+        "36:54": (36.9, (36.0, None, None), (None, None, 36)), "36,5": (36.5, (36.5, None, None), (None, None, 36)), " ": (None, none, none), None: (None, none, none),
+        "1:2:3": (None, (1.0, None, None), (None, None, 1)), ":30": (None, (30.0, None, None), (None, None, 30)), "a": (None, none, none),
+        "12/26 (46,2)": (None, (12.0, 26.0, 46.2), (None, None, 12)), "7+30 37": (None, (7.0, None, None), (7, 30, 37)), "-4": (-4.0, (-4.0, None, None), (None, None, -4)),
+    }
