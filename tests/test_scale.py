@@ -2,7 +2,9 @@
 
 import pytest
 
+from courtside import session
 from courtside.operators import extract, resolve, similar
+from courtside.plans import bindings
 
 
 def _plan(df) -> str:
@@ -77,3 +79,16 @@ def test_requests_move_once_and_long_names_are_whole(spark):
         ("Rui", "3"): ("resolved", 500, 2, 1), ("Rui", None): ("resolved", 500, 4, 1), ("Eva", "3"): ("no_alias_match", None, None, 0), (" ", "3"): ("empty_player_name", None, None, 0)}
     # only a request whose name is long becomes a row per strategy
     assert "array_min" in _plan(resolved)
+
+
+def test_lines_are_dealt_by_their_number(spark, tmp_path):
+    """A task of the join of lines and games holds a bounded number of lines, however well they compress."""
+    folder = str(tmp_path)
+    spark.range(1000).selectExpr("id AS l_orderkey", "id % 7 AS l_partkey", "id % 5 AS l_suppkey", "cast(id % 3 + 1 AS int) AS l_linenumber", "cast(id % 50 AS double) AS l_quantity").write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(1000).selectExpr("id AS o_orderkey", "id % 40 AS o_custkey", "'F' AS o_orderstatus", "100.5D AS o_totalprice", "date'1995-01-01' AS o_orderdate", "'5-LOW' AS o_orderpriority").write.parquet(f"{folder}/orders.parquet")
+    league = bindings.League(spark, folder)
+    lines = league.raw("lineitem")
+    assert session.spread(lines, "l_orderkey", rows=10).rdd.getNumPartitions() == 100
+    assert session.spread(lines, "l_orderkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "RepartitionByExpression [l_orderkey" in league.stats._jdf.queryExecution().optimizedPlan().toString()
+    assert league.stats.count() == 1000 and league.stats.select("game_id").distinct().count() == 1000
