@@ -117,3 +117,16 @@ def test_incremental_run(spark):
 
     assert run([(1, "u", "aa"), (2, "u", "b")]) == {(1, 2), (2, 1)}
     assert run([(2, "u", "bbb")]) == {(1, 2), (2, 3)}
+
+
+def test_cells_of_a_game_are_found_once(spark):
+    """Each named cell is looked up once for all columns; a class is one of the words, however they are set apart."""
+    row = ("<tr><td class='x\tposition_value' data-real-id='G1'> 1&nbsp; a </td><td class='position_value2 home_team_value'><span class='team-shortname'>Um  A</span></td>"
+           "<td class='visitor_team_value'><b class='team-shortname'>Dois</b></td><td class='score_value'><span class='home'>80</span><span class='away'> </span></td></tr>")
+    page = f"<table class='a\ntable_matches_table'><tbody>{row}</tbody></table><table class='table_matches_tables'><tbody>{row}</tbody></table>"
+    rows = extract.page_rows(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    games = extract.extract_games(rows, "https://example.org")
+    plan = games._jdf.queryExecution().optimizedPlan().toString()
+    assert max(plan.count(f", {c})") for c in ("home_team_value", "score_value")) <= 4  # the name stands twice in a lookup, and one more lookup is in the filter
+    assert [(g.game_number, g.source_game_id, g.home_team_name_raw, g.away_team_name_raw, g.home_score, g.away_score, g.status) for g in games.collect()] == [
+        ("1 a", "G1", "Um A", "Dois", "80", None, "scheduled")]
