@@ -92,3 +92,17 @@ def test_lines_are_dealt_by_their_number(spark, tmp_path):
     assert session.spread(lines, "l_orderkey").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert "RepartitionByExpression [l_orderkey" in league.stats._jdf.queryExecution().optimizedPlan().toString()
     assert league.stats.count() == 1000 and league.stats.select("game_id").distinct().count() == 1000
+
+
+def test_cells_leave_python_with_the_stated_fields(spark):
+    """Statistics are read from the texts of cells; their items stay behind, and the lines are the same."""
+    line = "".join(f"<td>{c}</td>" for c in ["#4", "Silva (T)", "10:30", "5/9 (55,5)", "1/2 (50)", "1/3 (33,3)", "0/1 (0)", "1+2 3", *["1"] * 9])
+    table = f"<table><thead><tr><th>Nr.</th><th>Jogador</th><th>Min</th><th>Pts</th></tr></thead><tbody><tr>{line}</tr></tbody></table>"
+    pages = spark.createDataFrame([(1, table + table)], "page_id long, html string")
+    whole, texts = extract.page_rows(pages), extract.page_rows(pages, extract.TEXTS)
+    assert texts.schema["cells"].dataType.simpleString() == "array<struct<text:string>>"
+    assert [c.text for c in texts.first().cells] == [c.text for c in whole.first().cells]
+    lines = extract.boxscore_player_lines(texts).collect()
+    assert len(lines) == 2 and sorted(lines) == sorted(extract.boxscore_player_lines(whole).collect())
+    with pytest.raises(ValueError):
+        extract.page_rows(pages, ("texts",))
