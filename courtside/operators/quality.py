@@ -45,14 +45,17 @@ def _rows(df: DataFrame, check: str) -> DataFrame:
     return df.agg(F.count("*").alias("rows")).select(F.lit(check).alias("check"), "rows")
 
 
-def check_player_team_seasons(stats: DataFrame, rollup: DataFrame) -> DataFrame:
+def check_player_team_seasons(stats: DataFrame, rollup: DataFrame, tasks: int | None = None) -> DataFrame:
     """Counts for the player rollup, and 1/0 under ``ok``; lines and rollup are read once each.
 
     Both sides are counted per key in one aggregate, and every check is a sum over its keys.
+    With ``tasks``, their keys are dealt over so many.
     """
     keys = ["season_id", "team_id", "player_id"]
     lines = stats.dropna(subset=keys).select(*keys, F.lit(1).alias("e"), F.lit(0).alias("a"))
     both = lines.unionByName(rollup.select(*keys, F.lit(0).alias("e"), F.lit(1).alias("a")))
+    if tasks:
+        both = both.repartition(tasks, *keys)
     counts = both.groupBy(*keys).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     blank = reduce(lambda x, y: x | y, [blank_to_null(c).isNull() for c in keys])
     expected, there = F.col("e") > 0, F.col("a") > 0

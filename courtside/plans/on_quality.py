@@ -104,7 +104,7 @@ def _(t):
        "SELECT 'resolved_lines' AS \"check\", count(*) AS rows FROM b_stats UNION ALL SELECT 'expected_groups', count(*) FROM (SELECT DISTINCT season_id, team_id, player_id FROM b_stats)"
        " UNION ALL SELECT 'rollup_rows', count(*) FROM b_pts_sums UNION ALL SELECT * FROM (VALUES ('duplicates', 0), ('missing', 0), ('extra', 0), ('empty_required', 0), ('ok', 1))"))
 def _(t):
-    return quality.check_player_team_seasons(t.stats, t.player_team_seasons)
+    return quality.check_player_team_seasons(t.stats, t.player_team_seasons, t.line_tasks)
 
 
 @query("check_standings", sql("b_standings",
