@@ -261,8 +261,9 @@ def _(t):
 
 @query("surrogate_id", sql("b_pts_sums", "SELECT row_number() OVER (ORDER BY season_id, team_id, player_id) AS id, season_id, team_id, player_id, games_played FROM b_pts_sums"))
 def _(t):
-    rows = t.stats.groupBy("season_id", "team_id", "player_id").agg(F.count_distinct("game_id").alias("games_played"))
-    return positions.with_surrogate_id(rows, ["season_id", "team_id", "player_id"])
+    lines = t.stats.repartition(t.line_tasks, "season_id", "team_id", "player_id")
+    rows = lines.groupBy("season_id", "team_id", "player_id").agg(F.count_distinct("game_id").alias("games_played"))
+    return positions.with_surrogate_id(rows, ["season_id", "team_id", "player_id"], tasks=t.line_tasks)
 
 
 @query("dedupe_first", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")

@@ -2,8 +2,8 @@
 
 import pytest
 
-from courtside import session
-from courtside.operators import extract, resolve, similar
+from courtside import constants, session
+from courtside.operators import extract, positions, quality, resolve, rollups, similar
 from courtside.plans import bindings
 
 
@@ -106,3 +106,33 @@ def test_cells_leave_python_with_the_stated_fields(spark):
     assert len(lines) == 2 and sorted(lines) == sorted(extract.boxscore_player_lines(whole).collect())
     with pytest.raises(ValueError):
         extract.page_rows(pages, ("texts",))
+
+
+def _shuffles_by_number(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rollups_stay_where_their_lines_were_dealt(spark):
+    """Lines move once, into a stated number of tasks; all totals of a player are made there."""
+    stats = spark.range(600).selectExpr(
+        "id AS game_id", "id % 3 AS season_id", "id % 4 AS team_id", "id % 25 AS player_id", "concat('J', id % 25) AS player_name_raw", "'1' AS is_starter",
+        "10.0D AS minutes_decimal", *[f"id % 5 AS {s}" for s in constants.STAT_INPUTS])
+    players = spark.range(20).selectExpr("id", "concat('P', id) AS full_name", "cast(null AS string) AS display_name")
+    teams = spark.range(4).selectExpr("id", "concat('T', id) AS canonical_name")
+    seasons = spark.range(3).selectExpr("id", "concat('S', id) AS name")
+    for rollup in (rollups.player_seasons, lambda rows: rollups.player_career_totals(rows, seasons)):
+        dealt, plain = (rollup(rollups.player_team_seasons(stats, players, teams, seasons, tasks)) for tasks in (7, None))
+        plan = _shuffles_by_number(dealt)
+        assert "REPARTITION_BY_NUM" in plan and "Exchange hashpartitioning(season_id" not in plan
+        order = [c for c in ("player_id", "season_id") if c in dealt.columns]
+        assert dealt.orderBy(*order).collect() == plain.orderBy(*order).collect()
+    by_team = rollups.player_team_seasons(stats, players, teams, seasons, 7)
+    checks, whole = (quality.check_player_team_seasons(stats, by_team, tasks) for tasks in (7, None))
+    assert "REPARTITION_BY_NUM" in _shuffles_by_number(checks) and sorted(checks.collect()) == sorted(whole.collect())
+
+
+def test_numbering_in_a_stated_number_of_ranges(spark):
+    rows = spark.range(500).selectExpr("(id * 37) % 500 AS k")
+    numbered = positions.with_surrogate_id(rows, ["k"], tasks=7)
+    assert [(r.id, r.k) for r in numbered.orderBy("k").collect()] == [(k + 1, k) for k in range(500)]
