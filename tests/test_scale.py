@@ -1,9 +1,11 @@
 """Plans that must hold at any size: nothing expanded is collected on the driver for a broadcast."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from courtside import constants, session
-from courtside.operators import extract, positions, quality, resolve, rollups, similar
+from courtside.functions import text
+from courtside.operators import extract, merge, positions, quality, resolve, rollups, similar
 from courtside.plans import bindings
 
 
@@ -136,3 +138,37 @@ def test_numbering_in_a_stated_number_of_ranges(spark):
     rows = spark.range(500).selectExpr("(id * 37) % 500 AS k")
     numbered = positions.with_surrogate_id(rows, ["k"], tasks=7)
     assert [(r.id, r.k) for r in numbered.orderBy("k").collect()] == [(k + 1, k) for k in range(500)]
+
+
+def _dear_filters(df) -> list[str]:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "Filter " in line and ("translate(" in line or "regexp_replace(" in line)]
+
+
+def test_names_are_read_once_a_row(spark):
+    """Filters read the keys and cleaned names that were worked out; records move once, by name and player."""
+    seen = spark.createDataFrame([(1, 4, 1, "ALFA"), (1, 4, 1, "ALFA"), (2, 5, 1, " ")], "id bigint, team_id bigint, season_id bigint, alias string").distinct()
+    players = spark.createDataFrame([(1, "a", "Ana Lima"), (2, "b", "Bea"), (3, "c", " ")], "id bigint, slug string, full_name string").localCheckpoint()
+    links = spark.createDataFrame([("a", 1, "Lima", "7", "Alfa", 2), ("a", 1, "LIMA", "7", "alfa", 1), ("b", 1, "Lima", "9", "Alfa", 3), ("b", 1, " ", "9", "Alfa", 4)],
+                                  "player_slug string, season_id int, display_name string, jersey_number string, team_name_raw string, position int").localCheckpoint()
+    there = spark.createDataFrame([], "player_id bigint, season_id bigint, alias string, alias_type string, jersey_number string, team_name_raw string, source string, is_primary bigint")
+    aliases = merge.add_player_names(there, players, players.selectExpr("slug AS player_slug", "full_name"), links)
+    assert not _dear_filters(aliases)
+    assert {(r.player_id, r.alias) for r in aliases.collect()} == {(1, "Ana Lima"), (2, "Bea"), (1, "LIMA"), (2, "Lima")}
+    records = resolve.name_records(players.select("id", "full_name"), aliases.drop("change").localCheckpoint(), seen)
+    asked = spark.createDataFrame([(1, 4, "LIMA", "9"), (1, 4, "Lima", None), (1, 4, "bea", None), (1, 4, None, None)], "season_id bigint, team_id bigint, player_name_raw string, jersey_number string")
+    dealt, plain = (resolve.resolve_requests(asked, records, tasks) for tasks in (7, None))
+    assert {(r.player_name_raw, r.jersey_number): (r.player_id, r.reason) for r in dealt.collect()} == {
+        ("LIMA", "9"): (2, "resolved"), ("Lima", None): (None, "ambiguous_match"), ("bea", None): (2, "resolved"), (None, None): (None, "empty_player_name")}
+    assert sorted(dealt.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    assert not [line for line in _dear_filters(dealt) if "translate(" in line]
+    plan = _shuffles_by_number(resolve.player_lookup(records, 7))
+    assert "hashpartitioning(name_key" in plan and "REPARTITION_BY_NUM" in plan and not [
+        line for line in plan.splitlines() if "Exchange" in line and "strategy" in line and "player_id" in line]
+
+
+def test_identity_key_of_texts_with_any_white_space(spark):
+    spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    rows = spark.createDataFrame([(t,) for s in spaces for t in (f"{s}Zé{s}{s}ΟΔΟΣ{s}", f"ΑΣ{s}ΣΑ{s}7", s)] + [(None,), ("",)], "t string")
+    plain = F.nullif(F.regexp_replace(text.fold("t"), r"[^\p{L}\p{N}]+", ""), F.lit(""))
+    assert rows.filter(~text.identity_key("t").eqNullSafe(plain)).isEmpty()
