@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from courtside import constants, session
 from courtside.functions import text
 from courtside.operators import extract, merge, positions, quality, resolve, rollups, similar
-from courtside.plans import bindings
+from courtside.plans import bindings, on_pages
 
 
 def _plan(df) -> str:
@@ -110,6 +110,32 @@ def test_cells_leave_python_with_the_stated_fields(spark):
         extract.page_rows(pages, ("texts",))
 
 
+def test_boxscores_are_read_from_tables_as_from_rows(spark):
+    """A table leaves Python once with its header; pages are read once for printed and computed totals."""
+    cells = lambda *first: "<tr>" + "".join(f"<td>{c}</td>" for c in [*first, "5/9 (55,5)", "1/2  (50)", " 1/3 (33,3)", "0/1 (0) ", "1+2  3", *["1"] * 9]) + "</tr>"
+    head = "<thead><tr><th>Nr.</th><th>Jogador</th><th> Min</th><th>Pts</th></tr></thead>"
+    table = f"<table>{head}<tbody>{cells('#4', 'Silva >  (T)', '10:30')}{cells('#5', '', '1')}{cells('', 'Ações coletivas', '')}{cells('', 'Total', '200')}</tbody></table>"
+    other = f"<table>{head}<tr><td>a</td></tr>{cells('6', 'Zé&nbsp;B', '9,5')}</table>"
+    pages = spark.createDataFrame([(1, f"<h1>x</h1><table></table>{table}{other}"), (1, other + table), (2, other + other + table), (None, table * 2)], "page_id long, html string")
+    rows, tables = extract.page_rows(pages, extract.TEXTS), extract.page_tables(pages)
+    assert tables.count() == 2 + 2 + 3 + 2
+    for read in (extract.boxscore_player_lines, extract.printed_team_lines, extract.boxscore_team_lines):
+        found = sorted(read(tables).collect(), key=repr)
+        assert found and found == sorted(read(rows).collect(), key=repr) == sorted(read(extract.boxscore_rows(tables, 3)).collect(), key=repr)
+    lines = extract.boxscore_player_lines(tables).filter("page_id = 2").select("player_name_raw", "minutes_decimal", "points", "three_pct", "total_rebounds").collect()
+    assert [tuple(r) for r in lines] == [("Zé B", 9.5, 5, 50.0, 3)] * 2
+    assert "MapInArrow" not in _plan(extract.boxscore_team_lines(tables))
+
+
+def test_texts_of_pages_are_made_where_they_are_read(spark):
+    """The filter on a page's text stays above the shuffle that spreads the few files."""
+    games = spark.range(3).localCheckpoint()
+    rows = extract.page_rows(on_pages._page(games, "'<h1>'", "id", "'</h1>'"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("RepartitionByExpression") and "RLIKE" not in plan[plan.index("RepartitionByExpression"):]
+    assert sorted(r.cells[0].text for r in rows.collect()) == ["0", "1", "2"]
+
+
 def _shuffles_by_number(df) -> str:
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
