@@ -1,11 +1,13 @@
 """Plans that must hold at any size: nothing expanded is collected on the driver for a broadcast."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from courtside import constants, session
 from courtside.functions import text
-from courtside.operators import extract, merge, positions, quality, resolve, rollups, similar
+from courtside.operators import edits, extract, merge, positions, quality, resolve, rollups, similar
 from courtside.plans import bindings, on_pages
 
 
@@ -46,6 +48,44 @@ def test_team_details_are_not_broadcast(spark):
     assert [(r.abbreviation, r.team_slug) for r in teams.collect()] == [("T1", "um")]
 
 
+def _edits(a: str, b: str) -> int:
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+@pytest.mark.parametrize("per_mille", [501, 650, 720, 1000])
+def test_names_compared_by_words_are_all_near_names(spark, per_mille, monkeypatch):
+    """Every pair within the allowed edits is found, over several cells, and names of any length and letters."""
+    monkeypatch.setattr(edits, "LEAST_NAMES", 30)
+    rng = random.Random(per_mille)
+    word = lambda n: "".join(rng.choice("abcdé 1") for _ in range(n))
+    left = sorted({word(rng.choice([1, 2, 3, 5, 9, 14, 70])) for _ in range(150)})
+    right = {word(rng.choice([1, 2, 4, 8, 13])) for _ in range(40)}
+    for name in rng.sample(left, 70):
+        at, to = rng.randrange(len(name)), rng.randrange(len(name))
+        right |= {name, name[:at] + name[at + 1:], name[:at] + "x" + name[at:], name[:to] + "y" + name[to + 1:at] + name[at:]} - {""}
+    # a name of the other side's letters only, and one long enough for several words of bits
+    right |= {"zzzz", "ab " * 30}
+    pairs = edits.edit_pairs(spark.createDataFrame([(n,) for n in left], "a string").localCheckpoint(),
+                             spark.createDataFrame([(n,) for n in sorted(right)], "b string").localCheckpoint(), per_mille)
+    near = {(a, b) for a in left for b in right if _edits(a, b) <= max(len(a), len(b)) * (1000 - per_mille) // 1000}
+    found = [tuple(r) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == near and len(near) > 40
+    # the two lists are dealt into cells, no piece of a name is exploded
+    assert "MapInArrow" in _plan(pairs) and "Join" not in _plan(pairs)
+
+
+def test_no_near_names(spark):
+    names = lambda c, *n: spark.createDataFrame([(x,) for x in n], f"{c} string").localCheckpoint()
+    assert edits.edit_pairs(names("a"), names("b", "ana"), 720).isEmpty() and edits.edit_pairs(names("a", "ana"), names("b"), 720).isEmpty()
+    assert edits.edit_pairs(names("a", "ana", ""), names("b", "um nome bem comprido", ""), 720).isEmpty()
+
+
 def _both(page: str):
     plain, standard = extract._PageParser(), extract._PageParser()
     standard.feed(page)
