@@ -233,6 +233,15 @@ def test_names_are_read_once_a_row(spark):
         line for line in plan.splitlines() if "Exchange" in line and "strategy" in line and "player_id" in line]
 
 
+def test_names_of_candidates_are_read_once(league):
+    """A name is worked out once per request, record and list of names; no filter works it out again."""
+    groups, records = league
+    pairs = similar._name_pairs(groups, records, 720, False)
+    best = similar.best_candidates(groups, records, pairs, similar.SUGGEST_WEIGHTS, 2, True)
+    assert not _dear_filters(best)
+    assert {r.q_player_name_raw: r.player_id for r in best.filter("candidate_rank = 1").collect()} == {"João Silva": 1, "Pedro  Sousa": 3}
+
+
 def test_identity_key_of_texts_with_any_white_space(spark):
     spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
     rows = spark.createDataFrame([(t,) for s in spaces for t in (f"{s}Zé{s}{s}ΟΔΟΣ{s}", f"ΑΣ{s}ΣΑ{s}7", s)] + [(None,), ("",)], "t string")
